@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillwork.llm import sharding, topk
+from quillwork.llm import bpe, sharding, tokenfile, topk
 
 
 def queries() -> dict:
     return {
         "op4_nra_topk": topk.op4_nra_topk,
+        "op5_bit_packed_tokens": tokenfile.op5_bit_packed_tokens,
         "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
+        "op8_sentencepiece_bpe": bpe.op8_sentencepiece_bpe,
     }
 
 
