@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillwork.llm import bpe, sharding, tokenfile, topk
+from quillwork.llm import bpe, sharding, tokenfile, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_compression_toxicity": toxicity.op3_compression_toxicity,
         "op4_nra_topk": topk.op4_nra_topk,
         "op5_bit_packed_tokens": tokenfile.op5_bit_packed_tokens,
         "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
