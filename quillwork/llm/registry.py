@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quillwork.llm import bpe, sharding, tokenfile, topk, toxicity
+from quillwork.llm import bpe, langid, pii, sharding, tokenfile, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_deobfuscated_pii": pii.op2_deobfuscated_pii,
         "op3_compression_toxicity": toxicity.op3_compression_toxicity,
         "op4_nra_topk": topk.op4_nra_topk,
         "op5_bit_packed_tokens": tokenfile.op5_bit_packed_tokens,
         "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
+        "op7_ppm_language": langid.op7_ppm_language,
         "op8_sentencepiece_bpe": bpe.op8_sentencepiece_bpe,
     }
 
