@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillwork.llm import bpe, langid, pii, sharding, tokenfile, topk, toxicity
+from quillwork.llm import bpe, langid, pii, sharding, simhash, tokenfile, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_bitsliced_simhash": simhash.op1_bitsliced_simhash,
         "op2_deobfuscated_pii": pii.op2_deobfuscated_pii,
         "op3_compression_toxicity": toxicity.op3_compression_toxicity,
         "op4_nra_topk": topk.op4_nra_topk,
