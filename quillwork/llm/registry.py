@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillwork.llm import bpe, langid, pii, sharding, simhash, tokenfile, topk, toxicity
+from quillwork.llm import bpe, decontaminate, langid, pii, sharding, simhash, tokenfile, topk, toxicity
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op6_hash_tree_shards": sharding.op6_hash_tree_shards,
         "op7_ppm_language": langid.op7_ppm_language,
         "op8_sentencepiece_bpe": bpe.op8_sentencepiece_bpe,
+        "op9_spaced_seeds": decontaminate.op9_spaced_seeds,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nra_topk": topk.OP4_SQL}
+    return {"op4_nra_topk": topk.OP4_SQL, "op9_spaced_seeds": decontaminate.OP9_SQL}
