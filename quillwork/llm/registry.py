@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillwork.llm import bpe, decontaminate, langid, pii, sharding, simhash, tokenfile, topk, toxicity
+from quillwork.llm import bpe, decontaminate, exactsubstr, langid, pii, sharding, simhash, tokenfile, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bitsliced_simhash": simhash.op1_bitsliced_simhash,
+        "op10_suffix_arrays": exactsubstr.op10_suffix_arrays,
         "op2_deobfuscated_pii": pii.op2_deobfuscated_pii,
         "op3_compression_toxicity": toxicity.op3_compression_toxicity,
         "op4_nra_topk": topk.op4_nra_topk,
