@@ -17,6 +17,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import public_tokenizers
@@ -99,6 +100,12 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """A worker's codec: what it remembers serves all tasks that the worker runs."""
+    return Codec(path)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -106,7 +113,7 @@ def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (array<int>) of every text: the operator's own output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = codec_of(vocabulary)
         for rows in batches:
             ids = [codec.encode(text) for text in texts_of(rows)]
             yield batch({"doc_id": (rows.column(0), pa.int64()), "ids": (ids, pa.list_(pa.int32()))})
@@ -134,7 +141,7 @@ def round_trip_digests(documents: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = codec_of(vocabulary)
         written = [str(i) for i in range(len(codec.tokens))]
         for rows in batches:
             counts, of_ids, of_bytes = [], [], []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillwork.llm import bpe, decontaminate, exactsubstr, langid, pii, sharding, simhash, tokenfile, topk, toxicity
 
 
@@ -17,8 +18,10 @@ def queries() -> dict:
         "op7_ppm_language": langid.op7_ppm_language,
         "op8_sentencepiece_bpe": bpe.op8_sentencepiece_bpe,
         "op9_spaced_seeds": decontaminate.op9_spaced_seeds,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nra_topk": topk.OP4_SQL, "op9_spaced_seeds": decontaminate.OP9_SQL}
+    found = {"op4_nra_topk": topk.OP4_SQL, "op9_spaced_seeds": decontaminate.OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}

@@ -23,7 +23,9 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -98,10 +100,24 @@ class Encoder:
         self.model, self.split = self.library.model, regex.compile(pattern).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memory = Memory(self.piece)
+        self.parts: dict[str, list[int]] = {}
+
+    def part(self, text: str) -> list[int]:
+        """The ids of a pre-token; those of short ones are remembered for words with other marks around them."""
+        found = self.parts.get(text)
+        if found is None:
+            found = [token.id for token in self.model.tokenize(mapped(text))]
+            if len(text) <= 16:
+                if len(self.parts) >= 200_000:
+                    self.parts = {}
+                self.parts[text] = found
+        return found
 
     def piece(self, text: str) -> bytes:
-        ids = [token.id for part in self.split(text) for token in self.model.tokenize(mapped(part))]
-        return np.array(ids, "<u4").tobytes()
+        ids = array("I")
+        for part in (text,) if text[1:].isalpha() and text[0] == " " else self.split(text):
+            ids.extend(self.part(part))
+        return ids.tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
@@ -116,6 +132,12 @@ class Encoder:
         return self.library.get_vocab_size()
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: what it remembers serves all tasks that the worker runs."""
+    return Encoder(path)
+
+
 SEGMENTS = "part long, seq long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -124,8 +146,8 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end: int = E
     """Writes the ids of all documents, in ascending doc_id, to segments in a folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        width = width_of(max(encoder.vocabulary, end + 1))
+        codec, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        width = width_of(max(codec.vocabulary, end + 1))
         ids, docs, lengths, total = [], [], [], 0
         last = np.array([end], np.uint32)
 
@@ -135,7 +157,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end: int = E
 
         for rows in batches:
             for doc, text in zip(rows.column(0).to_pylist(), texts_of(rows)):
-                found = encoder.encode(text)
+                found = codec.encode(text)
                 ids += [found, last]
                 docs.append(doc)
                 lengths.append(len(found) + 1)
