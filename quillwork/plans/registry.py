@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from quillwork.plans import corpus
+
+MODULES = [corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
