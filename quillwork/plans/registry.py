@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.plans import corpus
+from quillwork.plans import booking, cases, corpus
 
-MODULES = [corpus]
+MODULES = [corpus, booking, cases]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
