@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.plans import booking, cases, corpus
+from quillwork.plans import booking, cases, corpus, payments
 
-MODULES = [corpus, booking, cases]
+MODULES = [corpus, booking, cases, payments]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
