@@ -98,8 +98,8 @@ _DUE = "CAST((CAST(base_price * 100 AS BIGINT) * 90 + 50) // 100 AS BIGINT)"
 _KIND = "CASE type WHEN 'payment_intent.succeeded' THEN 'succeeded' WHEN 'payment_intent.payment_failed' THEN 'failed' WHEN 'payment_intent.canceled' THEN 'canceled' END"
 _FREE = "coalesce(base_price = 0, false)"
 _LATEST = f", e AS (SELECT *, {_KIND} AS status, request_id IN (SELECT id FROM requests) AS known FROM payment_events), f AS (SELECT intent_id, min((ts, event_id)) AS first FROM e WHERE status = 'succeeded' AND known GROUP BY intent_id), t AS (SELECT intent_id, arg_max(status, (ts, event_id)) AS status, bool_or(status = 'succeeded') AS ever_succeeded FROM e JOIN f USING (intent_id) WHERE status IS NOT NULL AND (ts, event_id) >= first GROUP BY intent_id)"
-_ACTIONS = "WITH a AS (SELECT event_id % 700 AS case_id, event_id AS seq, ts AS at, CASE event_type WHEN 'click' THEN 'toggle' WHEN 'view' THEN 'note' WHEN 'signup' THEN 'claim' WHEN 'purchase' THEN 'close' ELSE 'reopen' END AS action, user_id % 3 AS service_id, user_id FROM events)"
-_FOLD = f"""{_ACTIONS}, c AS (SELECT case_id, arg_min(user_id, seq) FILTER (WHERE action = 'claim') AS advisor_id, arg_min(at, seq) FILTER (WHERE action = 'claim') AS first_contact_at, arg_max(action, seq) FILTER (WHERE action IN ('close', 'reopen')) AS turn, arg_max(at, seq) FILTER (WHERE action IN ('close', 'reopen')) AS turned, max(at) AS last_touched_at FROM a GROUP BY case_id),
+_ACTIONS = "WITH a AS (SELECT event_id % 700 AS case_id, event_id AS seq, ts AS moment, CASE event_type WHEN 'click' THEN 'toggle' WHEN 'view' THEN 'note' WHEN 'signup' THEN 'claim' WHEN 'purchase' THEN 'close' ELSE 'reopen' END AS action, user_id % 3 AS service_id, user_id FROM events)"
+_FOLD = f"""{_ACTIONS}, c AS (SELECT case_id, arg_min(user_id, seq) FILTER (WHERE action = 'claim') AS advisor_id, arg_min(moment, seq) FILTER (WHERE action = 'claim') AS first_contact_at, arg_max(action, seq) FILTER (WHERE action IN ('close', 'reopen')) AS turn, arg_max(moment, seq) FILTER (WHERE action IN ('close', 'reopen')) AS turned, max(moment) AS last_touched_at FROM a GROUP BY case_id),
 d AS (SELECT case_id, count(*) AS completed FROM (SELECT case_id, service_id FROM a WHERE action = 'toggle' GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY case_id)
 SELECT case_id, advisor_id, first_contact_at, CASE WHEN turn = 'close' THEN 'closed' ELSE 'open' END AS case_status, CASE WHEN turn = 'close' THEN turned END AS closed_at, last_touched_at, coalesce(completed, 0) AS completed FROM c LEFT JOIN d USING (case_id)"""
 
