@@ -1,12 +1,14 @@
-"""Toxicity by compression distance to two zstandard dictionaries.
+"""Toxicity by compression distance to zstandard dictionaries.
 
 A window of words costs fewer bytes under a dictionary that holds its phrases.
-One dictionary is trained on ordinary text; the other on what toxic text has
-beyond it, and carries the ordinary one behind, so that the two lengths differ
-only where toxic phrases help. The gain of a window is the difference of the
-two compressed lengths. A text's mean gain, greatest gain and mean excess over
-the calibrated noise threshold go through a logistic curve fitted on labelled
-rows to a score from 0 to 1.
+One dictionary is trained on ordinary text. Two are trained on what toxic text
+has beyond it: words with n-grams that ordinary text never has, and words with
+n-grams that it has far less often. Each of these carries the ordinary
+dictionary behind, so that lengths differ only where toxic phrases help. The
+gain of a window is the difference of its compressed lengths. Of a text's
+gains, the mean, the greatest, the mean excess and how many windows exceed
+fixed numbers of bytes go through a logistic curve, fitted on labelled rows
+that the dictionaries have not seen, to a score from 0 to 1.
 
 Training reads labelled rows that are not held out, at most `toxic` and
 `ordinary` of them and `per_text` characters of each (the documented bound of
@@ -35,17 +37,21 @@ from pyspark.sql import functions as F
 
 from quillwork.llm.shared import batch, id_check, table, texts_of
 
-WINDOW, NGRAM, LEVEL = 32, 5, 9
-ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
-#: Times as common, and standard deviations above chance, that make an n-gram toxic.
-RATIO, DEVIATIONS = 8.0, 8.0
+#: Words a window: short windows show single phrases, long ones their sum.
+WINDOWS, NGRAM, LEVEL = (12, 32), 5, 9
+ORDINARY_BYTES = 65536
+#: Standard deviations above chance that make an n-gram toxic.
+DEVIATIONS = 8.0
+#: (bytes, times as common, contexts allowed in ordinary text for each in toxic text) of the toxic dictionaries.
+TOXIC = ((2048, 8.0, 0.0), (6144, 3.0, 1.0))
+MOST_GAIN, SOME, MUCH = 12, 3, 4
 FOLDS = 5
 
 
-def windows(text: str) -> list[bytes]:
-    """The text's words in lower case, WINDOW at a time."""
+def windows(text: str, size: int) -> list[bytes]:
+    """The text's words in lower case, `size` at a time."""
     words = text.lower().split()
-    return [" ".join(words[a : a + WINDOW]).encode("utf-8", "replace") for a in range(0, len(words), WINDOW)]
+    return [" ".join(words[a : a + size]).encode("utf-8", "replace") for a in range(0, len(words), size)]
 
 
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
@@ -74,30 +80,31 @@ def _contexts(texts: list[str], memory: dict[str, set[str]]) -> tuple[Counter, i
     return found, len(pairs)
 
 
-def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """The words of each toxic text that hold an n-gram far commoner there."""
+def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[list[bytes]]:
+    """For each of TOXIC, the words of each toxic text that hold an n-gram commoner there."""
     memory: dict[str, set[str]] = {}
     (there, n), (here, m) = _contexts(toxic, memory), _contexts(ordinary, memory)
     k = n / max(1, m)
-    marked = {g for g, c in there.items() if c > RATIO * k * (here[g] + 1) and c - k * here[g] > DEVIATIONS * math.sqrt(k * here[g] + 1)}
-    keep = {word for word, grams in memory.items() if grams & marked}
-    kept = ([word for word in text.lower().split() if word in keep] for text in toxic)
-    return [f" {' '.join(words)} ".encode() for words in kept if words]
+    found = []
+    for _, ratio, allowed in TOXIC:
+        marked = {g for g, c in there.items() if c > ratio * k * (here[g] + 1) and k * here[g] <= allowed * c and c - k * here[g] > DEVIATIONS * math.sqrt(k * here[g] + 1)}
+        keep = {word for word, grams in memory.items() if grams & marked}
+        kept = ([word for word in text.lower().split() if word in keep] for text in toxic)
+        found.append([f" {' '.join(words)} ".encode("utf-8", "replace") for words in kept if words])
+    return found
 
 
 @dataclass
 class Classifier:
-    """Two dictionaries and the calibration of their difference."""
+    """The ordinary dictionary, the toxic ones, and the calibration of their differences."""
 
-    ordinary: bytes = b""
-    toxic: bytes = b""
-    weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])
-    bias: float = -math.inf
-    noise: float = 1.0
+    dictionaries: list[bytes] = field(default_factory=list)
+    weights: list[float] = field(default_factory=list)
+    bias: float = 0.0
 
-    def compressors(self):
+    def compressors(self) -> list[zstandard.ZstdCompressor]:
         made = []
-        for content in (self.ordinary, self.toxic):
+        for content in self.dictionaries:
             p = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=256, dict_size=len(content), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
             if content:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -107,47 +114,51 @@ class Classifier:
                 made.append(zstandard.ZstdCompressor(compression_params=p))
         return made
 
-    def gains(self, text: str, pair) -> np.ndarray:
-        a, b = pair
-        return np.array([len(a.compress(w)) - len(b.compress(w)) for w in windows(text)] or [0], float)
-
-    def features(self, gains: np.ndarray) -> tuple[float, float, float]:
-        return gains.mean(), gains.max(), np.maximum(gains - self.noise, 0).mean()
-
-    def score(self, text: str, pair) -> float:
-        z = self.bias + float(np.dot(self.weights, self.features(self.gains(text, pair))))
+    def features(self, text: str, compressors: list[zstandard.ZstdCompressor]) -> list[float]:
+        """Five numbers of the gains for each size of windows and toxic dictionary."""
+        out: list[float] = []
+        for size in WINDOWS:
+            cut = windows(text, size)
+            lengths = [np.array([len(c.compress(w)) for w in cut] or [0]) for c in compressors]
+            for other in lengths[1:]:
+                gain = lengths[0] - other
+                out += [gain.mean(), min(gain.max(), MOST_GAIN), np.maximum(gain - 1, 0).mean(), (gain >= SOME).mean(), math.log1p((gain >= MUCH).sum())]
+        return out
+
+    def score(self, text: str, compressors: list[zstandard.ZstdCompressor]) -> float:
+        z = self.bias
+        if self.weights:
+            z += float(np.dot(self.weights, self.features(text, compressors)))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Classifier:
-    """Half of the rows train the dictionaries, the other half calibrates them."""
+    """Two thirds of the rows train the dictionaries, the others calibrate them."""
     model = Classifier()
     if not toxic or not ordinary:
         share = len(toxic) / max(1, len(toxic) + len(ordinary))
-        model.bias = math.log(share / (1 - share)) if 0 < share < 1 else 60.0 if share else -60.0
+        model.bias = 60.0 if share else -60.0
         return model
     learn_t, learn_o = toxic[: max(1, len(toxic) * 2 // 3)], ordinary[: max(1, len(ordinary) * 2 // 3)]
-    model.ordinary = _dictionary(ORDINARY_BYTES, [w for t in learn_o[:800] for w in windows(t)])
-    model.toxic = _dictionary(TOXIC_BYTES, toxic_samples(learn_t, learn_o)) + model.ordinary
-    pair = model.compressors()
+    base = _dictionary(ORDINARY_BYTES, [w for t in learn_o[:800] for w in windows(t, WINDOWS[-1])])
+    samples = toxic_samples(learn_t, learn_o)
+    model.dictionaries = [base, *[_dictionary(size, found) + base for (size, _, _), found in zip(TOXIC, samples)]]
+    compressors = model.compressors()
     rest_t, rest_o = toxic[len(learn_t) :] or toxic, ordinary[len(learn_o) :] or ordinary
-    gains = [model.gains(t, pair) for t in [*rest_t, *rest_o]]
     y = np.array([1.0] * len(rest_t) + [0.0] * len(rest_o))
-    # noise: the gain that one ordinary window in a thousand exceeds
-    model.noise = float(np.quantile(np.concatenate(gains[len(rest_t) :]), 0.999))
-    x = np.array([model.features(g) for g in gains])
+    x = np.array([model.features(t, compressors) for t in [*rest_t, *rest_o]], float)
     scale = x.std(axis=0) + 1e-9
     x = np.column_stack([x / scale, np.ones(len(x))])
-    w = np.zeros(4)
-    ridge = np.diag([0.5, 0.5, 0.5, 1e-3])
-    for _ in range(40):  # Newton's method
+    ridge = np.diag([0.5] * (x.shape[1] - 1) + [1e-3])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge
         step = np.linalg.solve(h, x.T @ (y - p) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    model.weights, model.bias = (w[:3] / scale).tolist(), float(w[3])
+    model.weights, model.bias = (w[:-1] / scale).tolist(), float(w[-1])
     return model
 
 
@@ -169,9 +180,9 @@ def score_documents(documents: DataFrame, labels: DataFrame, toxic: int = 1000,
     model = fit(*texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = model.compressors()
+        compressors = model.compressors()
         for rows in batches:
-            scores = [model.score(text, pair) for text in texts_of(rows)]
+            scores = [model.score(text, compressors) for text in texts_of(rows)]
             yield batch({"doc_id": (rows.column(0), pa.int64()), "held_out": (rows.column(2), pa.bool_()), "score": (scores, pa.float64()), "predicted": ([int(s >= 0.5) for s in scores], pa.int32())})
 
     held = (id_check("doc_id", FOLDS) == 0).alias("held_out")
