@@ -116,8 +116,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no item."""
-    leaks = contaminated(documents, benchmark).select(F.col("doc_id").alias("leak_id"))
-    return documents.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    leaks = contaminated(documents, benchmark).select(F.col("doc_id").alias("_leak_doc_id"))
+    return documents.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak_doc_id")), "left_anti")
 
 
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,14 +181,15 @@ def spanning(prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fingerprints(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, print (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, print (the fingerprint's 64 bits as a signed long), text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             found = np.array([fingerprint(shingle_hashes(t, size)) for t in texts_of(rows)], np.uint64).view(np.int64)
-            yield batch({"doc_id": (rows.column(0), pa.int64()), "print": (found, pa.int64())})
+            yield batch({"doc_id": (rows.column(0), pa.int64()), "print": (found, pa.int64()), "text_hash": (rows.column(2), pa.int64())})
 
-    return documents.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, print long")
+    rows = documents.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "xxhash64(text) AS text_hash")
+    return rows.mapInArrow(run, "doc_id long, print long, text_hash long")
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,7 @@ def bucket_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint, component_id (the smallest doc_id of the component)."""
+    """doc_id, fingerprint, component_id (the smallest doc_id of the component), text_hash."""
     prints = written(fingerprints(documents, size), "simhash-prints")
     distinct = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
     roots = connected(bucket_links(distinct.select("print")))
@@ -244,17 +245,24 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     component = rooted.join(named, "root").select("print", "component_id")
     text = F.lower(F.lpad(F.hex("print"), 16, "0"))
-    return prints.join(component, "print").select("doc_id", text.alias("fingerprint"), "component_id")
+    return prints.join(component, "print").select("doc_id", text.alias("fingerprint"), "component_id", "text_hash")
 
 
 def keep_one(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The documents, one of each component: that of the smallest doc_id (one row of it)."""
+    """The documents, one of each component: that of the smallest doc_id.
+
+    Rows repeated in id and text are kept once; a null doc_id names its
+    component only where no other document is in it.
+    """
     found = near_duplicates(documents, size)
-    kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "simhash-kept")
-    n, different = kept.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    kept = kept.distinct() if n != different else kept
-    rows = documents.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if n != different else rows
+    kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_doc_id"), F.col("text_hash").alias("_kept_text_hash")), "simhash-kept")
+    once = kept.distinct()
+    repeated = kept.count() > once.count()
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_doc_id")) & (F.xxhash64("text") == F.col("_kept_text_hash"))
+    rows = documents.join(once, same, "left_semi")
+    if not repeated:
+        return rows
+    return rows.withColumn("_kept_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_kept_text_hash"]).select(*documents.columns)
 
 
 def op1_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
