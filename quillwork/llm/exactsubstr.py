@@ -308,12 +308,14 @@ def repeated_bytes(documents: DataFrame) -> DataFrame:
     per_text = keyed.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, anchor array<long>, place array<int>, first array<int>, windows array<int>")
     per_text = written(per_text, "repeat-anchors")
     copies = per_text.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    single = per_text.where(F.size("anchor") > 0).select("k1", "k2", F.explode(F.arrays_zip("anchor", "place", "first", "windows")).alias("a")).select("k1", "k2", "a.*").distinct()
+    once = per_text.where(F.size("anchor") > 0).groupBy("k1", "k2").agg(F.first(F.struct("anchor", "place", "first", "windows")).alias("a"))
+    single = once.select("k1", "k2", F.explode(F.arrays_zip("a.anchor", "a.place", "a.first", "a.windows")).alias("a")).select("k1", "k2", "a.*")
     often = single.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor")
     candidates = single.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "place", "first", "windows")).alias("found"))
 
     dealt = keyed.repartition("k1", "k2")
-    cut = dealt.join(candidates, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(_pieces, OWNED)
+    # doc_id goes along unused: with the same columns both joins read one exchange
+    cut = dealt.join(candidates, ["k1", "k2"]).select("k1", "k2", "text", "found", "doc_id").mapInArrow(_pieces, OWNED)
     stretches = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats, FOUND)
     stretches = stretches.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     whole = dealt.join(copies, ["k1", "k2"]).join(stretches, ["k1", "k2"], "left")

@@ -23,5 +23,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op4_nra_topk": topk.OP4_SQL, "op9_spaced_seeds": decontaminate.OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op4_nra_topk": topk.OP4_SQL, "op6_hash_tree_shards": sharding.OP6_SQL, "op9_spaced_seeds": decontaminate.OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}

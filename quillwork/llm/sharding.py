@@ -107,3 +107,28 @@ def assign_shards(documents: DataFrame, shards: int = 8, weights: dict[int, floa
 
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
+
+
+def _tree_sql(tree: Tree, name: str) -> str:
+    """A tree as SQL: name.node, name.child, name.weight."""
+    rows = ", ".join(f"('{parent}', '{child}', CAST({weight} AS DOUBLE))" for parent, children in tree.items() for child, weight in children if weight > 0)
+    return f"{name}(node, child, weight) AS (VALUES {rows})"
+
+
+def _descent_sql(tree: str, name: str) -> str:
+    """Every document's shard under a tree, a level at a time."""
+    steps = [f"{name}0 AS (SELECT DISTINCT key, '{ROOT}' AS node FROM d)"]
+    for n in range(LEVELS):
+        draw = f"-ln((CAST('0x' || substr(md5(child || ':' || key), 1, {DIGITS}) AS BIGINT) + 0.5::DOUBLE) / {RANGE}::DOUBLE) / weight"
+        steps.append(f"{name}{n + 1} AS (SELECT key, arg_min(child, ({draw}, child)) AS node FROM {name}{n} JOIN {tree} USING (node) GROUP BY key)")
+    return ", ".join(steps)
+
+
+OP6_SQL = f"""
+WITH {_tree_sql(base_tree(8), "tree")}, {_tree_sql(grown(base_tree(8), 8), "more")},
+crc(t) AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(0, 8) AS BIGINT[])), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END))),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, coalesce(octet_length(encode(text)), 0) + 1 AS size, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS bytes FROM documents),
+{_descent_sql("tree", "a")}, {_descent_sql("more", "b")},
+p AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda x, y: xor(x >> 8, t[CAST((xor(x, y) & 255) + 1 AS INTEGER)]))) AS text_crc32, CAST(substr(a{LEVELS}.node, 2) AS INTEGER) AS shard, CAST(substr(b{LEVELS}.node, 2) AS INTEGER) AS grown_shard FROM d JOIN a{LEVELS} USING (key) JOIN b{LEVELS} USING (key), crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM p
+"""
