@@ -89,7 +89,8 @@ QUERIES = {
     "validate_bookings": lambda s, d: K.validate_bookings(bookings(s, d), B.services(s, d)),
     "service_modes": _svc(K.service_modes),
     "common_modes": _common,
-    "mode_required": lambda s, d: K.requirements(_pairs(s, d), B.services(s, d)),
+    "mode_required": lambda s, d: K.requirements(_pairs(s, d), B.services(s, d)).select("request_id", "mode_required"),
+    "payment_required": lambda s, d: K.requirements(_pairs(s, d), B.services(s, d)).select("request_id", "payment_required"),
     "confirmation_state": _state,
     "book_requests": lambda s, d: K.book_requests(bookings(s, d), B.services(s, d)),
     "request_services": _pairs,
@@ -136,7 +137,8 @@ SQL = {
     ),
     "service_modes": sql("SELECT id, CASE WHEN allows_office AND allows_whatsapp THEN 'office,whatsapp' WHEN allows_office THEN 'office' ELSE 'whatsapp' END AS modes FROM services", "services"),
     "common_modes": sql(f"{_BOOK} SELECT request_id, concat_ws(',', CASE WHEN office THEN 'office' END, CASE WHEN whatsapp THEN 'whatsapp' END) AS modes FROM modes", "requests", "services"),
-    "mode_required": sql(f"{_BOOK} SELECT request_id, office OR whatsapp AS mode_required, total > 0 AS payment_required FROM modes", "requests", "services"),
+    "mode_required": sql(f"{_BOOK} SELECT request_id, office OR whatsapp AS mode_required FROM modes", "requests", "services"),
+    "payment_required": sql(f"{_BOOK} SELECT request_id, total > 0 AS payment_required FROM modes", "requests", "services"),
     "confirmation_state": sql(f"SELECT id, CASE WHEN id % 37 = 0 OR id % 5 = 0 THEN 'invalid' WHEN id % 11 = 0 OR created_at + INTERVAL 300 DAY < {_STAMP} THEN 'expired' ELSE 'ok' END AS state FROM requests", "requests"),
     "book_requests": sql(
         f"{_BOOK} SELECT b.id, CAST(total AS DECIMAL(10,2)) AS base_price, first AS service_id, CASE WHEN consultation_mode = 'office' AND m.office OR consultation_mode = 'whatsapp' AND m.whatsapp THEN consultation_mode END AS consultation_mode, CASE WHEN payment_method IN ('google_pay', 'bank') THEN payment_method ELSE 'google_pay' END AS payment_method, CASE WHEN total = 0 THEN 'pending' ELSE 'pending_payment' END AS status FROM bookings b JOIN modes m ON b.id = m.request_id",
