@@ -186,7 +186,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     previous = None
     for rows in batches:
         out: list[tuple] = []
-        for k1, k2, text, found in zip(*(rows.column(i).to_pylist() for i in range(4))):
+        for k1, k2, text, found in zip(*((x.as_py() for x in rows.column(i)) for i in range(4))):
             if (k1, k2) == previous:  # another row of the same text
                 continue
             previous = (k1, k2)
@@ -262,7 +262,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Applies each text's removed stretches."""
     for rows in batches:
         out = []
-        for doc, text, found, copies in zip(*(rows.column(i).to_pylist() for i in range(4))):
+        for doc, text, found, copies in zip(*((x.as_py() for x in rows.column(i)) for i in range(4))):
             data = (text or "").encode("utf-8", "surrogatepass")
             if copies > 1 and len(data) >= LENGTH:
                 stretches = [(0, len(data))]
@@ -301,7 +301,7 @@ def repeated_bytes(documents: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = [anchors((t or "").encode("utf-8", "surrogatepass")) for t in rows.column(2).to_pylist()]
+            found = [anchors((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in rows.column(2)]
             lists = [pa.array([f[i] for f in found], pa.list_(pa.int64() if i == 0 else pa.int32())) for i in range(4)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *lists], names=["k1", "k2", "anchor", "place", "first", "windows"])
 
