@@ -255,14 +255,14 @@ def keep_one(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     component only where no other document is in it.
     """
     found = near_duplicates(documents, size)
-    kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_doc_id"), F.col("text_hash").alias("_kept_text_hash")), "simhash-kept")
-    once = kept.distinct()
-    repeated = kept.count() > once.count()
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_doc_id")) & (F.xxhash64("text") == F.col("_kept_text_hash"))
-    rows = documents.join(once, same, "left_semi")
-    if not repeated:
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")
+    marked = written(found.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), stays), "simhash-marks")
+    gone, kept = marked.where("NOT stays"), marked.where("stays")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.xxhash64("text").eqNullSafe(F.col("_text_hash"))
+    rows = documents.join(gone, same, "left_anti")
+    if kept.count() == kept.distinct().count():
         return rows
-    return rows.withColumn("_kept_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_kept_text_hash"]).select(*documents.columns)
+    return rows.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).select(*documents.columns)
 
 
 def op1_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
