@@ -78,7 +78,8 @@ class Codec:
         self.whole = {token: rank for rank, token in enumerate(self.tokens)}
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
-        self.memory = Memory(self.piece)
+        self.ids = list(range(len(self.tokens)))  # one object an id, however often it is remembered
+        self.memory = Memory(self.piece, most=150_000)
 
     def piece(self, text: str) -> tuple[int, ...]:
         ids: list[int] = []
@@ -88,7 +89,7 @@ class Codec:
                 ids += self.model.encode(mapped(token), out_type=int)
             else:
                 ids.append(rank)
-        return tuple(ids)
+        return tuple(map(self.ids.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
         if not text:

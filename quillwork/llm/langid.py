@@ -62,14 +62,14 @@ class Model:
         # a starting text's own bytes are counted, not the ones before it or across its edge
         coded, valid = {}, {}
         for k, s in streams.items():
-            coded[k] = self.symbol[s].astype(np.int64)
+            coded[k] = self.symbol[s].astype(np.int32)  # a**3 stays far below 2**31 for the bytes of UTF-8
             lengths = np.array([len(t.encode("utf-8", "replace")) + len(BEFORE) for t in texts[k]])
             place = np.arange(len(s)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             valid[k] = np.flatnonzero(place >= len(BEFORE))
         keys = {}
         for k, s in coded.items():
             v = valid[k]
-            keys[k] = [np.zeros(len(v), np.int64), s[v - 1], s[v - 2] * a + s[v - 1], (s[v - 3] * a + s[v - 2]) * a + s[v - 1]]
+            keys[k] = [None, s[v - 1], s[v - 2] * a + s[v - 1], (s[v - 3] * a + s[v - 2]) * a + s[v - 1]]
         all2 = np.unique(np.concatenate([keys[k][2] for k in self.languages]))
         all3 = np.unique(np.concatenate([keys[k][3] for k in self.languages]))
         n2, n3 = len(all2), len(all3)
@@ -96,7 +96,7 @@ class Model:
 
     @staticmethod
     def _counts(context: np.ndarray, nxt: np.ndarray, contexts: int, a: int) -> np.ndarray:
-        return np.bincount(context * a + nxt, minlength=contexts * a).reshape(contexts, a)
+        return np.bincount(context.astype(np.int64) * a + nxt, minlength=contexts * a).reshape(contexts, a)
 
     @staticmethod
     def _blend(counts: np.ndarray, lower: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -141,7 +141,7 @@ def training_texts(documents: DataFrame, per_language: int, per_text: int) -> di
     return texts
 
 
-def fit(documents: DataFrame, per_language: int = 250, per_text: int = 8000) -> Model:
+def fit(documents: DataFrame, per_language: int = 150, per_text: int = 8000) -> Model:
     texts = training_texts(documents, per_language, per_text)
     return Model(texts) if texts else None
 
@@ -149,7 +149,7 @@ def fit(documents: DataFrame, per_language: int = 250, per_text: int = 8000) ->
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def identify(documents: DataFrame, per_language: int = 250, per_text: int = 8000) -> DataFrame:
+def identify(documents: DataFrame, per_language: int = 150, per_text: int = 8000) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, per_language, per_text))  # bounded by the fit
 
@@ -162,14 +162,14 @@ def identify(documents: DataFrame, per_language: int = 250, per_text: int = 8000
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held).mapInArrow(run, SCHEMA)
 
 
-def keep_identified(documents: DataFrame, per_language: int = 250, per_text: int = 8000) -> DataFrame:
+def keep_identified(documents: DataFrame, per_language: int = 150, per_text: int = 8000) -> DataFrame:
     """The documents whose language is known: those predicted 'und' go."""
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, per_language, per_text))
     at, schema = documents.columns.index("text"), documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            known = [model.value is not None and model.value.predict(t or "")[0] != UNKNOWN for t in rows.column(at).to_pylist()]
+            known = [model.value is not None and model.value.predict(t.as_py() or "")[0] != UNKNOWN for t in rows.column(at)]
             yield rows.filter(pa.array(known, pa.bool_()))
 
     return documents.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,6 @@ def batch(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
-def texts_of(rows: pa.RecordBatch, column: str = "text") -> list[str]:
-    """The texts of a batch; null becomes ''."""
-    return [x or "" for x in rows.column(rows.schema.get_field_index(column)).to_pylist()]
+def texts_of(rows: pa.RecordBatch, column: str = "text") -> Iterator[str]:
+    """The texts of a batch, one at a time; null becomes ''."""
+    return (x.as_py() or "" for x in rows.column(rows.schema.get_field_index(column)))
