@@ -106,6 +106,7 @@ def test_plain_emails():
     ("text", "found"),
     [
         ("mail a.b@c-d.org, ip 1.2.3.4 and 1.2.3.256", [("email", "a.b@c-d.org"), ("ip", "1.2.3.4")]),
+        ("0" * 5000 + "1.2.3.4 and " + "9" * 5000 + ".1.1.1", [("ip", "0" * 5000 + "1.2.3.4")]),
         ("card 4111 1111 1111 1111 or 4111 1111 1111 1112", [("card", "4111 1111 1111 1111")]),
         ("call +1 (456) 555-2186 now", [("phone", "+1 (456) 555-2186")]),
         ("jane [at] mail (dot) example [dot] com", [("email", "jane [at] mail (dot) example [dot] com")]),
