@@ -129,11 +129,24 @@ class Model:
         return self.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
 
 
+#: Hashes are ordered by this many low bits; candidates are some times as many as are wanted.
+ORDER_BITS, SPARE = 30, 4
+
+
 def training_texts(documents: DataFrame, per_language: int, per_text: int) -> dict[str, list[str]]:
-    """Different texts of each language, those of the smallest hash."""
+    """Different texts of each language, those whose hashes come first.
+
+    An estimate of each language's different texts gives a bound below which
+    SPARE times as many hashes lie as are wanted; only those are ranked, so the
+    ranking's input does not grow with the table.
+    """
     rows = documents.where((id_check("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h"), "text")
-    smallest = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= per_language).drop("n")
+    place = F.pmod("h", F.lit(1 << ORDER_BITS))
+    many = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("many")).withColumnRenamed("lang", "of")  # a row a language
+    bound = F.least(F.lit(1.0), F.lit(float(SPARE * per_language)) / F.col("many")) * (1 << ORDER_BITS)
+    first = Window.partitionBy("lang").orderBy(place, "h")
+    near = rows.select("lang", "h").join(F.broadcast(many), F.col("lang") == F.col("of")).where(place <= bound)
+    chosen = near.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
     found = rows.select("lang", "h", F.substring("text", 1, per_text).alias("text")).join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
     for r in found.orderBy("lang", "h").collect():  # at most per_language rows a language
