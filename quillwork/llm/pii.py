@@ -94,7 +94,10 @@ _BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s(?:at|@)\s|@)[A-Z
 _BARE_DOT = re.compile(r"\sdot\s", re.I)
 _SPACED_DOT = re.compile(r"(?<=[0-9])\s?dot\s?(?=[0-9])", re.I)
 _PLUS = re.compile(r"\bplus\s?(?=[0-9])", re.I)
-_EXOTIC = re.compile("[^\x00-\xac\xae-\xff]")
+_EXOTIC = re.compile("[^\x00-\xac\xae-\xb6\xb8-\xff]")
+# Each holds wherever the patterns above match: the first for _AT and _DOT, the second for _BARE.
+_BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|dot|\.)\s?[\])}>]", re.I)
+_ANY_AT = re.compile(r"@|\sat\s", re.I)
 
 
 class Tape:
@@ -102,13 +105,15 @@ class Tape:
 
     def __init__(self, text: str):
         self.text = text
-        self.start, self.end = list(range(len(text))), list(range(1, len(text) + 1))
-        self.new = [False] * len(text)
+        self.start, self.end, self.new = [], [], []  # filled by the first rewrite
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces tape spans, given in order, by strings; each new character spans its whole source."""
         if not edits:
             return
+        if not self.new:
+            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
+            self.new = [False] * len(self.text)
         text, start, end, new, at = [], [], [], [], 0
         for a, b, by in edits:
             text += [self.text[at:a], by]
@@ -136,8 +141,8 @@ def homoglyphs(tape: Tape) -> None:
 
 def spelled_digits(tape: Tape) -> None:
     """Runs of at least two spelled digits, or one beside a digit or a dot, become digits."""
-    edits = []
-    for m in _SPELLED.finditer(tape.text):
+    low, edits = tape.text.lower(), []
+    for m in _SPELLED.finditer(tape.text) if any(word in low for word in NUMBERS) else ():
         words = re.findall("[a-z]+", m[0].lower())
         if len(words) > 1 or re.search(r"(?:[0-9.]|dot)\s?\Z", tape.text[max(0, m.start() - 5) : m.start()], re.I) or re.match(r"\s?(?:[0-9.]|dot)", tape.text[m.end() : m.end() + 5], re.I):
             word = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer("[A-Za-z]+", m[0])]
@@ -147,36 +152,28 @@ def spelled_digits(tape: Tape) -> None:
 
 
 def at_and_dot(tape: Tape) -> None:
-    tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
-    tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
+    if _BRACKETED.search(tape.text):
+        tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
+        tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
     edits = []
-    for m in _BARE.finditer(tape.text):
+    for m in _BARE.finditer(tape.text) if _ANY_AT.search(tape.text) else ():
         if m[1] != "@" or _BARE_DOT.search(m[0]) or " . " in m[0]:
             edits.append((m.start(1), m.end(1), "@"))
             edits += [(m.start(2) + x.start(), m.start(2) + x.end(), ".") for x in re.finditer(r"\sdot\s|\s?\.\s?", m[2], re.I)]
             edits.append((m.start(3), m.end(3), "."))
     tape.rewrite([e for e in edits if tape.text[e[0] : e[1]] != e[2]])
-    tape.rewrite([(m.start(), m.end(), ".") for m in _SPACED_DOT.finditer(tape.text)])
-    tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
-
-
-def disguised(text: str) -> bool:
-    """Whether any transducer could rewrite something that makes an identifier."""
-    try:
-        text.encode("latin-1")
-        if "\xad" in text or "\xb7" in text:
-            return True
-    except UnicodeEncodeError:
-        return True
-    low = text.lower()
-    return "dot" in low or "(at" in low or "[at" in low or "{at" in low or "<at" in low or "at)" in low or "at]" in low or "(@" in low or "[@" in low or " @ " in low or "[.]" in low or "(.)" in low or sum(map(low.count, NUMBERS)) > 1
+    low = tape.text.lower()
+    if "dot" in low:
+        tape.rewrite([(m.start(), m.end(), ".") for m in _SPACED_DOT.finditer(tape.text)])
+    if "plus" in low:
+        tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, disguised) of a text, by start, then kind."""
     plain = plain_spans(text)
     found = [(a, KINDS.index(k), b, False) for k, a, b in plain]
-    if text and disguised(text):
+    if text:
         tape = Tape(text)
         homoglyphs(tape)
         spelled_digits(tape)

@@ -125,6 +125,31 @@ def test_disguises(text, found):
     assert set(found) <= set(got) and (found or not got)
 
 
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [
+        ("email", "jane.doe at example.com"),
+        ("email", "jane at mail.com"),
+        ("email", "jane ( at ) mail.com"),
+        ("email", "jane [ at ] mail.com"),
+        ("email", "jane{@}mail.com"),
+        ("email", "jane<@>mail.com"),
+        ("email", "jane@mail . com"),
+        ("email", "x@mail{.}com"),
+        ("email", "jane@mail\u00b7com"),
+        ("phone", "plus 49 151 2345678"),
+        ("ip", "192.168.1.one"),
+    ],
+)
+def test_disguise_alone(kind, text):
+    around = f"Write or call, {text}, if you can"
+    assert [(k, around[a:b], d) for k, a, b, d in pii.find_spans(around)] == [(kind, text, True)]
+
+
+def test_lookalikes_are_rewritten():
+    assert all(pii._EXOTIC.fullmatch(c) for c in [*pii.LOOKALIKES, *pii.INVISIBLE])
+
+
 # --- 3, 7 ---
 
 
