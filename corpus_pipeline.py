@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.llm import bpe, decontaminate, langid, pii, simhash
+from quillwork.llm import bpe, decontaminate, langid, pii, similar, simhash
 from quillwork.llm.shared import table, written
 
 
@@ -20,8 +20,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Keeps of each group of near copies (five-word similarity 0.8 or more) the document of the smallest doc_id."""
+    return simhash.keep_one(docs, similar.near_copies)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

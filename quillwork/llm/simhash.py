@@ -23,7 +23,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -248,13 +248,14 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     return prints.join(component, "print").select("doc_id", text.alias("fingerprint"), "component_id", "text_hash")
 
 
-def keep_one(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
+def keep_one(documents: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The documents, one of each component: that of the smallest doc_id.
 
+    find gives the components: doc_id, component_id, text_hash of every row.
     Rows repeated in id and text are kept once; a null doc_id names its
     component only where no other document is in it.
     """
-    found = near_duplicates(documents, size)
+    found = find(documents)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")
     marked = written(found.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), stays), "simhash-marks")
     gone, kept = marked.where("NOT stays"), marked.where("stays")
