@@ -216,8 +216,10 @@ def admin_requests(requests: DataFrame, pairs: DataFrame, services: DataFrame, p
     return rows.join(names, rows["id"] == names["request_id"], "left").select("id", "ticket_number", "status", F.coalesce("names", F.lit("")).alias("services"))
 
 
-def users_latest(users: DataFrame, most: int = 50) -> DataFrame:
-    return users.select("id", "name", "role").orderBy(F.desc("id")).limit(most)
+def users_latest(users: DataFrame, most: int | None = None) -> DataFrame:
+    """Every user, newest first; of those the first `most`, if given."""
+    rows = users.select("id", "name", "role").orderBy(F.desc("id"))
+    return rows if most is None else rows.limit(most)
 
 
 CUSTOM_BAR = "__custom_bar__"

@@ -74,7 +74,7 @@ QUERIES = {
     "admin_kpis": lambda s, d: C.admin_kpis(B.requests(s, d), B.users(s, d)),
     "recent_requests": _cases(C.recent_requests),
     "admin_requests": lambda s, d: C.admin_requests(B.requests(s, d), B.request_services(s, d), B.services(s, d)),
-    "users_latest": lambda s, d: C.users_latest(B.users(s, d)),
+    "users_latest": lambda s, d: C.users_latest(B.users(s, d), most=50),  # as in its SQL
     "bar_list": lambda s, d: C.bar_list(B.users(s, d), BARS),
     "role_labels": lambda s, d: C.role_labels(B.users(s, d)),
     "status_labels": _req(C.status_labels),

@@ -124,3 +124,9 @@ def test_maintenance(spark):
     actions = spark.createDataFrame([(1, 1, T(2024, 1, 1), "toggle", 7, 3), (1, 2, T(2024, 1, 2), "toggle", 7, 3), (1, 3, T(2024, 1, 3), "toggle", 8, 3), (1, 4, T(2024, 1, 4), "claim", 7, 9), (1, 5, T(2024, 1, 5), "claim", 7, 3), (1, 6, T(2024, 1, 6), "close", 7, 3)], "case_id long, seq long, at timestamp_ntz, action string, service_id long, user_id long")
     state = M.case_state_fold(actions).first()
     assert (state.advisor_id, state.first_contact_at, state.case_status, state.closed_at, state.completed) == (9, T(2024, 1, 4), "closed", T(2024, 1, 6), 1)
+
+
+def test_users_latest_gives_every_user(spark):
+    users = spark.range(120).selectExpr("id", "concat('u', id) AS name", "'user' AS role")
+    assert [r.id for r in C.users_latest(users).collect()] == list(range(119, -1, -1))
+    assert [r.id for r in C.users_latest(users, most=2).collect()] == [119, 118]
