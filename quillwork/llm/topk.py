@@ -12,7 +12,8 @@ block. Many queries read a block together: "read at depth t" is a mask over
 the block, and the partial sums of all queries are matrix products with it.
 
 Scores are integers; sums of products are exact in doubles below 2**53, which
-is checked for every block (larger ones are scored in Python integers).
+is checked for every block (larger ones are scored in Python integers, without
+pruning; a score among the k best that no long holds is an error).
 
 Edge cases: vectors that are null, empty or hold a null or non-finite
 component take no part; vectors are compared only with those of the same
@@ -50,6 +51,11 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, c)
 
 
+def _largest(vectors: np.ndarray) -> int:
+    """The largest magnitude of a component, as a Python integer."""
+    return max(int(vectors.max()), -int(vectors.min()))
+
+
 class Search:
     """The running top k of a block of queries."""
 
@@ -62,6 +68,9 @@ class Search:
     def read(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Reads one block's sorted lists."""
         n, d = vectors.shape
+        if _largest(self.vectors) * _largest(vectors) * d >= 2**53:
+            self._resolve_exactly(ids, vectors)
+            return
         values = vectors.astype(float)
         order = np.argsort(values, axis=0, kind="stable")
         rank = np.empty_like(order)
@@ -99,6 +108,15 @@ class Search:
             if len(self.best[q]) == self.k:
                 self.certain[q] = -self.best[q][-1][0]
 
+    def _resolve_exactly(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Scores a whole block in Python integers, where doubles and int64 could round or wrap."""
+        names, rows = ids.tolist(), vectors.astype(object)
+        for q, (own, vector) in enumerate(zip(self.ids.tolist(), self.vectors.astype(object))):
+            found = [(-s, i) for s, i in zip((rows @ vector).tolist(), names) if i != own]
+            self.best[q] = sorted(self.best[q] + found)[: self.k]
+            if len(self.best[q]) == self.k:
+                self.certain[q] = -self.best[q][-1][0]
+
     def result(self) -> pa.RecordBatch:
         rows = [(q, i, -s) for q, best in zip(self.ids.tolist(), self.best) for s, i in best]
         return batch({name: ([r[at] for r in rows], pa.int64()) for at, name in enumerate(("query_id", "vec_id", "score"))})

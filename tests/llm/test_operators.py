@@ -352,3 +352,26 @@ def test_repeats(spark, texts):
     rows += texts[:120]
     got = exactsubstr.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == plain_repeats(rows)
+
+
+@pytest.mark.parametrize("shift", [20, 27, 30])
+def test_large_components_are_exact(shift):
+    rng = random.Random(shift)
+    draw = lambda n: np.array([[rng.randint(-(1 << shift), 1 << shift) for _ in range(8)] for _ in range(n)], np.int64)
+    queries, base = draw(4), draw(600)
+    base[300:] = base[:300]
+    base[300:, 0] += 1  # scores that differ by less than a double holds
+    search = topk.Search(np.arange(1000, 1004), queries, 5)
+    for a in range(0, 600, 200):
+        search.read(np.arange(a, a + 200), base[a : a + 200])
+    for q, best in zip(queries.tolist(), search.best):
+        want = sorted((-sum(x * y for x, y in zip(q, c)), i) for i, c in enumerate(base.tolist()))
+        assert best == want[:5]
+
+
+def test_large_scores_do_not_wrap():
+    search = topk.Search(np.array([9]), np.array([[1 << 33, 1 << 33]]), 1)
+    search.read(np.array([1, 2]), np.array([[1 << 32, 0], [0, 1]]))
+    assert search.best == [[(-(1 << 65), 1)]]
+    with pytest.raises(OverflowError):
+        search.result()
