@@ -16,19 +16,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.llm.pretokens import Memory, mapped, pieces
-from quillwork.llm.pretokens import byte_chars
-from quillwork.llm.shared import batch, table, texts_of
+from quillwork.llm.pretokens import BatchEncoder, byte_chars, byte_strings, mapped
+from quillwork.llm.shared import batch, slices, table
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -78,24 +78,31 @@ class Codec:
         self.whole = {token: rank for rank, token in enumerate(self.tokens)}
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
-        self.ids = list(range(len(self.tokens)))  # one object an id, however often it is remembered
-        self.memory = Memory(self.piece, most=150_000)
+        self.batch = BatchEncoder(self.piece, self.letters, most=200_000)
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        ids: list[int] = []
+    def piece(self, text: str) -> bytes:
+        ids = array("I")
         for token in self.split(text):
             rank = self.whole.get(token.encode())
             if rank is None:
-                ids += self.model.encode(mapped(token), out_type=int)
+                ids.extend(self.model.encode(mapped(token), out_type=int))
             else:
                 ids.append(rank)
-        return tuple(map(self.ids.__getitem__, ids))
+        return ids.tobytes()
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        ranks = [self.whole.get(b" " + word.encode()) for word in words]
+        found = [None if rank is None else array("I", (rank,)).tobytes() for rank in ranks]
+        long = [at for at, rank in enumerate(ranks) if rank is None]
+        if long:
+            space = mapped(" ")
+            spelled = [space + chars for chars in byte_strings([words[at] for at in long])]
+            for at, ids in zip(long, self.model.encode(spelled, out_type=int, num_threads=1)):
+                found[at] = array("I", ids).tobytes()
+        return found
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        first, *rest = pieces(text)
-        return [*self.piece(first), *chain.from_iterable(self.memory(rest))]
+        return self.batch(pa.array([text]))[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -115,9 +122,10 @@ def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
-        for rows in batches:
-            ids = [codec.encode(text) for text in texts_of(rows)]
-            yield batch({"doc_id": (rows.column(0), pa.int64()), "ids": (ids, pa.list_(pa.int32()))})
+        for rows in slices(batches, "text"):
+            ids, lengths = codec.batch(rows.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield batch({"doc_id": (rows.column(0), pa.int64()), "ids": (lists, lists.type)})
 
     return documents.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -144,11 +152,12 @@ def round_trip_digests(documents: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
         written = [str(i) for i in range(len(codec.tokens))]
-        for rows in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for text in texts_of(rows):
-                ids = codec.encode(text)
-                counts.append(len(ids))
+        for rows in slices(batches, "text"):
+            every, counts = codec.batch(rows.column(1))
+            of_ids, of_bytes, at = [], [], 0
+            for n in counts.tolist():
+                ids = every[at : at + n].tolist()
+                at += n
                 of_ids.append(hashlib.sha256(" ".join(map(written.__getitem__, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield batch({"doc_id": (rows.column(0), pa.int64()), "n_tokens": (counts, pa.int64()), "ids_sha256": (of_ids, pa.string()), "decoded_sha256": (of_bytes, pa.string())})

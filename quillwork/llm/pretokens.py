@@ -12,9 +12,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: A space before white space or the end; texts without one fall apart at every space.
 TOGETHER = re.compile(r" (?=\s|\Z)")
 APART = re.compile(r"(?<=\S) (?=\S)")
+#: Marks that are one pre-token where they end a word of letters.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Holds wherever TOGETHER does, in Arrow's regular expressions.
+MAYBE_TOGETHER = r" (?:[\s\v\x1c-\x1f\x{85}\p{Z}]|$)"
 
 
 def pieces(text: str) -> list[str]:
@@ -31,6 +39,7 @@ def byte_chars() -> list[str]:
 
 
 _TO_CHARS = {b: c for b, c in enumerate(byte_chars())}
+_CHARS = np.array([ord(c) for c in byte_chars()], "<u2")
 
 
 def mapped(piece: str) -> str:
@@ -38,6 +47,12 @@ def mapped(piece: str) -> str:
     return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_CHARS)
 
 
+def byte_strings(words: list[str]) -> list[str]:
+    """`mapped` of every word; no word holds a space."""
+    data = np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+    return _CHARS[data].tobytes().decode("utf-16-le").split(_TO_CHARS[32])
+
+
 class Memory:
     """What `make` gives for pieces, for the pieces met of late.
 
@@ -45,28 +60,96 @@ class Memory:
     one is full it becomes the old one, whose entries return as they are met.
     """
 
-    def __init__(self, make: Callable[[str], object], most: int = 300_000, longest: int = 64):
+    def __init__(self, make: Callable[[list[str]], list], most: int = 300_000, longest: int = 64):
         self.make, self.most, self.longest = make, most, longest
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
+    def get(self, word: str) -> object:
+        """What is remembered of ' ' + word, if anything."""
+        found = self.young.get(word)
+        return self.old.get(word) if found is None else found
+
     def __call__(self, words: list[str]) -> list:
-        """What belongs to ' ' + word, for each word."""
+        """What belongs to ' ' + word, for each of different words."""
         found = list(map(self.young.get, words))
-        if None in found:
-            young, old, make = self.young, self.old, self.make
-            for at, x in enumerate(found):
-                if x is None:
-                    word = words[at]
-                    x = young.get(word)
-                    if x is None:
-                        x = old.get(word)
-                        if x is None:
-                            x = make(" " + word)
-                        if len(word) <= self.longest:
-                            if len(young) >= self.most:
-                                self.old = old = young
-                                self.young = young = {}
-                            young[word] = x
-                    found[at] = x
+        absent = [at for at, x in enumerate(found) if x is None]
+        if not absent:
+            return found
+        for at in absent:
+            found[at] = self.old.get(words[at])
+        absent_too = [at for at in absent if found[at] is None]
+        for at, x in zip(absent_too, self.make([words[at] for at in absent_too])):
+            found[at] = x
+        for at in absent:
+            if len(words[at]) <= self.longest:
+                if len(self.young) >= self.most:
+                    self.old, self.young = self.young, {}
+                self.young[words[at]] = found[at]
         return found
+
+
+class BatchEncoder:
+    """Ids of many texts at once; each different piece of a batch is looked up once.
+
+    All give ids as the bytes of 32-bit numbers: piece those of a text, letters
+    those of ' ' + word for words of letters, which are one pre-token each,
+    alone those of a text that has to be encoded for itself (None: there is none).
+    """
+
+    def __init__(self, piece: Callable[[str], bytes], letters: Callable[[list[str]], list[bytes]], alone: Callable[[str], bytes | None] = lambda text: None, most: int = 300_000):
+        self.piece, self.letters, self.alone = piece, letters, alone
+        self.memory, self.tails = Memory(self.words, most), Memory(lambda tails: list(map(piece, tails)), 10_000, 16)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of ' ' + word; marks behind letters are a pre-token of their own."""
+        found: list[bytes | None] = [None] * len(words)
+        plain = [at for at, word in enumerate(words) if word.isalpha()]
+        new = {}
+        for at, ids in zip(plain, self.letters([words[at] for at in plain])):
+            found[at] = new[words[at]] = ids
+        stems = [word.rstrip(MARKS) if ids is None else word for word, ids in zip(words, found)]
+        rest = [at for at, ids in enumerate(found) if ids is None]
+        marked = [at for at in rest if stems[at].isalpha()]
+        known = {stem: new.get(stem) or self.memory.get(stem) for stem in {stems[at] for at in marked}}
+        absent = [stem for stem, ids in known.items() if ids is None]
+        known.update(zip(absent, self.letters(absent)))
+        tails = list({words[at][len(stems[at]) :] for at in marked})
+        marks = dict(zip(tails, self.tails(tails)))
+        for at in marked:
+            found[at] = known[stems[at]] + marks[words[at][len(stems[at]) :]]
+        for at in rest:
+            if found[at] is None:
+                found[at] = self.piece(" " + words[at])
+        return found
+
+    def head(self, text: str) -> bytes:
+        """The ids of a text that doesn't fall apart at every space."""
+        first, *rest = pieces(text)
+        return self.piece(first) + b"".join([self.piece(" " + word) for word in rest])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has; null is ''."""
+        n = len(texts)
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        alone = {at: ids for at, text in enumerate(texts.to_pylist()) if (ids := self.alone(text)) is not None}
+        whole = pc.match_substring_regex(texts, MAYBE_TOGETHER).to_numpy(zero_copy_only=False)
+        whole[list(alone)] = True
+        lists = pc.split_pattern(pc.if_else(pa.array(~whole), texts, ""), " ")
+        words, starts = lists.flatten(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        heads = [alone[at] if at in alone else self.head(texts[at].as_py()) if w else self.piece(first) for at, (w, first) in enumerate(zip(whole.tolist(), words.take(pa.array(starts)).to_pylist()))]
+        later = np.ones(len(words), bool)
+        later[starts] = False
+        coded = words.filter(pa.array(later)).dictionary_encode()
+        table = self.memory(coded.dictionary.to_pylist())
+        known = len(table)
+        table += heads
+        ids, lengths = np.frombuffer(b"".join(table), np.uint32), np.fromiter(map(len, table), np.int64, len(table)) // 4
+        places = np.cumsum(lengths) - lengths
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), starts - np.arange(n), known + np.arange(n))
+        taken = lengths[order]
+        ends = np.cumsum(taken)
+        at = np.repeat(places[order] - (ends - taken), taken) + np.arange(ends[-1])
+        return ids[at], np.add.reduceat(taken, starts)

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,14 @@ def batch(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 def texts_of(rows: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     """The texts of a batch, one at a time; null becomes ''."""
     return (x.as_py() or "" for x in rows.column(rows.schema.get_field_index(column)))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a part holds about `most` bytes of a column or one row."""
+    for rows in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(rows.column(rows.schema.get_field_index(column))), 0)).astype(np.int64)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield rows.slice(a, b - a)

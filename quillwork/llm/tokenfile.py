@@ -12,9 +12,11 @@ operation. Segments are the `payload` of a Parquet table in the shared folder
 (Spark's writer and committer, so a lost executor leaves no half file); beside
 each are its documents' ids and lengths, the index for random access.
 
-Edge cases: a null or empty text holds just the end id; rows with the same
-doc_id follow each other in the order of their texts; a null doc_id comes
-first; an empty table gives an empty file set; other columns pass by.
+Edge cases: a null or empty text holds just the end id; texts of any length are
+encoded whole; rows with the same doc_id follow each other in the order of a
+hash of their ids; a null doc_id comes first; an empty table gives an empty
+file set; other columns pass by. The folder of segments and the encoded ids
+that it is made from stay until their owner, the caller, removes them.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillwork.llm.pretokens import Memory, mapped, pieces
-from quillwork.llm.shared import batch, shared_folder, table, texts_of
+from quillwork.llm.pretokens import BatchEncoder, byte_strings, mapped
+from quillwork.llm.shared import batch, shared_folder, slices, table, written
 
 MAGIC, HEAD = b"QWT1", struct.Struct("<4sIIIQQ")
 #: Ids a block, and the ids at which a segment is closed.
@@ -99,7 +101,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model, self.split = self.library.model, regex.compile(pattern).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memory = Memory(self.piece)
+        self.batch = BatchEncoder(self.piece, self.letters, self.alone)
         self.parts: dict[str, list[int]] = {}
 
     def part(self, text: str) -> list[int]:
@@ -115,17 +117,22 @@ class Encoder:
 
     def piece(self, text: str) -> bytes:
         ids = array("I")
-        for part in (text,) if text[1:].isalpha() and text[0] == " " else self.split(text):
+        for part in self.split(text):
             ids.extend(self.part(part))
         return ids.tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
+    def letters(self, words: list[str]) -> list[bytes]:
+        tokenize, space = self.model.tokenize, mapped(" ")
+        return [array("I", [t.id for t in tokenize(space + chars)]).tobytes() for chars in byte_strings(words)] if words else []
+
+    def alone(self, text: str) -> bytes | None:
+        """The ids of a text that holds a special token."""
         if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        if not text:
-            return np.zeros(0, np.uint32)
-        first, *rest = pieces(text)
-        return np.frombuffer(self.piece(first) + b"".join(self.memory(rest)), "<u4")
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return None
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.batch(pa.array([text]))[0]
 
     @property
     def vocabulary(self) -> int:
@@ -142,34 +149,55 @@ SEGMENTS = "part long, seq long, n_ids long, doc_ids array<long>, lengths array<
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def encoded(documents: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+    """doc_id, ids (16-bit numbers where the vocabulary allows it, else 32-bit ones) of every document, its end id included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = encoder(tokenizer)
+        kind = "<u2" if width_of(max(codec.vocabulary, end + 1)) <= 16 else "<u4"
+        for rows in slices(batches, "text"):
+            ids, lengths = codec.batch(rows.column(1))
+            with_end = np.insert(ids.astype(kind), np.cumsum(lengths), end)
+            offsets = np.r_[0, np.cumsum(lengths + 1)] * with_end.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)])
+            yield batch({"doc_id": (rows.column(0), pa.int64()), "ids": (packed.cast(pa.binary()), pa.binary())})
+
+    return documents.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+
+
 def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end: int = END) -> None:
-    """Writes the ids of all documents, in ascending doc_id, to segments in a folder."""
+    """Writes the ids of all documents, in ascending doc_id, to segments in a folder.
+
+    Texts are encoded where they are read; only ids are shuffled. Rows of one
+    doc_id are ordered by a hash of their ids, then dealt by row, so that no
+    doc_id has to lie in one partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        width = width_of(max(codec.vocabulary, end + 1))
+        part, seq, bits = TaskContext.get().partitionId(), 0, width_of(max(encoder(tokenizer).vocabulary, end + 1))
+        kind = "<u2" if bits <= 16 else "<u4"
         ids, docs, lengths, total = [], [], [], 0
-        last = np.array([end], np.uint32)
 
         def closed() -> pa.RecordBatch:
-            every = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            return batch({"part": ([part], pa.int64()), "seq": ([seq], pa.int64()), "n_ids": ([total], pa.int64()), "doc_ids": ([docs], pa.list_(pa.int64())), "lengths": ([lengths], pa.list_(pa.int32())), "payload": ([pack(every, width)], pa.binary())})
+            every = np.frombuffer(b"".join(ids), kind)
+            return batch({"part": ([part], pa.int64()), "seq": ([seq], pa.int64()), "n_ids": ([total], pa.int64()), "doc_ids": ([docs], pa.list_(pa.int64())), "lengths": ([lengths], pa.list_(pa.int32())), "payload": ([pack(every, bits)], pa.binary())})
 
         for rows in batches:
-            for doc, text in zip(rows.column(0).to_pylist(), texts_of(rows)):
-                found = codec.encode(text)
-                ids += [found, last]
+            for doc, packed in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                n = len(packed) // np.dtype(kind).itemsize
+                ids.append(packed)
                 docs.append(doc)
-                lengths.append(len(found) + 1)
-                total += len(found) + 1
+                lengths.append(n)
+                total += n
                 if total >= SEGMENT:
                     yield closed()
                     seq, ids, docs, lengths, total = seq + 1, [], [], [], 0
         if docs:
             yield closed()
 
-    ordered = documents.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(folder)
+    keyed = written(encoded(documents, tokenizer, end).withColumn("tie", F.xxhash64("ids")), "token-ids").withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
+    ordered.select("doc_id", "ids").mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
