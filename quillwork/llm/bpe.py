@@ -90,12 +90,12 @@ class Codec:
                 ids.append(rank)
         return ids.tobytes()
 
-    def letters(self, words: list[str]) -> list[bytes]:
-        ranks = [self.whole.get(b" " + word.encode()) for word in words]
+    def letters(self, words: list[str], before: str) -> list[bytes]:
+        ranks = [self.whole.get((before + word).encode()) for word in words]
         found = [None if rank is None else array("I", (rank,)).tobytes() for rank in ranks]
         long = [at for at, rank in enumerate(ranks) if rank is None]
         if long:
-            space = mapped(" ")
+            space = mapped(before)
             spelled = [space + chars for chars in byte_strings([words[at] for at in long])]
             for at, ids in zip(long, self.model.encode(spelled, out_type=int, num_threads=1)):
                 found[at] = array("I", ids).tobytes()

@@ -1,19 +1,25 @@
 """Removal of repeated 400-byte strings by suffix arrays over content-dealt shards.
 
-Strings are dealt so that equal ones meet. In every window of LENGTH bytes the
+Strings are dealt so that equal ones meet. In every window of PASSAGE bytes the
 place of the smallest K-byte hash is its anchor; equal windows have equal
 anchors, and an anchor serves a run of consecutive windows. Anchors that occur
-once can't lie in a repeated window. The bytes around the others go to the
-shard of their hash, equal pieces of one task once.
-
-Within an anchor's group, windows are cut into cells by their distance from the
-anchor. All windows of a cell hold the same CORE bytes; pieces with equal cores
-form a class. If a class has one spelling, its windows are repeated or not by
-count. Where spellings differ, each is shortened to the bytes left and right of
-the core with the class's number between them, and a shard's suffix array over
-the shortened spellings (induced sorting) with its permuted common prefixes
-tells which windows occur twice. Nothing is approximate: equal windows have the
-same anchor, cell and core, so they are compared, byte by byte, in one array.
+once can't lie in a repeated window. The runs of the others are cut into cells
+of CELL windows by their distance from the anchor. All windows of a cell hold
+the same CORE bytes; cells with equal anchors, places and cores form a class,
+whose name is a 128-bit hash of these. Equal windows lie in one class.
+
+A cell's spelling is what it has left and right of the core. If a class has one
+spelling, its windows are repeated or not by count. Where spellings differ,
+they go, with the class's number in place of the core, to the suffix array of a
+shard (induced sorting), whose permuted common prefixes tell which windows of
+PASSAGE and which of LENGTH bytes occur twice. A class of more than MOST
+spellings can't be one array; its windows are counted, each as a row. Equal
+spellings of a class are one row before any task gathers a class, so a passage
+that many texts share costs as many rows as it has different surroundings.
+
+Strings are compared by their bytes around cores and by 128-bit hashes of
+cores. LENGTH decides what is removed. Of PASSAGE (256 bytes, less than some 50
+words) only a count is given: it shows passages that LENGTH doesn't reach.
 
 Edge cases: null and empty texts have no bytes; texts below LENGTH bytes keep
 all; equal texts of LENGTH bytes or more are removed whole, as every string of
@@ -25,7 +31,6 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +42,13 @@ from pyspark.sql import functions as F
 from quillwork.llm.shared import batch, table, written
 from quillwork.llm.suffixes import permuted_common_prefixes, suffix_array
 
-LENGTH, K, CELL = 400, 32, 21
-CORE = LENGTH - CELL + 1
+LENGTH, PASSAGE, K, CELL = 400, 256, 32, 64
+CORE = PASSAGE - CELL + 1
 #: Bytes that UTF-8 never uses: digits of a class's number, and what ends a spelling.
 DIGITS, END = bytes([0xC0, 0xC1, *range(0xF5, 0xFF)]), b"\xff"
 PLACES = 5
-#: Symbols of one suffix array.
-SHARD = 1 << 20
+#: Symbols of one suffix array, and the spellings of a class that go to one.
+SHARD, MOST = 1 << 20, 2048
 #: Bytes whose anchors are sought at once; position bits of a hash.
 PIECE, BITS = 1 << 19, 20
 
@@ -69,12 +74,12 @@ def _hashes(data: np.ndarray) -> np.ndarray:
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place, first window, windows) of each anchor, in order."""
     parts = []
-    windows = len(text) - LENGTH + 1
-    span = LENGTH - K + 1
+    windows = len(text) - PASSAGE + 1
+    span = PASSAGE - K + 1
     data = np.frombuffer(text, np.uint8)
     for start in range(0, windows, PIECE):
         count = min(PIECE, windows - start)
-        x = _hashes(data[start : start + count + LENGTH - 1])
+        x = _hashes(data[start : start + count + PASSAGE - 1])
         keyed = (x >> np.uint64(BITS) << np.uint64(BITS)) | np.arange(len(x), dtype=np.uint64)
         blocks = np.full(-(-len(x) // span) * span, ~np.uint64(0))
         blocks[: len(x)] = keyed
@@ -99,189 +104,198 @@ def _digits(number: int) -> bytes:
 
 
 class Shard:
-    """Shortened spellings that wait for one suffix array."""
+    """Spellings that wait for one suffix array."""
 
     def __init__(self):
         self.parts: list[bytes] = []
-        self.owners: list[tuple[list, int, int]] = []  # (what to mark, its first window, windows)
+        self.marks: list[tuple[int, list]] = []  # (windows, what to mark)
         self.size = self.classes = 0
 
-    def add(self, spellings: list[tuple[bytes, int, int, list]]) -> None:
-        """One class: (bytes, core's start, first window, what to mark) of each spelling."""
+    def add(self, spellings: list[tuple[bytes, bytes, list]]) -> None:
+        """One class: (bytes left of the core, bytes right of it, marks) of each spelling."""
         name = _digits(self.classes)
         self.classes += 1
-        for text, core, first, marks in spellings:
-            short = text[:core] + name + text[core + CORE :] + END
-            self.parts.append(short)
-            self.owners.append((marks, first, len(text) - LENGTH + 1))
-            self.size += len(short)
+        for left, right, marks in spellings:
+            self.parts.append(left + name + right + END)
+            self.marks.append((len(left) + 1, marks))
+            self.size += len(self.parts[-1])
 
     def full(self) -> bool:
         return self.size >= SHARD or self.classes >= len(DIGITS) ** PLACES - 1
 
     def resolve(self) -> None:
-        """Marks the windows that occur more than once."""
-        if not self.parts:
-            return
-        data = np.frombuffer(b"".join(self.parts), np.uint8)
-        used = np.unique(data)
-        rank = np.zeros(256, np.uint8)
-        rank[used] = np.arange(1, len(used) + 1)
-        text = np.r_[rank[data], np.uint8(0)]
-        order = suffix_array(text)
-        window = CELL - 1 + PLACES
-        shared = permuted_common_prefixes(text, order, window) >= window
-        twice = shared.copy()
-        twice[order[:-1]] |= shared[order[1:]]  # also the predecessor of each
-        start = 0
-        for part, (marks, first, windows) in zip(self.parts, self.owners):
-            hit = np.flatnonzero(twice[start : start + windows])
-            if len(hit):
-                marks.append((first + int(hit[0]), first + int(hit[-1])))
-            start += len(part)
+        """Adds to each spelling's marks its first and last window of PASSAGE and of LENGTH bytes that occurs twice."""
+        if self.parts:
+            data = np.frombuffer(b"".join(self.parts), np.uint8)
+            used = np.unique(data)
+            rank = np.zeros(256, np.uint8)
+            rank[used] = np.arange(1, len(used) + 1)
+            text = np.r_[rank[data], np.uint8(0)]
+            order = suffix_array(text)
+            shared = permuted_common_prefixes(text, order, LENGTH - CORE + PLACES)
+            longest = shared.copy()  # what a suffix shares with either neighbour
+            np.maximum.at(longest, order[:-1], shared[order[1:]])
+            start = 0
+            for part, (windows, marks) in zip(self.parts, self.marks):
+                for at, length in enumerate((PASSAGE, LENGTH)):
+                    window = length - CORE + PLACES
+                    starts = min(windows, len(part) - window)
+                    hit = np.flatnonzero(longest[start : start + starts] >= window) if starts > 0 else ()
+                    if len(hit):
+                        marks[at] = (int(hit[0]), int(hit[-1]))
+                start += len(part)
         self.__init__()
 
 
-def mark_group(pieces: dict[tuple[int, int], list], shard: Shard) -> None:
-    """Finds the repeated windows of one anchor's pieces.
-
-    pieces: {id: [text, anchor's place in it, count, marks]}; marks gets the
-    first and last repeated window of each cell.
-    """
-    classes: dict[tuple[int, bytes], dict[tuple[bytes, int], list]] = {}
-    for piece in pieces.values():
-        text, at, count, marks = piece
-        last = len(text) - LENGTH  # windows 0 .. last, at distances at - last .. at
-        for cell in range((at - last) // CELL, at // CELL + 1):
-            core = at - cell * CELL  # the cell's windows hold the CORE bytes from here
-            first, end = max(0, core - CELL + 1), min(last, core)
-            spelling = text[first : end + LENGTH]
-            found = classes.setdefault((cell, text[core : core + CORE]), {}).setdefault((spelling, core - first), [0, []])
-            found[0] += count
-            found[1].append((marks, first))
-    for spellings in classes.values():
-        waiting = []
-        for (text, core), (count, owners) in spellings.items():
-            if count > 1:
-                for marks, first in owners:
-                    marks.append((first, first + len(text) - LENGTH))
-            if len(spellings) > 1:
-                if count > 1:
-                    waiting.append((text, core, 0, []))
-                else:
-                    waiting.append((text, core, owners[0][1], owners[0][0]))
-        if waiting:
-            shard.add(waiting)
-            if shard.full():
-                shard.resolve()
+def mark_class(spellings: list[tuple[bytes, bytes, int, list]], shard: Shard) -> None:
+    """Finds the repeated windows of one class's spellings: (left, right, count, marks)."""
+    for left, right, count, marks in spellings:
+        if count > 1:
+            for at, length in enumerate((PASSAGE, LENGTH)):
+                last = min(len(left), len(left) + CORE + len(right) - length)
+                if last >= 0:
+                    marks[at] = (0, last)
+    if len(spellings) > 1:
+        shard.add([(left, right, [None, None] if count > 1 else marks) for left, right, count, marks in spellings])
+        if shard.full():
+            shard.resolve()
 
 
-OWNED = "anchor long, id1 long, id2 long, k1 long, k2 long, first long, place int, piece binary"
-FOUND = "k1 long, k2 long, start long, stop long"
+CELLS = "c1 long, c2 long, s1 long, s2 long, k1 long, k2 long, start long, left binary, right binary"
+MARKS = "c1 long, c2 long, s1 long, s2 long, first int, last int, first_long int, last_long int"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around each candidate anchor; a piece that this task has sent before goes without them."""
-    sent: set[tuple[int, int, int]] = set()
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of each candidate anchor's run; a spelling that this task has sent before goes without its bytes."""
+    sent: set[bytes] = set()
     previous = None
+    keys: list[bytes] = []
+    rows_out: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        numbers = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 4)
+        columns = {name: (pa.array(np.ascontiguousarray(numbers[:, i])), pa.int64()) for i, name in enumerate(("c1", "c2", "s1", "s2"))}
+        for name, kind, values in zip(("k1", "k2", "start", "left", "right"), (pa.int64(),) * 3 + (pa.binary(),) * 2, zip(*rows_out)):
+            columns[name] = (values, kind)
+        keys.clear()
+        rows_out.clear()
+        return batch(columns)
+
     for rows in batches:
-        out: list[tuple] = []
         for k1, k2, text, found in zip(*((x.as_py() for x in rows.column(i)) for i in range(4))):
             if (k1, k2) == previous:  # another row of the same text
                 continue
             previous = (k1, k2)
             data = text.encode("utf-8", "surrogatepass")
             for c in found:
-                first, windows = c["first"], c["windows"]
-                piece = data[first : first + windows + LENGTH - 1]
-                place = c["place"] - first
-                key = (c["anchor"], xxhash.xxh64_intdigest(piece) - (1 << 63), zlib.crc32(piece) << 24 | len(piece) << 10 | place & 1023)
-                new = key not in sent
-                if new:
-                    if len(sent) > 1_000_000:
-                        sent.clear()
-                    sent.add(key)
-                out.append((*key, k1, k2, first, place, piece if new else None))
-            if len(out) >= 20_000:
-                yield _owned(out)
-                out = []
-        if out:
-            yield _owned(out)
-
-
-def _owned(rows: list[tuple]) -> pa.RecordBatch:
-    names = ("anchor", "id1", "id2", "k1", "k2", "first", "place", "piece")
-    kinds = (pa.int64(),) * 6 + (pa.int32(), pa.binary())
-    return batch({n: (list(c), t) for n, t, c in zip(names, kinds, zip(*rows))})
+                anchor, place, first, last = c["anchor"], c["place"], c["first"], c["first"] + c["windows"] - 1
+                for cell in range((place - last) // CELL, (place - first) // CELL + 1):
+                    core = place - cell * CELL  # the cell's windows hold the CORE bytes from here
+                    begin, end = max(first, core - CELL + 1), min(last, core)
+                    left, right = data[begin:core], data[core + CORE : end + LENGTH]
+                    key = xxhash.xxh3_128_digest(data[core : core + CORE], (anchor * 0x9E3779B1 + cell) & 0xFFFFFFFFFFFFFFFF)
+                    key += xxhash.xxh3_128_digest(left + END + right)
+                    if key in sent:
+                        left = right = None
+                    else:
+                        if len(sent) >= 300_000:
+                            sent.clear()
+                        sent.add(key)
+                    keys.append(key)
+                    rows_out.append((k1, k2, begin, left, right))
+                if len(rows_out) >= 20_000:
+                    yield out()
+        if rows_out:
+            yield out()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The repeated stretches of a partition sorted by anchor."""
+    """The marks of the spellings of a partition sorted by class."""
     shard = Shard()
-    pieces: dict[tuple[int, int], list] = {}
-    owners: list[tuple] = []
-    anchor = None
-    waiting: list[tuple[dict, list]] = []
+    waiting: list[tuple] = []
+    own: list[tuple] = []
+    name = None
 
     def results() -> Iterator[pa.RecordBatch]:
         shard.resolve()
-        out = []
-        for group, own in waiting:
-            for id1, id2, k1, k2, first in own:
-                marks = group[id1, id2][3]
-                if marks:  # a run's windows overlap each other: one stretch
-                    out.append((k1, k2, first + min(a for a, _ in marks), first + max(b for _, b in marks) + LENGTH))
+        out = [(*key, *(marks[0] or (None, None)), *(marks[1] or (None, None))) for key, marks in waiting if any(marks)]
         waiting.clear()
         if out:
-            yield batch({n: (list(c), pa.int64()) for n, c in zip(("k1", "k2", "start", "stop"), zip(*out))})
+            kinds = (pa.int64(),) * 4 + (pa.int32(),) * 4
+            yield batch({n: (c, t) for n, t, c in zip(("c1", "c2", "s1", "s2", "first", "last", "first_long", "last_long"), kinds, zip(*out))})
+
+    def close() -> None:
+        if len(own) > 1 or own and own[0][6] > 1:
+            marks = [[None, None] for _ in own]
+            mark_class([(x[4], x[5], x[6], m) for x, m in zip(own, marks)], shard)
+            waiting.extend((x[:4], m) for x, m in zip(own, marks))
+        own.clear()
 
-    held = 0
     for rows in batches:
-        for a, id1, id2, k1, k2, first, place, piece in zip(*(rows.column(i).to_pylist() for i in range(8))):
-            if a != anchor:
-                if len(owners) > 1:
-                    mark_group(pieces, shard)
-                    held += len(owners)
-                    waiting.append((pieces, owners))
-                anchor, pieces, owners = a, {}, []
-                if held >= 50_000:
+        for row in zip(*(rows.column(i).to_pylist() for i in range(7))):
+            if row[:2] != name:
+                close()
+                name = row[:2]
+                if len(waiting) >= 50_000:
                     yield from results()
-                    held = 0
-            known = pieces.setdefault((id1, id2), [None, place, 0, []])
-            if piece is not None:
-                known[0] = piece
-            known[2] += 1
-            owners.append((id1, id2, k1, k2, first))
-    if len(owners) > 1:
-        mark_group(pieces, shard)
-        waiting.append((pieces, owners))
+            own.append(row)
+    close()
     yield from results()
 
 
+def counted_windows(spellings: DataFrame) -> DataFrame:
+    """The marks of the spellings of large classes: every window is a row, equal ones are counted."""
+    longest = F.length("left")
+
+    def windows(length: int) -> Column:
+        around = length - CORE  # bytes left and right of the core
+        least = F.greatest(F.lit(0), F.lit(around) - F.length("right"))
+
+        def window(a: Column) -> Column:
+            parts = F.substring("left", longest - a + 1, a), F.substring("right", F.lit(1), F.lit(around) - a)
+            hashes = [F.xxhash64(F.lit(seed), F.lit(length), "c1", "c2", a, *parts).alias(f"w{seed}") for seed in (1, 2)]
+            return F.struct(*hashes, F.lit(length == LENGTH).alias("long"), (longest - a).alias("at"))
+
+        return F.when(least <= longest, F.transform(F.sequence(least, longest), window)).otherwise(F.array())
+
+    each = spellings.select("c1", "c2", "s1", "s2", "n", F.explode(F.concat(windows(PASSAGE), windows(LENGTH))).alias("w")).select("c1", "c2", "s1", "s2", "n", "w.*")
+    twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
+    short, long = F.when(~F.col("long"), F.col("at")), F.when(F.col("long"), F.col("at"))
+    return each.join(twice, ["w1", "w2"]).groupBy("c1", "c2", "s1", "s2").agg(F.min(short).alias("first"), F.max(short).alias("last"), F.min(long).alias("first_long"), F.max(long).alias("last_long"))
+
+
+def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Applies each text's removed stretches."""
     for rows in batches:
         out = []
         for doc, text, found, copies in zip(*((x.as_py() for x in rows.column(i)) for i in range(4))):
             data = (text or "").encode("utf-8", "surrogatepass")
-            if copies > 1 and len(data) >= LENGTH:
-                stretches = [(0, len(data))]
-            else:
-                stretches = []
-                for s in sorted((x["start"], x["stop"]) for x in found or ()):
-                    if stretches and s[0] <= stretches[-1][1]:
-                        stretches[-1] = (stretches[-1][0], max(s[1], stretches[-1][1]))
-                    else:
-                        stretches.append(s)
+            lengths = []
+            for length, (first, last) in ((LENGTH, ("first_long", "last_long")), (PASSAGE, ("first", "last"))):
+                if (copies or 1) > 1 and len(data) >= length:
+                    lengths.append([(0, len(data))])
+                else:
+                    lengths.append(_merged([(x["start"] + x[first], x["start"] + x[last] + length) for x in found or () if x[first] is not None]))
+            stretches, passages = lengths
             kept, at = hashlib.sha256(), 0
             for a, b in stretches:
                 kept.update(data[at:a])
                 at = b
             kept.update(data[at:])
-            out.append((doc, len(data), sum(b - a for a, b in stretches), len(stretches), kept.hexdigest()))
-        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-        kinds = (pa.int64(),) * 4 + (pa.string(),)
-        yield batch({n: (list(c), t) for n, t, c in zip(names, kinds, zip(*out) if out else ((),) * 5)})
+            out.append((doc, len(data), sum(b - a for a, b in stretches), len(stretches), kept.hexdigest(), sum(b - a for a, b in passages)))
+        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
+        kinds = (pa.int64(),) * 4 + (pa.string(), pa.int64())
+        yield batch({n: (list(c), t) for n, t, c in zip(names, kinds, zip(*out) if out else ((),) * 6)})
 
 
 def text_keys(text: Column) -> tuple[Column, Column]:
@@ -291,10 +305,11 @@ def text_keys(text: Column) -> tuple[Column, Column]:
 
 
 def repeated_bytes(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes of every document.
 
-    Texts are shuffled once, by key: cutting the pieces and applying the
-    results join the same dealt table.
+    Texts are shuffled once, by key: cutting the cells and applying the results
+    read the same exchange. What meets texts or anchors in a join is a written
+    table, so that Spark can split the rows of a hot key.
     """
     k1, k2 = text_keys(F.col("text"))
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", k1.alias("k1"), k2.alias("k2"))
@@ -307,19 +322,27 @@ def repeated_bytes(documents: DataFrame) -> DataFrame:
 
     per_text = keyed.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, anchor array<long>, place array<int>, first array<int>, windows array<int>")
     per_text = written(per_text, "repeat-anchors")
-    copies = per_text.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    copies = per_text.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
     once = per_text.where(F.size("anchor") > 0).groupBy("k1", "k2").agg(F.first(F.struct("anchor", "place", "first", "windows")).alias("a"))
     single = once.select("k1", "k2", F.explode(F.arrays_zip("a.anchor", "a.place", "a.first", "a.windows")).alias("a")).select("k1", "k2", "a.*")
-    often = single.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor")
-    candidates = single.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "place", "first", "windows")).alias("found"))
+    often = written(single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-often")
+    runs = single.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "place", "first", "windows")).alias("found"))
+    runs = written(runs, "repeat-runs")
 
-    dealt = keyed.repartition("k1", "k2")
     # doc_id goes along unused: with the same columns both joins read one exchange
-    cut = dealt.join(candidates, ["k1", "k2"]).select("k1", "k2", "text", "found", "doc_id").mapInArrow(_pieces, OWNED)
-    stretches = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats, FOUND)
-    stretches = stretches.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    whole = dealt.join(copies, ["k1", "k2"]).join(stretches, ["k1", "k2"], "left")
-    return whole.select("doc_id", "text", "found", "copies").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cells = keyed.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "found", "doc_id").mapInArrow(_cells, CELLS)
+    cells = written(cells, "repeat-cells")
+    name = ["c1", "c2", "s1", "s2"]
+    spellings = cells.groupBy(*name).agg(F.max("left").alias("left"), F.max("right").alias("right"), F.count("*").alias("n"))
+    spellings = written(spellings, "repeat-spellings")
+    large = spellings.groupBy("c1", "c2").agg(F.count("*").alias("m")).where(F.col("m") > MOST).select("c1", "c2")
+    arrays = spellings.join(large, ["c1", "c2"], "left_anti").repartition("c1", "c2").sortWithinPartitions("c1", "c2")
+    marks = arrays.select(*name, "left", "right", "n").mapInArrow(_repeats, MARKS).unionByName(counted_windows(spellings.join(large, ["c1", "c2"], "left_semi")))
+    stretches = cells.select(*name, "k1", "k2", "start").join(written(marks, "repeat-marks"), name)
+    stretches = stretches.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "first", "last", "first_long", "last_long")).alias("found"))
+    known = written(stretches.join(copies, ["k1", "k2"], "full"), "repeat-known")
+    whole = keyed.join(known, ["k1", "k2"], "left")
+    return whole.select("doc_id", "text", "found", "copies").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
 
 
 def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +54,15 @@ def byte_strings(words: list[str]) -> list[str]:
     return _CHARS[data].tobytes().decode("utf-16-le").split(_TO_CHARS[32])
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """The words, none of which holds a space, as Python strings."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), " ")[0].as_py().split(" ")
+
+
 class Memory:
-    """What `make` gives for pieces, for the pieces met of late.
+    """What `make` gives for words, for the words met of late.
 
     Two generations of at most `most` entries bound the memory: when the young
     one is full it becomes the old one, whose entries return as they are met.
@@ -66,12 +74,12 @@ class Memory:
         self.old: dict[str, object] = {}
 
     def get(self, word: str) -> object:
-        """What is remembered of ' ' + word, if anything."""
+        """What is remembered of a word, if anything."""
         found = self.young.get(word)
         return self.old.get(word) if found is None else found
 
     def __call__(self, words: list[str]) -> list:
-        """What belongs to ' ' + word, for each of different words."""
+        """What belongs to different words."""
         found = list(map(self.young.get, words))
         absent = [at for at, x in enumerate(found) if x is None]
         if not absent:
@@ -93,34 +101,45 @@ class BatchEncoder:
     """Ids of many texts at once; each different piece of a batch is looked up once.
 
     All give ids as the bytes of 32-bit numbers: piece those of a text, letters
-    those of ' ' + word for words of letters, which are one pre-token each,
+    those of before + word for words of letters, which are one pre-token each,
     alone those of a text that has to be encoded for itself (None: there is none).
     """
 
-    def __init__(self, piece: Callable[[str], bytes], letters: Callable[[list[str]], list[bytes]], alone: Callable[[str], bytes | None] = lambda text: None, most: int = 300_000):
+    def __init__(self, piece: Callable[[str], bytes], letters: Callable[[list[str], str], list[bytes]], alone: Callable[[str], bytes | None] = lambda text: None, most: int = 300_000):
         self.piece, self.letters, self.alone = piece, letters, alone
-        self.memory, self.tails = Memory(self.words, most), Memory(lambda tails: list(map(piece, tails)), 10_000, 16)
+        self.memories = {before: Memory(partial(self.words, before=before), n) for before, n in ((" ", most), ("", most // 4))}
+        self.tails = Memory(lambda tails: list(map(piece, tails)), 10_000, 16)
+        self.line = piece("\n")
+
+    def words(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of before + word.
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of ' ' + word; marks behind letters are a pre-token of their own."""
+        Marks behind letters are a pre-token of their own, and so is a line end
+        between other characters; what follows it begins without a space.
+        """
         found: list[bytes | None] = [None] * len(words)
         plain = [at for at, word in enumerate(words) if word.isalpha()]
         new = {}
-        for at, ids in zip(plain, self.letters([words[at] for at in plain])):
+        for at, ids in zip(plain, self.letters([words[at] for at in plain], before)):
             found[at] = new[words[at]] = ids
-        stems = [word.rstrip(MARKS) if ids is None else word for word, ids in zip(words, found)]
         rest = [at for at, ids in enumerate(found) if ids is None]
-        marked = [at for at in rest if stems[at].isalpha()]
-        known = {stem: new.get(stem) or self.memory.get(stem) for stem in {stems[at] for at in marked}}
+        stems = {at: word for at in rest if (word := words[at].rstrip(MARKS)).isalpha()}
+        memory = self.memories[before]
+        known = {stem: new.get(stem) or memory.get(stem) for stem in set(stems.values())}
         absent = [stem for stem, ids in known.items() if ids is None]
-        known.update(zip(absent, self.letters(absent)))
-        tails = list({words[at][len(stems[at]) :] for at in marked})
+        known.update(zip(absent, self.letters(absent, before)))
+        tails = list({words[at][len(stem) :] for at, stem in stems.items()})
         marks = dict(zip(tails, self.tails(tails)))
-        for at in marked:
-            found[at] = known[stems[at]] + marks[words[at][len(stems[at]) :]]
+        for at, stem in stems.items():
+            found[at] = known[stem] + marks[words[at][len(stem) :]]
+        lines = {at: parts for at in rest if "\n" in words[at] and (parts := words[at].split("\n")) == words[at].split()}
+        first, later = list({p[0] for p in lines.values()}), list({x for p in lines.values() for x in p[1:]})
+        begin, go_on = dict(zip(first, memory(first))), dict(zip(later, self.memories[""](later)))
+        for at, (part, *more) in lines.items():
+            found[at] = self.line.join([begin[part], *map(go_on.__getitem__, more)])
         for at in rest:
             if found[at] is None:
-                found[at] = self.piece(" " + words[at])
+                found[at] = self.piece(before + words[at])
         return found
 
     def head(self, text: str) -> bytes:
@@ -143,7 +162,7 @@ class BatchEncoder:
         later = np.ones(len(words), bool)
         later[starts] = False
         coded = words.filter(pa.array(later)).dictionary_encode()
-        table = self.memory(coded.dictionary.to_pylist())
+        table = self.memories[" "](_strings(coded.dictionary))
         known = len(table)
         table += heads
         ids, lengths = np.frombuffer(b"".join(table), np.uint32), np.fromiter(map(len, table), np.int64, len(table)) // 4

@@ -101,8 +101,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model, self.split = self.library.model, regex.compile(pattern).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.batch = BatchEncoder(self.piece, self.letters, self.alone)
         self.parts: dict[str, list[int]] = {}
+        self.batch = BatchEncoder(self.piece, self.letters, self.alone)
 
     def part(self, text: str) -> list[int]:
         """The ids of a pre-token; those of short ones are remembered for words with other marks around them."""
@@ -121,8 +121,8 @@ class Encoder:
             ids.extend(self.part(part))
         return ids.tobytes()
 
-    def letters(self, words: list[str]) -> list[bytes]:
-        tokenize, space = self.model.tokenize, mapped(" ")
+    def letters(self, words: list[str], before: str) -> list[bytes]:
+        tokenize, space = self.model.tokenize, mapped(before)
         return [array("I", [t.id for t in tokenize(space + chars)]).tobytes() for chars in byte_strings(words)] if words else []
 
     def alone(self, text: str) -> bytes | None:

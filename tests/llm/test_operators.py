@@ -320,11 +320,12 @@ def test_suffix_arrays():
 
 
 def plain_repeats(rows, length=400):
+    """{doc_id: (bytes, removed, spans, digest of what stays)}, window by window."""
     counts = Counter()
     data = [(d, (t or "").encode()) for d, t in rows]
     for _, b in data:
         counts.update(b[i : i + length] for i in range(len(b) - length + 1))
-    out = []
+    out = {}
     for d, b in data:
         cover = np.zeros(len(b) + 1, int)
         for i in range(len(b) - length + 1):
@@ -333,11 +334,20 @@ def plain_repeats(rows, length=400):
                 cover[i + length] -= 1
         gone = np.cumsum(cover)[:-1] > 0
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
-        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    return sorted(out, key=str)
+        out[d] = (len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    return out
 
 
-def test_repeats(spark, texts):
+def repeats_equal(spark, rows):
+    got = exactsubstr.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_repeats(rows)
+    assert {r.doc_id: r.n_passage_bytes for r in got} == {d: x[1] for d, x in plain_repeats(rows, exactsubstr.PASSAGE).items()}
+
+
+@pytest.mark.parametrize("most", [exactsubstr.MOST, 2])
+def test_repeats(spark, texts, monkeypatch, most):
+    monkeypatch.setattr(exactsubstr, "MOST", most)
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdé ") for _ in range(1500)) for _ in range(5)]
     rows = []
@@ -347,11 +357,21 @@ def test_repeats(spark, texts):
             p = rng.randint(0, len(t) - 1)
             t = t[:p] + rng.choice(["X", "", "yy zz"]) + t[p + rng.randint(0, 3) :]
         a = rng.randint(0, 900)
-        rows.append((1000 + i, t[a : a + rng.randint(300, 1500)]))
-    rows += [(2000, None), (2001, ""), (2002, "a" * 1000), (2003, "ab" * 900), (2004, (base[1][:450] + "Q") * 3), (2005, base[0]), (2006, base[0]), (2007, "x" * 400), (2008, "x" * 399)]
+        rows.append((1000 + i, t[a : a + rng.randint(200, 1500)]))
+    rows += [(2000, None), (2001, ""), (2002, "a" * 1000), (2003, "ab" * 900), (2004, (base[1][:450] + "Q") * 3), (2005, base[0]), (2006, base[0]), (2007, "x" * 400), (2008, "x" * 399), (2009, "y" * 256), (2010, "y" * 255)]
     rows += texts[:120]
-    got = exactsubstr.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got), key=str) == plain_repeats(rows)
+    repeats_equal(spark, rows)
+
+
+@pytest.mark.parametrize("length", [255, 256, 300, 399, 400, 401, 700])
+def test_shared_passages(spark, length, monkeypatch):
+    """A passage in texts that share nothing else, shorter and longer than what is removed."""
+    monkeypatch.setattr(exactsubstr, "MOST", 5)
+    rng = random.Random(length)
+    draw = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = draw(length)
+    rows = [(i, draw(rng.randint(0, 300)) + f"{i}<" + passage + f">{i}" + draw(rng.randint(0, 300))) for i in range(40)] + [(50 + i, draw(900)) for i in range(5)]
+    repeats_equal(spark, rows)
 
 
 @pytest.mark.parametrize("shift", [20, 27, 30])
