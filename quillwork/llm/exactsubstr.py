@@ -8,18 +8,22 @@ of CELL windows by their distance from the anchor. All windows of a cell hold
 the same CORE bytes; cells with equal anchors, places and cores form a class,
 whose name is a 128-bit hash of these. Equal windows lie in one class.
 
-A cell's spelling is what it has left and right of the core. If a class has one
-spelling, its windows are repeated or not by count. Where spellings differ,
-they go, with the class's number in place of the core, to the suffix array of a
-shard (induced sorting), whose permuted common prefixes tell which windows of
-PASSAGE and which of LENGTH bytes occur twice. A class of more than MOST
-spellings can't be one array; its windows are counted, each as a row. Equal
-spellings of a class are one row before any task gathers a class, so a passage
-that many texts share costs as many rows as it has different surroundings.
-
-Strings are compared by their bytes around cores and by 128-bit hashes of
-cores. LENGTH decides what is removed. Of PASSAGE (256 bytes, less than some 50
-words) only a count is given: it shows passages that LENGTH doesn't reach.
+Within a class, windows of LENGTH bytes that are equal also agree in the next
+LENGTH - PASSAGE bytes; cells that do form a family. A cell's spelling is what
+is left of the core and right of those bytes. If a family has one spelling, its
+windows are repeated or not by count. Where spellings differ, they go, with the
+family's number in place of what they share, to the suffix array of a shard
+(induced sorting), whose permuted common prefixes tell which windows occur
+twice. Equal spellings are one row before any task gathers a class, so what
+many texts share costs as many rows as it has different surroundings; a class
+of more than MOST spellings can't be one array, and its windows are counted,
+each as a row.
+
+What a family shares is compared by 128 and 64 bits of hash, the rest byte by
+byte. The removed bytes follow from LENGTH alone. n_passage_bytes also shows
+repeated passages that LENGTH doesn't reach: it counts the bytes in repeated
+cores, of which every repeated string of PASSAGE bytes (less than some 50
+words) holds one, and which are themselves repeated strings of CORE bytes.
 
 Edge cases: null and empty texts have no bytes; texts below LENGTH bytes keep
 all; equal texts of LENGTH bytes or more are removed whole, as every string of
@@ -47,8 +51,10 @@ CORE = PASSAGE - CELL + 1
 #: Bytes that UTF-8 never uses: digits of a class's number, and what ends a spelling.
 DIGITS, END = bytes([0xC0, 0xC1, *range(0xF5, 0xFF)]), b"\xff"
 PLACES = 5
+#: Bytes that all windows of LENGTH bytes of a family share.
+SHARED = CORE + LENGTH - PASSAGE
 #: Symbols of one suffix array, and the spellings of a class that go to one.
-SHARD, MOST = 1 << 20, 2048
+SHARD, MOST = 1 << 20, 8192
 #: Bytes whose anchors are sought at once; position bits of a hash.
 PIECE, BITS = 1 << 19, 20
 
@@ -108,23 +114,23 @@ class Shard:
 
     def __init__(self):
         self.parts: list[bytes] = []
-        self.marks: list[tuple[int, list]] = []  # (windows, what to mark)
-        self.size = self.classes = 0
+        self.marks: list[tuple[int, list]] = []  # (bytes left of the core, what to mark)
+        self.size = self.families = 0
 
     def add(self, spellings: list[tuple[bytes, bytes, list]]) -> None:
-        """One class: (bytes left of the core, bytes right of it, marks) of each spelling."""
-        name = _digits(self.classes)
-        self.classes += 1
+        """One family: (bytes left of what it shares, bytes right of it, marks) of each spelling."""
+        name = _digits(self.families)
+        self.families += 1
         for left, right, marks in spellings:
             self.parts.append(left + name + right + END)
-            self.marks.append((len(left) + 1, marks))
+            self.marks.append((len(left), marks))
             self.size += len(self.parts[-1])
 
     def full(self) -> bool:
-        return self.size >= SHARD or self.classes >= len(DIGITS) ** PLACES - 1
+        return self.size >= SHARD or self.families >= len(DIGITS) ** PLACES - 1
 
     def resolve(self) -> None:
-        """Adds to each spelling's marks its first and last window of PASSAGE and of LENGTH bytes that occurs twice."""
+        """Adds to each spelling's marks the first and the last window that occurs twice, counted from the core."""
         if self.parts:
             data = np.frombuffer(b"".join(self.parts), np.uint8)
             used = np.unique(data)
@@ -132,50 +138,52 @@ class Shard:
             rank[used] = np.arange(1, len(used) + 1)
             text = np.r_[rank[data], np.uint8(0)]
             order = suffix_array(text)
-            shared = permuted_common_prefixes(text, order, LENGTH - CORE + PLACES)
-            longest = shared.copy()  # what a suffix shares with either neighbour
-            np.maximum.at(longest, order[:-1], shared[order[1:]])
+            window = LENGTH - SHARED + PLACES
+            shared = permuted_common_prefixes(text, order, window) >= window
+            twice = shared.copy()
+            twice[order[:-1]] |= shared[order[1:]]  # also the predecessor of each
             start = 0
-            for part, (windows, marks) in zip(self.parts, self.marks):
-                for at, length in enumerate((PASSAGE, LENGTH)):
-                    window = length - CORE + PLACES
-                    starts = min(windows, len(part) - window)
-                    hit = np.flatnonzero(longest[start : start + starts] >= window) if starts > 0 else ()
-                    if len(hit):
-                        marks[at] = (int(hit[0]), int(hit[-1]))
+            for part, (left, marks) in zip(self.parts, self.marks):
+                starts = min(left + 1, len(part) - window)
+                hit = np.flatnonzero(twice[start : start + starts]) if starts > 0 else ()
+                if len(hit):
+                    marks[:] = int(hit[0]) - left, int(hit[-1]) - left
                 start += len(part)
         self.__init__()
 
 
-def mark_class(spellings: list[tuple[bytes, bytes, int, list]], shard: Shard) -> None:
-    """Finds the repeated windows of one class's spellings: (left, right, count, marks)."""
+def mark_family(spellings: list[tuple[bytes, bytes, int, list]], shard: Shard) -> None:
+    """Finds the repeated windows of one family's spellings: (left, right, count, marks)."""
     for left, right, count, marks in spellings:
-        if count > 1:
-            for at, length in enumerate((PASSAGE, LENGTH)):
-                last = min(len(left), len(left) + CORE + len(right) - length)
-                if last >= 0:
-                    marks[at] = (0, last)
+        last = SHARED + len(right) - LENGTH
+        if count > 1 and last >= -len(left):
+            marks[:] = -len(left), min(0, last)
     if len(spellings) > 1:
-        shard.add([(left, right, [None, None] if count > 1 else marks) for left, right, count, marks in spellings])
+        shard.add([(left, right, [] if count > 1 else marks) for left, right, count, marks in spellings])
         if shard.full():
             shard.resolve()
 
 
-CELLS = "c1 long, c2 long, s1 long, s2 long, k1 long, k2 long, start long, left binary, right binary"
-MARKS = "c1 long, c2 long, s1 long, s2 long, first int, last int, first_long int, last_long int"
+CELLS = "c1 long, c2 long, s1 long, s2 long, k1 long, k2 long, core long, family long, left binary, right binary"
+MARKS = "c1 long, c2 long, s1 long, s2 long, first int, last int"
+NAME = ["c1", "c2", "s1", "s2"]
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells of each candidate anchor's run; a spelling that this task has sent before goes without its bytes."""
+    """The cells of each candidate anchor's run; a spelling that this task has sent before goes without its bytes.
+
+    Cells that no window of LENGTH bytes fits into all have the spelling 0, 0.
+    """
     sent: set[bytes] = set()
     previous = None
     keys: list[bytes] = []
     rows_out: list[tuple] = []
+    nothing = bytes(16)
 
     def out() -> pa.RecordBatch:
         numbers = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 4)
-        columns = {name: (pa.array(np.ascontiguousarray(numbers[:, i])), pa.int64()) for i, name in enumerate(("c1", "c2", "s1", "s2"))}
-        for name, kind, values in zip(("k1", "k2", "start", "left", "right"), (pa.int64(),) * 3 + (pa.binary(),) * 2, zip(*rows_out)):
+        columns = {name: (pa.array(np.ascontiguousarray(numbers[:, i])), pa.int64()) for i, name in enumerate(NAME)}
+        for name, kind, values in zip(("k1", "k2", "core", "family", "left", "right"), (pa.int64(),) * 4 + (pa.binary(),) * 2, zip(*rows_out)):
             columns[name] = (values, kind)
         keys.clear()
         rows_out.clear()
@@ -192,9 +200,14 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for cell in range((place - last) // CELL, (place - first) // CELL + 1):
                     core = place - cell * CELL  # the cell's windows hold the CORE bytes from here
                     begin, end = max(first, core - CELL + 1), min(last, core)
-                    left, right = data[begin:core], data[core + CORE : end + LENGTH]
                     key = xxhash.xxh3_128_digest(data[core : core + CORE], (anchor * 0x9E3779B1 + cell) & 0xFFFFFFFFFFFFFFFF)
-                    key += xxhash.xxh3_128_digest(left + END + right)
+                    family = left = right = None
+                    if begin + LENGTH <= len(data) and core + SHARED <= len(data):
+                        family = xxhash.xxh3_64_intdigest(data[core + CORE : core + SHARED]) - (1 << 63)
+                        left, right = data[begin:core], data[core + SHARED : end + LENGTH]
+                        key += xxhash.xxh3_128_digest(left + END + right, family & 0xFFFFFFFFFFFFFFFF)
+                    else:
+                        key += nothing
                     if key in sent:
                         left = right = None
                     else:
@@ -202,7 +215,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             sent.clear()
                         sent.add(key)
                     keys.append(key)
-                    rows_out.append((k1, k2, begin, left, right))
+                    rows_out.append((k1, k2, core, family, left, right))
                 if len(rows_out) >= 20_000:
                     yield out()
         if rows_out:
@@ -210,7 +223,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The marks of the spellings of a partition sorted by class."""
+    """The marks of the spellings of a partition sorted by class: a row for each spelling of a class that occurs twice."""
     shard = Shard()
     waiting: list[tuple] = []
     own: list[tuple] = []
@@ -218,21 +231,31 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def results() -> Iterator[pa.RecordBatch]:
         shard.resolve()
-        out = [(*key, *(marks[0] or (None, None)), *(marks[1] or (None, None))) for key, marks in waiting if any(marks)]
+        out = [(*key, *(marks or (None, None))) for key, marks in waiting]
         waiting.clear()
         if out:
-            kinds = (pa.int64(),) * 4 + (pa.int32(),) * 4
-            yield batch({n: (c, t) for n, t, c in zip(("c1", "c2", "s1", "s2", "first", "last", "first_long", "last_long"), kinds, zip(*out))})
+            kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2
+            yield batch({n: (c, t) for n, t, c in zip((*NAME, "first", "last"), kinds, zip(*out))})
 
     def close() -> None:
-        if len(own) > 1 or own and own[0][6] > 1:
-            marks = [[None, None] for _ in own]
-            mark_class([(x[4], x[5], x[6], m) for x, m in zip(own, marks)], shard)
-            waiting.extend((x[:4], m) for x, m in zip(own, marks))
+        if len(own) > 1 or own and own[0][4] > 1:
+            families: dict[int, list] = {}
+            for row in own:
+                marks: list[int] = []
+                waiting.append((row[:4], marks))
+                if row[5] is not None:
+                    families.setdefault(row[5], []).append((row[6], row[7], row[4], marks))
+            for spellings in families.values():
+                mark_family(spellings, shard)
         own.clear()
 
-    for rows in batches:
-        for row in zip(*(rows.column(i).to_pylist() for i in range(7))):
+    for rows in (x for x in batches if x.num_rows):
+        # classes of one row that occurs once, by far the most, are left out; those at an edge may go on
+        c1, c2, n = (np.asarray(rows.column(i)) for i in (0, 1, 4))
+        same = (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1])
+        stay = np.r_[True, same] | np.r_[same, True] | (n > 1)
+        rows = rows.filter(pa.array(stay))
+        for row in zip(*(rows.column(i).to_pylist() for i in range(8))):
             if row[:2] != name:
                 close()
                 name = row[:2]
@@ -245,23 +268,18 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def counted_windows(spellings: DataFrame) -> DataFrame:
     """The marks of the spellings of large classes: every window is a row, equal ones are counted."""
-    longest = F.length("left")
+    longest, around = F.length("left"), F.lit(LENGTH - SHARED)
+    least = F.greatest(F.lit(0), around - F.length("right"))
 
-    def windows(length: int) -> Column:
-        around = length - CORE  # bytes left and right of the core
-        least = F.greatest(F.lit(0), F.lit(around) - F.length("right"))
+    def window(a: Column) -> Column:
+        parts = F.substring("left", longest - a + 1, a), F.substring("right", F.lit(1), around - a)
+        return F.struct(*[F.xxhash64(F.lit(seed), "c1", "c2", "family", a, *parts).alias(f"w{seed}") for seed in (1, 2)], (-a).alias("at"))
 
-        def window(a: Column) -> Column:
-            parts = F.substring("left", longest - a + 1, a), F.substring("right", F.lit(1), F.lit(around) - a)
-            hashes = [F.xxhash64(F.lit(seed), F.lit(length), "c1", "c2", a, *parts).alias(f"w{seed}") for seed in (1, 2)]
-            return F.struct(*hashes, F.lit(length == LENGTH).alias("long"), (longest - a).alias("at"))
-
-        return F.when(least <= longest, F.transform(F.sequence(least, longest), window)).otherwise(F.array())
-
-    each = spellings.select("c1", "c2", "s1", "s2", "n", F.explode(F.concat(windows(PASSAGE), windows(LENGTH))).alias("w")).select("c1", "c2", "s1", "s2", "n", "w.*")
+    windows = F.when(least <= longest, F.transform(F.sequence(least, longest), window)).otherwise(F.array())
+    each = spellings.select(*NAME, "n", F.explode(windows).alias("w")).select(*NAME, "n", "w.*")
     twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
-    short, long = F.when(~F.col("long"), F.col("at")), F.when(F.col("long"), F.col("at"))
-    return each.join(twice, ["w1", "w2"]).groupBy("c1", "c2", "s1", "s2").agg(F.min(short).alias("first"), F.max(short).alias("last"), F.min(long).alias("first_long"), F.max(long).alias("last_long"))
+    marks = each.join(twice, ["w1", "w2"]).groupBy(*NAME).agg(F.min("at").cast("int").alias("first"), F.max("at").cast("int").alias("last"))
+    return spellings.select(*NAME).join(marks, NAME, "left")
 
 
 def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -280,13 +298,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, text, found, copies in zip(*((x.as_py() for x in rows.column(i)) for i in range(4))):
             data = (text or "").encode("utf-8", "surrogatepass")
-            lengths = []
-            for length, (first, last) in ((LENGTH, ("first_long", "last_long")), (PASSAGE, ("first", "last"))):
-                if (copies or 1) > 1 and len(data) >= length:
-                    lengths.append([(0, len(data))])
-                else:
-                    lengths.append(_merged([(x["start"] + x[first], x["start"] + x[last] + length) for x in found or () if x[first] is not None]))
-            stretches, passages = lengths
+            if (copies or 1) > 1 and len(data) >= CORE:
+                passages = [(0, len(data))]
+            else:
+                passages = _merged([(x["core"], x["core"] + CORE) for x in found or ()])
+            if (copies or 1) > 1 and len(data) >= LENGTH:
+                stretches = [(0, len(data))]
+            else:
+                stretches = _merged([(x["core"] + x["first"], x["core"] + x["last"] + LENGTH) for x in found or () if x["first"] is not None])
             kept, at = hashlib.sha256(), 0
             for a, b in stretches:
                 kept.update(data[at:a])
@@ -332,14 +351,17 @@ def repeated_bytes(documents: DataFrame) -> DataFrame:
     # doc_id goes along unused: with the same columns both joins read one exchange
     cells = keyed.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "found", "doc_id").mapInArrow(_cells, CELLS)
     cells = written(cells, "repeat-cells")
-    name = ["c1", "c2", "s1", "s2"]
-    spellings = cells.groupBy(*name).agg(F.max("left").alias("left"), F.max("right").alias("right"), F.count("*").alias("n"))
-    spellings = written(spellings, "repeat-spellings")
-    large = spellings.groupBy("c1", "c2").agg(F.count("*").alias("m")).where(F.col("m") > MOST).select("c1", "c2")
-    arrays = spellings.join(large, ["c1", "c2"], "left_anti").repartition("c1", "c2").sortWithinPartitions("c1", "c2")
-    marks = arrays.select(*name, "left", "right", "n").mapInArrow(_repeats, MARKS).unionByName(counted_windows(spellings.join(large, ["c1", "c2"], "left_semi")))
-    stretches = cells.select(*name, "k1", "k2", "start").join(written(marks, "repeat-marks"), name)
-    stretches = stretches.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "first", "last", "first_long", "last_long")).alias("found"))
+    busy = written(cells.groupBy("c1", "c2").agg(F.count("*").alias("m")).where(F.col("m") > MOST).select("c1", "c2"), "repeat-busy")
+    large = cells.join(busy, ["c1", "c2"]).select(*NAME).distinct().groupBy("c1", "c2").agg(F.count("*").alias("m"))
+    large = written(large.where(F.col("m") > MOST).select("c1", "c2"), "repeat-large")
+
+    def spellings(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*NAME).agg(F.count("*").alias("n"), F.max("family").alias("family"), F.max("left").alias("left"), F.max("right").alias("right"))
+
+    arrays = spellings(cells.join(large, ["c1", "c2"], "left_anti")).repartition("c1", "c2").sortWithinPartitions("c1", "c2")
+    marks = arrays.mapInArrow(_repeats, MARKS).unionByName(counted_windows(spellings(cells.join(large, ["c1", "c2"], "left_semi"))))
+    stretches = cells.select(*NAME, "k1", "k2", "core").join(written(marks, "repeat-marks"), NAME)
+    stretches = stretches.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "first", "last")).alias("found"))
     known = written(stretches.join(copies, ["k1", "k2"], "full"), "repeat-known")
     whole = keyed.join(known, ["k1", "k2"], "left")
     return whole.select("doc_id", "text", "found", "copies").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
