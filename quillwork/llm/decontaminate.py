@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm.shared import table
+from quillwork.llm.shared import table, unused
 
 TOKEN = r"[\p{L}\p{N}]+"
 GAP = r"[^\p{L}\p{N}]+"
@@ -65,9 +65,9 @@ def _seeds_at(places: Column, mask: tuple[int, ...], number: int, tokens: str) -
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, offset, matched: each alignment that counts, with its best window's equal tokens.
+    """doc_id, row, item_id, offset, matched: each alignment that counts, with its best window's equal tokens.
 
-    offset is the token of the document that the item's first token lies on.
+    row is the hash of the document's text; offset is the token of the document that the item's first token lies on.
     Documents are read once for every SEEDS seeds of the benchmark (in most
     uses once); exploded seeds meet the broadcast table before any shuffle, and
     only the tokens under an item are shuffled, a row an alignment.
@@ -101,8 +101,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     width = F.least(F.lit(WINDOW), F.col("n"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("equal") - width + 1, F.lit(1)))
     windows = F.transform(starts, lambda i: F.aggregate(F.slice("equal", i, F.least(F.lit(WINDOW), F.col("n"))), F.lit(0), lambda s, x: s + x))
-    best = equal.select("doc_id", "item_id", "offset", "n", F.array_max(windows).alias("matched"))
-    return best.where(F.col("matched") >= F.ceil(F.least(F.lit(WINDOW), F.col("n")) * SHARE)).groupBy("doc_id", "item_id", "offset").agg(F.max("matched").alias("matched"))
+    best = equal.select("doc_id", "row", "item_id", "offset", "n", F.array_max(windows).alias("matched"))
+    return best.where(F.col("matched") >= F.ceil(F.least(F.lit(WINDOW), F.col("n")) * SHARE)).groupBy("doc_id", "row", "item_id", "offset").agg(F.max("matched").alias("matched"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -115,9 +115,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no item."""
-    leaks = contaminated(documents, benchmark).select(F.col("doc_id").alias("_leak_doc_id"))
-    return documents.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak_doc_id")), "left_anti")
+    """The documents that overlap no item; rows are told apart by doc_id and text, so a clean row stays beside a leaking one of its id."""
+    doc, text = (unused(documents, name) for name in ("leak_id", "leak_text"))
+    leaks = overlaps(documents, benchmark).select(F.col("doc_id").alias(doc), F.col("row").alias(text)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(text))
+    return documents.join(leaks, same, "left_anti")
 
 
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

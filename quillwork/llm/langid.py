@@ -12,7 +12,9 @@ the longest context known to any language and adds its row of costs.
 Training reads, of the documents whose crc32(doc_id) mod 3 is not 1, at most
 `per_language` different texts a language (those of the smallest hash) and
 `per_text` characters of each, the documented bound of the fit; prediction
-reads whole texts. A language with fewer texts is learned from what it has.
+reads whole texts. A language with fewer texts is learned from what it has. At
+most MOST_LANGUAGES languages are learned, so a column of many dirty values
+fills neither the driver nor the broadcast.
 
 Edge cases: null and empty texts, and texts without a letter, are 'und' with
 score 0; a null lang is not learned from; ties go to the first language by
@@ -34,6 +36,10 @@ from pyspark.sql.window import Window
 from quillwork.llm.shared import batch, id_check, table, texts_of
 
 UNKNOWN, FOLDS, HELD_OUT = "und", 3, 1
+#: Languages that are learned at most, those of the most texts: the bound of the model's size.
+MOST_LANGUAGES = 64
+#: Bits a byte, of 8 for noise, above which a text is in none of the languages; texts of the languages cost 2 to 4.
+MOST_BITS, LEAST_SHARE = 7.0, 0.5
 #: What is taken to stand before a text: the context of its first bytes.
 BEFORE = b"\n\n\n"
 ASCII_LETTER = re.compile("[A-Za-z]")
@@ -121,12 +127,17 @@ class Model:
             total += np.ones(len(costs), np.float32) @ costs
         return total
 
-    def predict(self, text: str) -> tuple[str, float]:
+    def judged(self, text: str) -> tuple[str, float, float]:
+        """(language, its share of the probability among the languages, bits a byte under it)."""
         if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 8.0
         bits = self.code_lengths(text)
         best = int(bits.argmin())
-        return self.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+        share = float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+        return self.languages[best], share, float(bits[best]) / len(text.encode("utf-8", "replace"))
+
+    def predict(self, text: str) -> tuple[str, float]:
+        return self.judged(text)[:2]
 
 
 #: Hashes are ordered by this many low bits; candidates are some times as many as are wanted.
@@ -142,7 +153,8 @@ def training_texts(documents: DataFrame, per_language: int, per_text: int) -> di
     """
     rows = documents.where((id_check("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h"), "text")
     place = F.pmod("h", F.lit(1 << ORDER_BITS))
-    many = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("many")).withColumnRenamed("lang", "of")  # a row a language
+    many = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("many")).withColumnRenamed("lang", "of")
+    many = many.orderBy(F.desc("many"), "of").limit(MOST_LANGUAGES)
     bound = F.least(F.lit(1.0), F.lit(float(SPARE * per_language)) / F.col("many")) * (1 << ORDER_BITS)
     first = Window.partitionBy("lang").orderBy(place, "h")
     near = rows.select("lang", "h").join(F.broadcast(many), F.col("lang") == F.col("of")).where(place <= bound)
@@ -154,7 +166,8 @@ def training_texts(documents: DataFrame, per_language: int, per_text: int) -> di
     return texts
 
 
-def fit(documents: DataFrame, per_language: int = 150, per_text: int = 8000) -> Model:
+def fit(documents: DataFrame, per_language: int = 150, per_text: int = 8000) -> Model | None:
+    """The model of the most frequent MOST_LANGUAGES values of lang (ties: first by name), None without a text."""
     texts = training_texts(documents, per_language, per_text)
     return Model(texts) if texts else None
 
@@ -175,15 +188,26 @@ def identify(documents: DataFrame, per_language: int = 150, per_text: int = 8000
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held).mapInArrow(run, SCHEMA)
 
 
-def keep_identified(documents: DataFrame, per_language: int = 150, per_text: int = 8000) -> DataFrame:
-    """The documents whose language is known: those predicted 'und' go."""
+def keep_identified(documents: DataFrame, per_language: int = 150, per_text: int = 8000, languages: frozenset[str] | None = None, most_bits: float = MOST_BITS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The documents in a known language.
+
+    A document goes if it has no letter, if its best language is none of
+    `languages` (None: any learned one), has less than `least_share` of the
+    probability, or codes it in more than `most_bits` bits a byte, as it does
+    texts of languages that were not learned and noise.
+    """
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, per_language, per_text))
     at, schema = documents.columns.index("text"), documents.schema
 
+    def known(text: str) -> bool:
+        if model.value is None:
+            return False
+        language, share, bits = model.value.judged(text)
+        return language != UNKNOWN and (languages is None or language in languages) and share >= least_share and bits <= most_bits
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            known = [model.value is not None and model.value.predict(t.as_py() or "")[0] != UNKNOWN for t in rows.column(at)]
-            yield rows.filter(pa.array(known, pa.bool_()))
+            yield rows.filter(pa.array([known(t.as_py() or "") for t in rows.column(at)], pa.bool_()))
 
     return documents.mapInArrow(run, schema)
 

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (a local run) a temporary one is set.
+    Only where a local session names none a temporary one is set; on a cluster,
+    where hosts don't share it, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="quillwork-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -28,7 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back.
 
-    Cuts the lineage: what was computed survives the loss of any executor.
+    Cuts the lineage: what was computed survives the loss of any executor. The
+    tables stay until the owner of the shared folder removes them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_check(column: str, modulus: int):
     """crc32 of an id written as text, modulo `modulus`; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm.components import connected
-from quillwork.llm.shared import batch, table, texts_of, written
+from quillwork.llm.shared import batch, table, texts_of, unused, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: The parts of a fingerprint: (first bit, bits).
@@ -65,38 +65,47 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _bits_of(prints: np.ndarray) -> np.ndarray:
+    """A row a fingerprint (one word or several), a column a bit."""
+    return np.unpackbits(np.ascontiguousarray(prints, "<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+
+
 def planes_of(prints: np.ndarray) -> np.ndarray:
-    """64 planes; bit i of a plane's words is that bit of fingerprint i. One word more than needed, zero."""
-    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """The bit planes; bit i of a plane's words is that bit of fingerprint i. One word more than needed, zero."""
+    bits = _bits_of(prints)
     packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    out = np.zeros((64, (len(prints) + 63) // 64 * 8 + 8), np.uint8)
+    out = np.zeros((bits.shape[1], (len(prints) + 63) // 64 * 8 + 8), np.uint8)
     out[:, : packed.shape[1]] = packed
     return out.view("<u8")
 
 
-def near(differ, valid: np.ndarray) -> np.ndarray:
-    """Which lanes of the words differ in at most three planes.
+def near(differ, valid: np.ndarray, planes: int = 64, radius: int = RADIUS) -> np.ndarray:
+    """Which lanes of the words differ in at most `radius` planes.
 
     differ(p, at) gives the XOR of plane p for the words `at`; lanes not set in
-    valid are out.
+    valid are out. The carry-save counters start at what lacks of a power of
+    two, so that the carry out of the last one says that a lane is over.
     """
     at = np.flatnonzero(valid)
-    out = np.zeros(len(valid), np.uint64)
     over = ~valid[at]
-    ones, twos = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for start in range(0, 64, 8):
+    out = np.zeros(len(valid), np.uint64)
+    places = radius.bit_length()
+    begin = (1 << places) - 1 - radius
+    counters = [np.full(len(at), FULL if begin >> c & 1 else 0, np.uint64) for c in range(places)]
+    for start in range(0, planes, 8):
         for p in range(start, start + 8, 2):
             x, y = differ(p, at), differ(p + 1, at)
-            u = ones ^ x
-            carry = (ones & x) | (u & y)
-            ones = u ^ y
-            over |= twos & carry
-            twos ^= carry
+            u = counters[0] ^ x
+            carry = (counters[0] & x) | (u & y)
+            counters[0] = u ^ y
+            for c in range(1, places):
+                counters[c], carry = counters[c] ^ carry, counters[c] & carry
+            over |= carry
         alive = over != FULL
         if not alive.all():
             if not alive.any():
                 return out
-            at, over, ones, twos = at[alive], over[alive], ones[alive], twos[alive]
+            at, over, counters = at[alive], over[alive], [c[alive] for c in counters]
     out[at] = ~over
     return out
 
@@ -132,8 +141,8 @@ def _words(mask: np.ndarray, words: int) -> np.ndarray:
     return packed.view("<u8")
 
 
-def link_small(prints: np.ndarray, group: np.ndarray, labels: np.ndarray) -> None:
-    """Links within groups of at most SMALL consecutive rows, all groups together."""
+def small_hits(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within groups of at most SMALL consecutive rows, all groups together."""
     planes = planes_of(prints)
     words = planes.shape[1] - 1
     for d in range(1, SMALL):
@@ -141,14 +150,14 @@ def link_small(prints: np.ndarray, group: np.ndarray, labels: np.ndarray) -> Non
         if len(same) == 0 or not same.any():
             return
         r, l = np.uint64(d), np.uint64(64 - d)
-        hit = near(lambda p, at: planes[p, at] ^ ((planes[p, at] >> r) | (planes[p, at + 1] << l)), _words(same, words))
+        hit = near(lambda p, at: planes[p, at] ^ ((planes[p, at] >> r) | (planes[p, at + 1] << l)), _words(same, words), len(planes), radius)
         word, lane = _lanes(hit)
-        unite(labels, word * 64 + lane, word * 64 + lane + d)
+        yield word * 64 + lane, word * 64 + lane + d
 
 
-def link_large(prints: np.ndarray, labels: np.ndarray, first: int) -> None:
-    """Links within one group; labels are those of all rows, the group's begin at `first`."""
-    planes, n = planes_of(prints), len(prints)
+def large_hits(prints: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within one group, a tile of 64 rows against all later ones."""
+    planes, bits, n = planes_of(prints), _bits_of(prints).T, len(prints)
     words = planes.shape[1] - 1
     for tile in range(0, n, 64):
         rows = np.arange(tile, min(n, tile + 64))
@@ -157,10 +166,22 @@ def link_large(prints: np.ndarray, labels: np.ndarray, first: int) -> None:
         later = np.repeat(_words(np.ones(n, bool), words)[None, since:], len(rows), axis=0)
         # of a row's own word, only the lanes after it
         later[:, 0] &= ~((np.uint64(2) << np.arange(len(rows), dtype=np.uint64)) - np.uint64(1))
-        masks = np.where((prints[rows][None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), FULL, np.uint64(0))
-        hit = near(lambda p, at: planes[p, since + at % width] ^ masks[p, at // width], later.ravel())
+        masks = np.where(bits[:, rows], FULL, np.uint64(0))
+        hit = near(lambda p, at: planes[p, since + at % width] ^ masks[p, at // width], later.ravel(), len(planes), radius)
         word, lane = _lanes(hit)
-        unite(labels, first + tile + word // width, first + (since + word % width) * 64 + lane)
+        yield tile + word // width, (since + word % width) * 64 + lane
+
+
+def link_small(prints: np.ndarray, group: np.ndarray, labels: np.ndarray) -> None:
+    """Links within small groups."""
+    for a, b in small_hits(prints, group):
+        unite(labels, a, b)
+
+
+def link_large(prints: np.ndarray, labels: np.ndarray, first: int) -> None:
+    """Links within one group; labels are those of all rows, the group's begin at `first`."""
+    for a, b in large_hits(prints):
+        unite(labels, first + a, first + b)
 
 
 def spanning(prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,14 +277,15 @@ def keep_one(documents: DataFrame, find: Callable[[DataFrame], DataFrame] = near
     component only where no other document is in it.
     """
     found = find(documents)
+    doc, text = (unused(documents, name) for name in ("marked_id", "marked_text"))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")
-    marked = written(found.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), stays), "simhash-marks")
+    marked = written(found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), stays), "simhash-marks")
     gone, kept = marked.where("NOT stays"), marked.where("stays")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.xxhash64("text").eqNullSafe(F.col("_text_hash"))
-    rows = documents.join(gone, same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(text))
+    rows = documents.join(gone.drop("stays"), same, "left_anti")
     if kept.count() == kept.distinct().count():
         return rows
-    return rows.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).select(*documents.columns)
+    return rows.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).select(*documents.columns)
 
 
 def op1_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

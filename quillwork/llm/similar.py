@@ -1,14 +1,21 @@
-"""Near copies by the exact Jaccard similarity of their five-word shingles.
-
-Candidates share a band of a MinHash signature: 25 bands of five minima, so a
-pair of similarity 0.8 has no band in common in one of 20,000 cases. Texts of
-the same shingle set are one node. Every candidate is verified on the whole
-shingle sets; only pairs of a similarity of LEAST or more are linked.
-
-In a bucket a node meets the first node and the next WINDOW nodes in an order
-of the band's own, which are all pairs of a bucket up to WINDOW + 2 nodes; in
-larger ones pairs grow with the nodes, and a group is joined by links of many
-bands. A bucket above MOST nodes is dealt into parts, which the first node joins.
+"""Near copies: SimHash of five-word shingles, compared in bit planes, verified by exact similarity.
+
+A document's node is its set of five-word shingles. A node's fingerprint has
+BITS bits, each 1 if set in over half of its shingles' hashes. For sets of
+similarity 0.8 a bit differs with probability 0.15, so their distance is 39 of
+256 on average and RADIUS lies seven standard deviations above; for unrelated
+sets it is 128, six below which the radius lies.
+
+Candidates: four orders of the bits are cut into parts of PART bits; each part
+is a table of buckets (72 in all), and a pair of similarity 0.8 shares no
+bucket in one of 2,000 cases. In a bucket the planes of all fingerprints are
+compared with carry-save counters, as in `simhash`. A first pass gives each node
+its first and its last earlier neighbour within the radius; these links are
+verified on the whole shingle sets and joined to components. A second pass
+gives every pair within the radius that these components don't join, so no link
+depends on which pairs the first pass chose. Only pairs of a Jaccard similarity
+of LEAST or more are linked. A bucket above MOST nodes is dealt into parts that
+meet pairwise.
 
 Edge cases: null, empty and blank texts are one node; texts of fewer words than
 a shingle are one shingle; a null doc_id names a component only where no other
@@ -22,35 +29,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.components import connected
-from quillwork.llm.shared import batch, texts_of, written
-from quillwork.llm.simhash import shingle_hashes
+from quillwork.llm.shared import batch, texts_of, unused, written
+from quillwork.llm.simhash import SMALL, TOGETHER, large_hits, shingle_hashes, small_hits
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 25, 5
-WINDOW, MOST = 8, 8192
+BITS, PART, ORDERS, RADIUS = 256, 14, 4, 80
+MOST = 8192
 _RANDOM = np.random.default_rng(42)
-_XOR, _TIMES = _RANDOM.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-_TIMES |= np.uint64(1)
-_MIX = _RANDOM.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
+_MIX = _RANDOM.integers(0, 1 << 64, BITS // 64, np.uint64) | np.uint64(1)
+#: The bits of each table's part.
+PARTS = np.concatenate([_RANDOM.permutation(BITS)[: BITS // PART * PART].reshape(-1, PART) for _ in range(ORDERS)])
 
 
 def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """The keys of a set's bands; none of an empty set."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(shingles), 512):
-        least = np.minimum(least, ((shingles[a : a + 512, None] ^ _XOR) * _TIMES).min(axis=0))
-    least ^= least >> np.uint64(29)
-    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits as 0 or 1, each 1 if set in over half of the shingles' hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for a in range(0, len(shingles), 4096):
+        x = shingles[a : a + 4096, None] * _MIX
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return (counts * 2 > len(shingles)).astype(np.uint8)
+
+
+def keys_of(bits: np.ndarray) -> np.ndarray:
+    """The bucket of a fingerprint in each table."""
+    return bits[PARTS] @ (1 << np.arange(PART))
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
@@ -68,31 +81,98 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the shingle set), n (its size), bands."""
+    """doc_id, text_hash, node (a hash of the shingle set), print, keys (none of an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            sets = [shingle_set(t) for t in texts_of(rows)]
-            nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
-            bands = pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))
-            yield batch({"doc_id": (rows.column(0), pa.int64()), "text_hash": (rows.column(2), pa.int64()), "node": (nodes, pa.int64()), "n": ([len(s) for s in sets], pa.int64()), "bands": (bands, bands.type)})
+            nodes, prints, keys = [], [], []
+            for text in texts_of(rows):
+                shingles = shingle_set(text)
+                bits = fingerprint(shingles)
+                nodes.append(_node(shingles) - (1 << 63))
+                prints.append(np.packbits(bits, bitorder="little").tobytes())
+                keys.append(keys_of(bits) if len(shingles) else [])
+            yield batch({"doc_id": (rows.column(0), pa.int64()), "text_hash": (rows.column(2), pa.int64()), "node": (nodes, pa.int64()), "print": (prints, pa.binary()), "keys": (keys, pa.list_(pa.int32()))})
 
     rows = documents.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "xxhash64(text) AS text_hash")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, print binary, keys array<int>")
+
+
+def bucket_pairs(prints: np.ndarray, group: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within the radius, for rows sorted by group.
+
+    Without labels each row's first and last earlier neighbour, else every
+    neighbour of another label.
+    """
+    n = len(prints)
+    first, last = np.full(n, n), np.full(n, -1)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        if labels is None:
+            np.minimum.at(first, b, a)
+            np.maximum.at(last, b, a)
+        else:
+            apart = labels[a] != labels[b]
+            found.append((a[apart], b[apart]))
+
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+    if len(rows):
+        for a, b in small_hits(prints[rows], group[rows], RADIUS):
+            take(rows[a], rows[b])
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        for a, b in large_hits(prints[start : start + size], RADIUS):
+            take(start + a, start + b)
+    if labels is None:
+        b = np.flatnonzero(last >= 0)
+        found = [(first[b], b), (last[b], b)]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([p[0] for p in found], [p[1] for p in found]))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of the buckets of a partition sorted by (t, key, part): t, key, part, node, print and maybe root."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        t, key, part, node = (rows.column(i).to_numpy() for i in range(4))
+        prints = np.frombuffer(b"".join(rows.column(4).to_pylist()), "<u8").reshape(len(t), -1)
+        new = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+        a, b = bucket_pairs(prints, np.cumsum(np.r_[0, new]), rows.column(5).to_numpy() if rows.num_columns > 5 else None)
+        a, b = node[a], node[b]
+        a, b = np.maximum(a, b), np.minimum(a, b)
+        once = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return batch({"a": (once[:, 0], pa.int64()), "b": (once[:, 1], pa.int64())})
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for rows in batches:
+        held.append(rows)
+        n += rows.num_rows
+        if n >= TOGETHER:
+            whole = pa.Table.from_batches(held)
+            t, key, part = (whole.column(i).to_numpy() for i in range(3))
+            cut = int(np.argmax((t == t[-1]) & (key == key[-1]) & (part == part[-1])))  # the last bucket may go on in the next batch
+            if cut:
+                yield pairs(whole.slice(0, cut))
+            held, n = whole.slice(cut).to_batches(), len(t) - cut
+    if n:
+        yield pairs(pa.Table.from_batches(held))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """a, b: distinct pairs of nodes that meet in a bucket and whose sizes allow the similarity."""
-    keyed = nodes.select("node", "n", F.posexplode("bands").alias("t", "key"))
-    counts = keyed.groupBy("t", "key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / MOST))
-    rows = keyed.join(counts, ["t", "key"]).withColumn("part", part)
-    order = Window.partitionBy("t", "key", "part").orderBy(F.xxhash64("node", "t"), "node")
-    me = F.struct("node", "n")
-    others = F.array("first", *[F.lead(me, d).over(order) for d in range(1, WINDOW + 1)])
-    met = rows.select("node", "n", others.alias("others")).select("node", "n", F.explode("others").alias("o"))
-    near = F.least("n", "o.n") >= F.lit(LEAST) * F.greatest("n", "o.n")
-    return met.where(near & (F.col("node") != F.col("o.node"))).select(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b")).distinct()
+    """a, b: distinct pairs of nodes (node, print, keys and maybe root) that meet in a bucket within the radius."""
+    more = ["root"] if "root" in nodes.columns else []
+    keyed = nodes.select("node", "print", *more, F.posexplode("keys").alias("t", "key"))
+    large = nodes.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.ceil(F.count("*") / MOST).cast("int").alias("s")).where("s > 1")
+    rows = keyed.join(large, ["t", "key"], "left")
+    own = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda j: j != F.col("own"))
+    pair = F.transform(others, lambda j: F.least(j, F.col("own")) * F.col("s") + F.greatest(j, F.col("own")))
+    part = F.explode(F.when(F.col("s") > 1, pair).otherwise(F.array(F.lit(-1))))
+    dealt = rows.withColumn("own", own).select(F.col("t").cast("long"), F.col("key").cast("long"), part.alias("part"), "node", "print", *more)
+    dealt = dealt.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part", F.xxhash64("node", "t"))
+    return dealt.withColumn("part", F.col("part").cast("long")).mapInArrow(_pairs, "a long, b long").distinct()
 
 
 def shingle_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -103,9 +183,10 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingle_set(t).tobytes() for t in texts_of(rows)]
             yield batch({"node": (rows.column(0), pa.int64()), "shingles": (sets, pa.binary())})
 
-    ids = wanted.select("node", F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.xxhash64("text").eqNullSafe(F.col("_text_hash"))
-    return documents.join(ids, same).select("node", "text").mapInArrow(run, "node long, shingles binary")
+    doc, text, node = (unused(documents, name) for name in ("wanted_id", "wanted_text", "wanted_node"))
+    ids = wanted.select(F.col("node").alias(node), F.col("doc_id").alias(doc), F.col("text_hash").alias(text))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(text))
+    return documents.join(ids, same).select(node, "text").mapInArrow(run, "node long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -126,12 +207,19 @@ def near_copies(documents: DataFrame) -> DataFrame:
     """doc_id, component_id (the smallest doc_id of the component), text_hash."""
     prints = written(signatures(documents), "similar-prints")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    pairs = written(candidates(nodes), "similar-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = prints.select("node", "doc_id", "text_hash").join(named, "node", "left_semi").groupBy("node").agg(one).select("node", "one.*")
-    sets = written(shingle_sets(documents, wanted), "similar-sets")
-    roots = connected(verified(pairs, sets))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.any_value("print").alias("print"), F.any_value("keys").alias("keys"))
+
+    def links(found: DataFrame, name: str) -> DataFrame:
+        pairs = written(found, f"similar-{name}")
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = prints.select("node", "doc_id", "text_hash").join(named, "node", "left_semi").groupBy("node").agg(one).select("node", "one.*")
+        return written(verified(pairs, written(shingle_sets(documents, wanted), f"similar-{name}-sets")), f"similar-{name}-links")
+
+    some = links(candidates(nodes), "some")
+    joined = written(connected(some), "similar-joined")
+    rooted = nodes.select("node", "print", "keys").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = links(candidates(rooted), "rest")
+    roots = connected(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest))
     rooted = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     component = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
     return prints.join(component, "node").select("doc_id", "component_id", "text_hash")
