@@ -351,15 +351,11 @@ def repeated_bytes(documents: DataFrame) -> DataFrame:
     # doc_id goes along unused: with the same columns both joins read one exchange
     cells = keyed.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "found", "doc_id").mapInArrow(_cells, CELLS)
     cells = written(cells, "repeat-cells")
-    busy = written(cells.groupBy("c1", "c2").agg(F.count("*").alias("m")).where(F.col("m") > MOST).select("c1", "c2"), "repeat-busy")
-    large = cells.join(busy, ["c1", "c2"]).select(*NAME).distinct().groupBy("c1", "c2").agg(F.count("*").alias("m"))
-    large = written(large.where(F.col("m") > MOST).select("c1", "c2"), "repeat-large")
-
-    def spellings(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*NAME).agg(F.count("*").alias("n"), F.max("family").alias("family"), F.max("left").alias("left"), F.max("right").alias("right"))
-
-    arrays = spellings(cells.join(large, ["c1", "c2"], "left_anti")).repartition("c1", "c2").sortWithinPartitions("c1", "c2")
-    marks = arrays.mapInArrow(_repeats, MARKS).unionByName(counted_windows(spellings(cells.join(large, ["c1", "c2"], "left_semi"))))
+    spellings = cells.groupBy(*NAME).agg(F.count("*").alias("n"), F.max("family").alias("family"), F.max("left").alias("left"), F.max("right").alias("right"))
+    spellings = written(spellings, "repeat-spellings")
+    large = written(spellings.groupBy("c1", "c2").agg(F.count("*").alias("m")).where(F.col("m") > MOST).select("c1", "c2"), "repeat-large")
+    arrays = spellings.join(large, ["c1", "c2"], "left_anti").repartition("c1", "c2").sortWithinPartitions("c1", "c2")
+    marks = arrays.mapInArrow(_repeats, MARKS).unionByName(counted_windows(spellings.join(large, ["c1", "c2"], "left_semi")))
     stretches = cells.select(*NAME, "k1", "k2", "core").join(written(marks, "repeat-marks"), NAME)
     stretches = stretches.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "first", "last")).alias("found"))
     known = written(stretches.join(copies, ["k1", "k2"], "full"), "repeat-known")
