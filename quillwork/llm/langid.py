@@ -38,8 +38,8 @@ from quillwork.llm.shared import batch, id_check, table, texts_of
 UNKNOWN, FOLDS, HELD_OUT = "und", 3, 1
 #: Languages that are learned at most, those of the most texts: the bound of the model's size.
 MOST_LANGUAGES = 64
-#: Bits a byte, of 8 for noise, above which a text is in none of the languages; texts of the languages cost 2 to 4.
-MOST_BITS, LEAST_SHARE = 7.0, 0.5
+#: Bits a byte above which a text is in none of the languages: theirs cost 2 to 4, noise of their bytes up to 9, scripts not learned 15 and more.
+MOST_BITS, LEAST_SHARE = 10.0, 0.5
 #: What is taken to stand before a text: the context of its first bytes.
 BEFORE = b"\n\n\n"
 ASCII_LETTER = re.compile("[A-Za-z]")

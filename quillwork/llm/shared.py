@@ -68,7 +68,7 @@ def texts_of(rows: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     return (x.as_py() or "" for x in rows.column(rows.schema.get_field_index(column)))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a part holds about `most` bytes of a column or one row."""
     for rows in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(rows.column(rows.schema.get_field_index(column))), 0)).astype(np.int64)

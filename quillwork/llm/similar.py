@@ -3,19 +3,23 @@
 A document's node is its set of five-word shingles. A node's fingerprint has
 BITS bits, each 1 if set in over half of its shingles' hashes. For sets of
 similarity 0.8 a bit differs with probability 0.15, so their distance is 39 of
-256 on average and RADIUS lies seven standard deviations above; for unrelated
-sets it is 128, six below which the radius lies.
-
-Candidates: four orders of the bits are cut into parts of PART bits; each part
-is a table of buckets (72 in all), and a pair of similarity 0.8 shares no
-bucket in one of 2,000 cases. In a bucket the planes of all fingerprints are
-compared with carry-save counters, as in `simhash`. A first pass gives each node
-its first and its last earlier neighbour within the radius; these links are
-verified on the whole shingle sets and joined to components. A second pass
-gives every pair within the radius that these components don't join, so no link
-depends on which pairs the first pass chose. Only pairs of a Jaccard similarity
-of LEAST or more are linked. A bucket above MOST nodes is dealt into parts that
-meet pairwise.
+256 on average and RADIUS lies three standard deviations above (one pair in
+900 of exactly 0.8 lies beyond it); for unrelated sets it is 128, nine
+deviations above the radius.
+
+Candidates: ORDERS orders of the bits are cut into parts of PART bits; each part
+is a table of buckets (63 in all), and a pair of similarity 0.8 shares no
+bucket in one of 12,000 cases. In a bucket the planes of all fingerprints are
+compared with carry-save counters, as in `simhash`. First each node names the
+nearest neighbour within the radius that comes before it in the bucket's order,
+which spans what the bucket links; these links are verified on the whole shingle
+sets and joined to components. Then every pair within the radius that these
+components don't join is tried too, if sketches of SKETCH bits of both (which
+only nodes with neighbours get) are at most FAR apart, 3.5 standard deviations
+above what 0.8 gives. So the members of a large group cost a link a node and
+bucket, and only pairs near 0.8 that nothing else joins cost one each. Only
+pairs of a Jaccard similarity of LEAST or more are linked. A bucket above MOST
+nodes is dealt into parts that meet pairwise.
 
 Edge cases: null, empty and blank texts are one node; texts of fewer words than
 a shingle are one shingle; a null doc_id names a component only where no other
@@ -37,10 +41,11 @@ from quillwork.llm.shared import batch, texts_of, unused, written
 from quillwork.llm.simhash import SMALL, TOGETHER, large_hits, shingle_hashes, small_hits
 
 SHINGLE, LEAST = 5, 0.8
-BITS, PART, ORDERS, RADIUS = 256, 14, 4, 80
+BITS, PART, ORDERS, RADIUS = 256, 12, 3, 56
+SKETCH, FAR = 1024, 195
 MOST = 8192
 _RANDOM = np.random.default_rng(42)
-_MIX = _RANDOM.integers(0, 1 << 64, BITS // 64, np.uint64) | np.uint64(1)
+_MIX = _RANDOM.integers(0, 1 << 64, SKETCH // 64, np.uint64) | np.uint64(1)
 #: The bits of each table's part.
 PARTS = np.concatenate([_RANDOM.permutation(BITS)[: BITS // PART * PART].reshape(-1, PART) for _ in range(ORDERS)])
 
@@ -49,11 +54,11 @@ def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """BITS bits as 0 or 1, each 1 if set in over half of the shingles' hashes."""
-    counts = np.zeros(BITS, np.int64)
+def fingerprint(shingles: np.ndarray, size: int = BITS) -> np.ndarray:
+    """`size` bits as 0 or 1, each 1 if set in over half of the shingles' hashes; a longer one begins with the shorter."""
+    counts = np.zeros(size, np.int64)
     for a in range(0, len(shingles), 4096):
-        x = shingles[a : a + 4096, None] * _MIX
+        x = shingles[a : a + 4096, None] * _MIX[: size // 64]
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
@@ -62,8 +67,8 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
 
 
 def keys_of(bits: np.ndarray) -> np.ndarray:
-    """The bucket of a fingerprint in each table."""
-    return bits[PARTS] @ (1 << np.arange(PART))
+    """The bucket of a fingerprint in each table; no two tables share one."""
+    return bits[PARTS] @ (1 << np.arange(PART)) + (np.arange(len(PARTS)) << PART)
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
@@ -92,56 +97,68 @@ def signatures(documents: DataFrame) -> DataFrame:
                 nodes.append(_node(shingles) - (1 << 63))
                 prints.append(np.packbits(bits, bitorder="little").tobytes())
                 keys.append(keys_of(bits) if len(shingles) else [])
-            yield batch({"doc_id": (rows.column(0), pa.int64()), "text_hash": (rows.column(2), pa.int64()), "node": (nodes, pa.int64()), "print": (prints, pa.binary()), "keys": (keys, pa.list_(pa.int32()))})
+            yield batch({"doc_id": (rows.column(0), pa.int64()), "text_hash": (rows.column(2), pa.int64()), "node": (nodes, pa.int64()), "print": (prints, pa.binary()), "keys": (keys, pa.list_(pa.int64()))})
 
     rows = documents.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "xxhash64(text) AS text_hash")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, print binary, keys array<int>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, print binary, keys array<long>")
 
 
-def bucket_pairs(prints: np.ndarray, group: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within the radius, for rows sorted by group.
+def bucket_pairs(prints: np.ndarray, bucket: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within the radius, for rows sorted by bucket.
 
-    Without labels each row's first and last earlier neighbour, else every
-    neighbour of another label.
+    Without labels each row's nearest earlier neighbour, or its nearest later
+    one if it has none and no other row names it. With labels, where prints are
+    sketches, every neighbour of another label whose sketch is near, in the
+    first table that the two share.
     """
-    n = len(prints)
-    first, last = np.full(n, n), np.full(n, -1)
+    n, short = len(prints), prints[:, : BITS // 64]
+    nothing, row = np.iinfo(np.int64).max, (1 << 40) - 1
+    before, after = np.full(n, nothing), np.full(n, nothing)  # distance, then row
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def take(a: np.ndarray, b: np.ndarray) -> None:
         if labels is None:
-            np.minimum.at(first, b, a)
-            np.maximum.at(last, b, a)
-        else:
-            apart = labels[a] != labels[b]
-            found.append((a[apart], b[apart]))
-
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            far = np.bitwise_count(short[a] ^ short[b]).sum(axis=1, dtype=np.int64) << 40
+            np.minimum.at(before, b, far | a)
+            np.minimum.at(after, a, far | b)
+            return
+        apart = labels[a] != labels[b]
+        a, b = a[apart], b[apart]
+        for k in range(0, len(a), 100_000):
+            x, y = a[k : k + 100_000], b[k : k + 100_000]
+            close = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1) <= FAR
+            x, y = x[close], y[close]
+            differ = np.unpackbits((short[x] ^ short[y]).view(np.uint8), axis=1, bitorder="little")
+            first = np.argmin(differ[:, PARTS].any(axis=2), axis=1) == bucket[x] >> 24 + PART
+            found.append((x[first], y[first]))
+
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[starts, n])
     rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
     if len(rows):
-        for a, b in small_hits(prints[rows], group[rows], RADIUS):
+        for a, b in small_hits(short[rows], bucket[rows], RADIUS):
             take(rows[a], rows[b])
     for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        for a, b in large_hits(prints[start : start + size], RADIUS):
+        for a, b in large_hits(short[start : start + size], RADIUS):
             take(start + a, start + b)
     if labels is None:
-        b = np.flatnonzero(last >= 0)
-        found = [(first[b], b), (last[b], b)]
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([p[0] for p in found], [p[1] for p in found]))
+        b = np.flatnonzero(before < nothing)
+        named = before < nothing
+        named[before[b] & row] = True
+        a = np.flatnonzero(~named & (after < nothing))
+        return np.r_[before[b] & row, a], np.r_[b, after[a] & row]
+    return tuple(np.concatenate([p[i] for p in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of the buckets of a partition sorted by (t, key, part): t, key, part, node, print and maybe root."""
+    """Pairs of nodes of the buckets of a partition sorted by bucket and part: bucket, node, print and maybe root."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        t, key, part, node = (rows.column(i).to_numpy() for i in range(4))
-        prints = np.frombuffer(b"".join(rows.column(4).to_pylist()), "<u8").reshape(len(t), -1)
-        new = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-        a, b = bucket_pairs(prints, np.cumsum(np.r_[0, new]), rows.column(5).to_numpy() if rows.num_columns > 5 else None)
+        bucket, node = (rows.column(i).to_numpy() for i in (0, 1))
+        prints = np.frombuffer(b"".join(rows.column(2).to_pylist()), "<u8").reshape(len(node), -1)
+        a, b = bucket_pairs(prints, bucket, rows.column(3).to_numpy() if rows.num_columns > 3 else None)
         a, b = node[a], node[b]
-        a, b = np.maximum(a, b), np.minimum(a, b)
-        once = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        once = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
         return batch({"a": (once[:, 0], pa.int64()), "b": (once[:, 1], pa.int64())})
 
     held: list[pa.RecordBatch] = []
@@ -151,28 +168,32 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += rows.num_rows
         if n >= TOGETHER:
             whole = pa.Table.from_batches(held)
-            t, key, part = (whole.column(i).to_numpy() for i in range(3))
-            cut = int(np.argmax((t == t[-1]) & (key == key[-1]) & (part == part[-1])))  # the last bucket may go on in the next batch
+            bucket = whole.column(0).to_numpy()
+            cut = int(np.argmax(bucket == bucket[-1]))  # the last bucket may go on in the next batch
             if cut:
                 yield pairs(whole.slice(0, cut))
-            held, n = whole.slice(cut).to_batches(), len(t) - cut
+            held, n = whole.slice(cut).to_batches(), len(bucket) - cut
     if n:
         yield pairs(pa.Table.from_batches(held))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """a, b: distinct pairs of nodes (node, print, keys and maybe root) that meet in a bucket within the radius."""
+    """a, b: distinct pairs of nodes (node, print, keys and maybe root) that meet in a bucket within the radius.
+
+    keys names each table's bucket. Rows of a large bucket are dealt to its
+    pairs of parts, which are buckets of their own.
+    """
     more = ["root"] if "root" in nodes.columns else []
-    keyed = nodes.select("node", "print", *more, F.posexplode("keys").alias("t", "key"))
-    large = nodes.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.ceil(F.count("*") / MOST).cast("int").alias("s")).where("s > 1")
-    rows = keyed.join(large, ["t", "key"], "left")
+    keyed = nodes.select("node", "print", *more, F.explode("keys").alias("key"))
+    large = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / MOST).cast("int").alias("s")).where("s > 1")
+    rows = keyed.join(written(large, "similar-large"), "key", "left")
     own = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda j: j != F.col("own"))
-    pair = F.transform(others, lambda j: F.least(j, F.col("own")) * F.col("s") + F.greatest(j, F.col("own")))
-    part = F.explode(F.when(F.col("s") > 1, pair).otherwise(F.array(F.lit(-1))))
-    dealt = rows.withColumn("own", own).select(F.col("t").cast("long"), F.col("key").cast("long"), part.alias("part"), "node", "print", *more)
-    dealt = dealt.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part", F.xxhash64("node", "t"))
-    return dealt.withColumn("part", F.col("part").cast("long")).mapInArrow(_pairs, "a long, b long").distinct()
+    pair = F.transform(others, lambda j: F.least(j, F.col("own")) * F.col("s") + F.greatest(j, F.col("own")) + 1)
+    part = F.explode(F.when(F.col("s") > 1, pair).otherwise(F.array(F.lit(0))))
+    dealt = rows.withColumn("own", own).select("key", part.alias("part"), "node", "print", *more)
+    dealt = dealt.select((F.col("key") * F.lit(1 << 24) + F.col("part")).alias("bucket"), "node", "print", *more)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("node", "bucket")).mapInArrow(_pairs, "a long, b long").distinct()
 
 
 def shingle_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,6 +210,17 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return documents.join(ids, same).select(node, "text").mapInArrow(run, "node long, shingles binary")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """node, sketch of every node of `shingle_sets`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            bits = [fingerprint(np.frombuffer(s.as_buffer(), np.uint64), SKETCH) for s in rows.column(1)]
+            yield batch({"node": (rows.column(0), pa.int64()), "sketch": ([np.packbits(b, bitorder="little").tobytes() for b in bits], pa.binary())})
+
+    return sets.mapInArrow(run, "node long, sketch binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar."""
 
@@ -209,16 +241,17 @@ def near_copies(documents: DataFrame) -> DataFrame:
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.any_value("print").alias("print"), F.any_value("keys").alias("keys"))
 
-    def links(found: DataFrame, name: str) -> DataFrame:
-        pairs = written(found, f"similar-{name}")
+    def sets_of(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = prints.select("node", "doc_id", "text_hash").join(named, "node", "left_semi").groupBy("node").agg(one).select("node", "one.*")
-        return written(verified(pairs, written(shingle_sets(documents, wanted), f"similar-{name}-sets")), f"similar-{name}-links")
-
-    some = links(candidates(nodes), "some")
-    joined = written(connected(some), "similar-joined")
-    rooted = nodes.select("node", "print", "keys").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = links(candidates(rooted), "rest")
+        return written(shingle_sets(documents, wanted), "similar-sets")
+
+    pairs = written(candidates(nodes), "similar-pairs")
+    sets = sets_of(pairs)  # of all nodes that have neighbours
+    joined = written(connected(verified(pairs, sets)), "similar-joined")
+    near = nodes.select("node", "keys").join(sketches(sets), "node").join(joined, "node", "left")
+    near = written(near.select("node", F.col("sketch").alias("print"), "keys", F.coalesce("root", "node").alias("root")), "similar-near")
+    rest = verified(written(candidates(near), "similar-rest"), sets)
     roots = connected(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest))
     rooted = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     component = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
