@@ -19,11 +19,13 @@ def nonempty_articles(articles: DataFrame) -> DataFrame:
 
 def toc_entries(articles: DataFrame) -> DataFrame:
     """A label an article: its chapter, else the start of its text; blank labels go."""
-    clean = clean_text(F.col("text"))
+    named = F.nullif(F.col("chapter"), F.lit(""))
+    rows = articles.withColumn("clean", F.when(named.isNull(), clean_text(F.col("text"))))  # cleaned once, where it is shown
+    clean = F.col("clean")
     start = F.when(F.length(clean) > LABEL, F.concat(F.rtrim(F.substring(clean, 1, LABEL)), F.lit("..."))).otherwise(clean)
-    label = F.coalesce(F.nullif(F.col("chapter"), F.lit("")), start)
+    label = F.coalesce(named, start)
     number = F.when(F.col("article_number") != "Preamble", F.col("article_number"))
-    return articles.select("id", "document_id", "sort_key", number.alias("number"), label.alias("label")).where(F.trim("label") != "")
+    return rows.select("id", "document_id", "sort_key", number.alias("number"), label.alias("label")).where(F.trim("label") != "")
 
 
 def footnotes(articles: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def search_articles(documents: DataFrame, articles: DataFrame, query: str, langu
 
 def search_projection(found: DataFrame) -> DataFrame:
     """The fields of a search result by their public names."""
-    return found.select("id", "document_id", "title", "article_number", F.col("text").alias("content"), F.col("group").alias("category"), F.col("type").alias("source_name"), "source_file", "language", "chapter", "sort_key")
+    return found.select("id", "document_id", "title", "article_number", F.col("text").alias("content"), F.col("group").alias("category"), F.col("type").alias("source_name"), "source_file", "path", "language", "chapter", "sort_key")
 
 
 def page_of(rows: DataFrame, order: list, page: int, per_page: int) -> DataFrame:
@@ -118,9 +118,11 @@ def browse_documents(documents: DataFrame, articles: DataFrame, language: str |
         documents = documents.where(F.col("language") == language)
     if group:
         documents = documents.where(F.col("group") == group)
-    counts = articles.groupBy("document_id").agg(F.count("*").alias("n"))
-    rows = documents.join(counts, documents["id"] == counts["document_id"], "left").select("id", "title", "language", "group", F.coalesce("n", F.lit(0)).alias("articles_count"))
-    return page_of(rows, ["title", "id"], page, per_page)
+    shown = page_of(documents.select("id", "title", "language", "group"), ["title", "id"], page, per_page)
+    wanted = F.broadcast(shown.select(F.col("id").alias("document_id")))  # a page of ids
+    counts = articles.join(wanted, "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("n"))
+    rows = shown.join(F.broadcast(counts), shown["id"] == counts["document_id"], "left")
+    return rows.select("id", "title", "language", "group", F.coalesce("n", F.lit(0)).alias("articles_count")).orderBy("title", "id")
 
 
 def document_articles(articles: DataFrame, document_id) -> DataFrame:

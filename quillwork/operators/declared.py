@@ -21,11 +21,12 @@ def semantic_topk(embeddings: DataFrame, every: int = 50, min_score: float = MIN
 
     Queries are the vectors whose id is divisible by `every`; they pass in
     blocks of at most QUERIES, each broadcast, so all candidates meet them in
-    place.
+    place. Vectors that are null or hold a null, NaN or infinite component take
+    no part.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    vectors = embeddings.select(F.col("vec_id"), x.alias("x"), norm.alias("norm")).where("norm > 0")
+    vectors = embeddings.select(F.col("vec_id"), x.alias("x"), norm.alias("norm")).where((F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < F.lit(float("inf"))))
     queries = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), F.col("norm").alias("q_norm"))
     blocks = max(1, -(-queries.count() // QUERIES))
     scored = None

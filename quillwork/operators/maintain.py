@@ -71,7 +71,12 @@ def constraint_report(requests: DataFrame, pairs: DataFrame, services: DataFrame
         {
             "requests.full_name null": F.col("full_name").isNull(),
             "requests.ticket_number length": F.length("ticket_number") > 10,
-            "requests.phone length": F.length("phone") > 12,
+            "requests.full_name length": F.length("full_name") > 255,
+            "requests.email null": F.col("email").isNull(),
+            "requests.email length": F.length("email") > 255,
+            "requests.phone null": F.col("phone").isNull(),
+            "requests.phone length": F.length("phone") > 40,
+            "requests.status length": F.length("status") > 20,
             "requests.base_price negative": F.col("base_price") < 0,
             "requests.status domain": ~F.col("status").isin(*states),
             "requests.case_status domain": ~F.col("case_status").isin("open", "closed"),
@@ -82,7 +87,6 @@ def constraint_report(requests: DataFrame, pairs: DataFrame, services: DataFrame
         rows,
         unique_violations(requests, "requests.id unique", "id"),
         unique_violations(requests, "requests.ticket_number unique", "ticket_number"),
-        unique_violations(requests.select("email"), "requests.email unique", "email"),
         unique_violations(pairs, "request_services unique", "request_id", "service_id"),
         reference_violations(pairs, "request_services.request_id", "request_id", requests),
         reference_violations(pairs, "request_services.service_id", "service_id", services),

@@ -74,7 +74,7 @@ QUERIES = {
     "admin_kpis": lambda s, d: C.admin_kpis(B.requests(s, d), B.users(s, d)),
     "recent_requests": _cases(C.recent_requests),
     "admin_requests": lambda s, d: C.admin_requests(B.requests(s, d), B.request_services(s, d), B.services(s, d)),
-    "users_latest": lambda s, d: C.users_latest(B.users(s, d), most=50),  # as in its SQL
+    "users_latest": lambda s, d: C.users_latest(B.users(s, d)),
     "bar_list": lambda s, d: C.bar_list(B.users(s, d), BARS),
     "role_labels": lambda s, d: C.role_labels(B.users(s, d)),
     "status_labels": _req(C.status_labels),
@@ -116,7 +116,7 @@ SQL = {
     "admin_kpis": sql("SELECT count_if(status IN ('pending_payment', 'pending')) AS pending, count_if(status = 'confirmed') AS confirmed, (SELECT count(*) FROM users) AS users FROM requests", "requests", "users"),
     "recent_requests": sql(f"SELECT {_COLS} FROM requests ORDER BY created_at DESC, id LIMIT 5", "requests"),
     "admin_requests": sql(", p AS (SELECT * FROM requests ORDER BY created_at DESC, id LIMIT 5) SELECT p.id, ticket_number, status, coalesce((SELECT string_agg(name_en, ', ' ORDER BY s.id) FROM request_services x JOIN services s ON x.service_id = s.id WHERE x.request_id = p.id), '') AS services FROM p", "requests", "request_services", "services"),
-    "users_latest": sql("SELECT id, name, role FROM users ORDER BY id DESC LIMIT 50", "users"),
+    "users_latest": sql("SELECT id, name, role FROM users ORDER BY id DESC", "users"),
     "bar_list": sql(", f AS (SELECT * FROM (VALUES ('Rabat', 0), ('Casablanca', 1), ('BUILDING', 2), ('Tanger', 3)) t(bar, place)) SELECT bar, CAST(place AS BIGINT) AS place FROM f UNION ALL SELECT DISTINCT trim(bar), CAST(4 AS BIGINT) FROM users WHERE trim(bar) NOT IN ('', '__custom_bar__') AND trim(bar) NOT IN (SELECT bar FROM f)", "users"),
     "role_labels": sql("SELECT id, CASE role WHEN 'admin' THEN 'Admin' WHEN 'advisor' THEN 'Advisor' ELSE 'User' END AS label FROM users", "users"),
     "status_labels": sql("SELECT id, CASE WHEN base_price = 0 THEN 'Free' WHEN status = 'pending_payment' THEN 'Pending Payment' ELSE upper(status[1]) || status[2:] END AS label FROM requests", "requests"),

@@ -35,7 +35,7 @@ def _hit(term: str) -> str:
     return "(" + " OR ".join(f"coalesce({c} ILIKE '%{term}%', false)" for c in ("text", "article_number", "chapter", "title")) + ")"
 
 
-_RESULT = "id, document_id, title, article_number, text AS content, grp AS category, type AS source_name, source_file, language, chapter, sort_key"
+_RESULT = "id, document_id, title, article_number, text AS content, grp AS category, type AS source_name, source_file, path, language, chapter, sort_key"
 
 
 def _search(query: str, **filters):

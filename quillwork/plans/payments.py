@@ -86,7 +86,7 @@ QUERIES = {
     "semantic_topk": lambda s, d: D.semantic_topk(B.read(s, d, "embeddings"), min_score=0.3).select("query_id", "rank", "vec_id", F.round("score", 3).alias("score")),
     "extract_pages": lambda s, d: D.extract_pages(B.read(s, d, "pages")),
     "chunk_documents": lambda s, d: D.chunk_documents(B.read(s, d, "documents")),
-    "parse_articles": lambda s, d: D.parse_references(B.articles(s, d).select("id", F.concat("text", F.lit(" see Article "), F.col("sort_key").cast("string"), F.lit(" of law no. 12-"), F.col("sort_key").cast("string"), F.lit(" of 3/11/2020")).alias("text")), "id"),
+    "parse_articles": lambda s, d: D.parse_references(B.articles(s, d).select("id", F.concat_ws("\n", "article_number", "text").alias("text")), "id"),
     "categorize": lambda s, d: D.categorize(B.read(s, d, "documents")),
     "webhook_source": jobs.webhook_events_batch,
     "webhook_fold": jobs.webhook_fold_query,
@@ -111,14 +111,18 @@ def _bad(rule: str, condition: str) -> str:
 _REPORT = " UNION ALL ".join([
     _bad("requests.full_name null", "full_name IS NULL"),
     _bad("requests.ticket_number length", "length(ticket_number) > 10"),
-    _bad("requests.phone length", "length(phone) > 12"),
+    _bad("requests.full_name length", "length(full_name) > 255"),
+    _bad("requests.email null", "email IS NULL"),
+    _bad("requests.email length", "length(email) > 255"),
+    _bad("requests.phone null", "phone IS NULL"),
+    _bad("requests.phone length", "length(phone) > 40"),
+    _bad("requests.status length", "length(status) > 20"),
     _bad("requests.base_price negative", "base_price < 0"),
     _bad("requests.status domain", "status NOT IN ('pending_payment', 'pending', 'paid', 'confirmed', 'rejected')"),
     _bad("requests.case_status domain", "case_status NOT IN ('open', 'closed')"),
     _bad("requests.payment_method domain", "payment_method NOT IN ('google_pay', 'bank')"),
     "SELECT 'requests.id unique', count(*) - count(DISTINCT id) FROM requests",
     "SELECT 'requests.ticket_number unique', count(*) - count(DISTINCT ticket_number) FROM requests",
-    "SELECT 'requests.email unique', count(*) - count(DISTINCT email) FROM requests",
     "SELECT 'request_services unique', count(*) - count(DISTINCT (request_id, service_id)) FROM request_services",
     "SELECT 'request_services.request_id', count_if(request_id NOT IN (SELECT id FROM requests)) FROM request_services",
     "SELECT 'request_services.service_id', count_if(service_id NOT IN (SELECT id FROM services)) FROM request_services",
@@ -144,7 +148,7 @@ SQL = {
     "admin_action_eligibility": sql(f"SELECT id, status <> 'paid' AND (receipt_path IS NOT NULL OR {_FREE}) AS can_confirm, status <> 'paid' AND receipt_path IS NOT NULL AS can_reject, status <> 'paid' AS can_resend FROM requests", "requests"),
     "semantic_topk": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(c.x, q.x), 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p WHERE score >= 0.3) SELECT query_id, rank, vec_id, round(score, 3) AS score FROM r WHERE rank <= 12",
     "chunk_documents": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l) SELECT doc_id, CAST(start // 1000 AS BIGINT) AS chunk, string_agg(line, chr(10) ORDER BY pos) AS text FROM s GROUP BY ALL",
-    "parse_articles": sql(", x AS (SELECT id, text || ' see Article ' || sort_key || ' of law no. 12-' || sort_key || ' of 3/11/2020' AS text FROM arts) SELECT id, 'article' AS kind, unnest(regexp_extract_all(text, '(?i)\\b(?:article|artikel|artículo|art\\.)\\s+(\\d+)', 1)) AS value, CAST(generate_subscripts(regexp_extract_all(text, '(?i)\\b(?:article|artikel|artículo|art\\.)\\s+(\\d+)', 1), 1) AS INTEGER) AS n FROM x UNION ALL SELECT id, 'law', unnest(regexp_extract_all(text, '(?i)\\b(?:law|loi|gesetz|ley)\\s+(?:no\\.?\\s*)?(\\d+[-/.]\\d+)', 1)), 1 FROM x UNION ALL SELECT id, 'date', unnest(regexp_extract_all(text, '\\b(\\d{1,2}/\\d{1,2}/\\d{4})\\b', 1)), 1 FROM x", "arts"),
+    "parse_articles": sql(", x AS (SELECT id, concat_ws(chr(10), article_number, text) AS text FROM arts) SELECT id, 'article' AS kind, unnest(regexp_extract_all(text, '(?i)\\b(?:article|artikel|artículo|art\\.)\\s+(\\d+)', 1)) AS value, CAST(generate_subscripts(regexp_extract_all(text, '(?i)\\b(?:article|artikel|artículo|art\\.)\\s+(\\d+)', 1), 1) AS INTEGER) AS n FROM x UNION ALL SELECT id, 'law', unnest(regexp_extract_all(text, '(?i)\\b(?:law|loi|gesetz|ley)\\s+(?:no\\.?\\s*)?(\\d+[-/.]\\d+)', 1)), 1 FROM x UNION ALL SELECT id, 'date', unnest(regexp_extract_all(text, '\\b(\\d{1,2}/\\d{1,2}/\\d{4})\\b', 1)), 1 FROM x", "arts"),
     "categorize": "WITH k AS (SELECT * FROM (VALUES ('bank', 'banking'), ('loan', 'banking'), ('tax', 'tax'), ('duty', 'tax'), ('the', 'family'), ('and', 'family'), ('de', 'civil'), ('la', 'civil'), ('der', 'labor'), ('die', 'labor'), ('que', 'real-estate'), ('el', 'real-estate')) t(word, category)), w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS word FROM documents), c AS (SELECT doc_id, category, count(*) AS score FROM w JOIN k USING (word) GROUP BY ALL) SELECT doc_id, category, score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) = 1",
     "webhook_fold": sql(f"{_LATEST} SELECT intent_id, status, ever_succeeded FROM t", "payment_events", "requests"),
     "case_state_stream": _FOLD,

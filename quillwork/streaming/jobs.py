@@ -25,8 +25,11 @@ WEBHOOK = "id string, ts timestamp_ntz, type string, data struct<object: struct<
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where a local session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="quillwork-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -143,7 +146,9 @@ def sync_articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{place}/in").schema
     stream = spark.readStream.schema(schema).parquet(f"{place}/in")
     sync_articles(stream, B.documents(spark, sf_dir), f"{place}/index", f"{place}/state")
-    return spark.read.parquet(f"{place}/index/version=0")
+    versions = spark.read.parquet(f"{place}/index")
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).drop("version")
 
 
 CASE = "case_id long, advisor_id long, first_contact_at timestamp_ntz, case_status string, closed_at timestamp_ntz, last_touched_at timestamp_ntz, completed long"
