@@ -78,7 +78,7 @@ class Codec:
         self.whole = {token: rank for rank, token in enumerate(self.tokens)}
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
-        self.batch = BatchEncoder(self.piece, self.letters, most=120_000)
+        self.batch = BatchEncoder(self.piece, self.letters, most=60_000)
 
     def piece(self, text: str) -> bytes:
         ids = array("I")

@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 
 from quillwork.llm.components import connected
 from quillwork.llm.shared import batch, texts_of, unused, written
-from quillwork.llm.simhash import SMALL, TOGETHER, large_hits, shingle_hashes, small_hits
+from quillwork.llm.simhash import SMALL, large_hits, shingle_hashes, small_hits
 
 SHINGLE, LEAST = 5, 0.8
 BITS, PART, ORDERS, RADIUS = 256, 12, 3, 56
 SKETCH, FAR = 1024, 195
-MOST = 8192
+#: Nodes of a bucket that one group takes, rows compared together, and pairs whose bits are unfolded together.
+MOST, TOGETHER, STEP = 4096, 50_000, 20_000
 _RANDOM = np.random.default_rng(42)
 _MIX = _RANDOM.integers(0, 1 << 64, SKETCH // 64, np.uint64) | np.uint64(1)
 #: The bits of each table's part.
@@ -117,15 +118,16 @@ def bucket_pairs(prints: np.ndarray, bucket: np.ndarray, labels: np.ndarray | No
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def take(a: np.ndarray, b: np.ndarray) -> None:
-        if labels is None:
-            far = np.bitwise_count(short[a] ^ short[b]).sum(axis=1, dtype=np.int64) << 40
-            np.minimum.at(before, b, far | a)
-            np.minimum.at(after, a, far | b)
-            return
-        apart = labels[a] != labels[b]
-        a, b = a[apart], b[apart]
-        for k in range(0, len(a), 100_000):
-            x, y = a[k : k + 100_000], b[k : k + 100_000]
+        if labels is not None:
+            apart = labels[a] != labels[b]
+            a, b = a[apart], b[apart]
+        for k in range(0, len(a), STEP):
+            x, y = a[k : k + STEP], b[k : k + STEP]
+            if labels is None:
+                far = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64) << 40
+                np.minimum.at(before, y, far | x)
+                np.minimum.at(after, x, far | y)
+                continue
             close = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1) <= FAR
             x, y = x[close], y[close]
             differ = np.unpackbits((short[x] ^ short[y]).view(np.uint8), axis=1, bitorder="little")
