@@ -30,6 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillwork.llm.pretokens import BatchEncoder, byte_chars, byte_strings, mapped
 from quillwork.llm.shared import batch, slices, table
 
+#: Bytes of text that are encoded at once: lists of their words and ids take some thirty times as much.
+AT_ONCE = 1 << 20
+
 
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a .tiktoken file by rank."""
@@ -122,7 +125,7 @@ def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", AT_ONCE):
             ids, lengths = codec.batch(rows.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield batch({"doc_id": (rows.column(0), pa.int64()), "ids": (lists, lists.type)})
@@ -152,7 +155,7 @@ def round_trip_digests(documents: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
         written = [str(i) for i in range(len(codec.tokens))]
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", AT_ONCE):
             every, counts = codec.batch(rows.column(1))
             of_ids, of_bytes, at = [], [], 0
             for n in counts.tolist():
@@ -161,6 +164,8 @@ def round_trip_digests(documents: DataFrame, vocabulary: str) -> DataFrame:
                 of_ids.append(hashlib.sha256(" ".join(map(written.__getitem__, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield batch({"doc_id": (rows.column(0), pa.int64()), "n_tokens": (counts, pa.int64()), "ids_sha256": (of_ids, pa.string()), "decoded_sha256": (of_bytes, pa.string())})
+            del every, counts
+        pa.default_memory_pool().release_unused()
 
     return documents.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, SCHEMA)
 
