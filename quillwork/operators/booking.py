@@ -23,7 +23,11 @@ def normalize_phone(phone: Column) -> Column:
 
 
 def validate_bookings(bookings: DataFrame, services: DataFrame) -> DataFrame:
-    """id, errors: the codes of the rules that each booking breaks, in the order of the rules."""
+    """id, errors: the codes of the rules that each booking breaks, in the order of the rules.
+
+    call_time is checked where bookings carry it; rules that depend on the
+    services chosen are those of `conditional_errors`.
+    """
     ids = bookings.select("id", F.explode("service_ids").alias("service_id"))
     unknown = ids.join(services.select(F.col("id").alias("service_id")), "service_id", "left_anti").select("id").distinct().withColumn("unknown", F.lit(True))
     missing = lambda c: F.col(c).isNull() | (F.col(c) == "")
@@ -40,6 +44,8 @@ def validate_bookings(bookings: DataFrame, services: DataFrame) -> DataFrame:
         "consultation_mode": F.col("consultation_mode").isNotNull() & ~F.col("consultation_mode").isin(*MODES),
         "payment_method": F.col("payment_method").isNotNull() & ~F.col("payment_method").isin(*METHODS),
     }
+    if "call_time" in bookings.columns:
+        rules["call_time"] = F.length("call_time") > 20
     codes = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), code) for code, bad in rules.items()]))
     return bookings.join(unknown, "id", "left").select("id", F.array_join(codes, ",").alias("errors"))
 
@@ -76,6 +82,26 @@ def requirements(pairs: DataFrame, services: DataFrame) -> DataFrame:
     return common_modes(pairs, services).join(prices, "request_id").select("request_id", (F.size("modes") > 0).alias("mode_required"), (F.col("total") > 0).alias("payment_required"))
 
 
+def conditional_errors(bookings: DataFrame, services: DataFrame) -> DataFrame:
+    """id, errors: the codes of the rules that hold because of the services chosen.
+
+    Where the known services share a mode, a mode is required and has to be one
+    that they share; where their sum is above 0, a method is required. A booking
+    without a known service breaks none.
+    """
+    pairs = request_service_rows(bookings, services)
+    prices = pairs.join(services.select(F.col("id").alias("service_id"), "price"), "service_id").groupBy("request_id").agg(F.sum("price").alias("total"))
+    asked = common_modes(pairs, services).join(prices, "request_id")
+    mode, shared, none = F.col("consultation_mode"), F.size("modes") > 0, lambda c: F.col(c).isNull() | (F.col(c) == "")
+    rules = {
+        "consultation_mode.required": shared & none("consultation_mode"),
+        "consultation_mode.allowed": shared & (mode != "") & ~F.array_contains("modes", mode),
+        "payment_method.required": (F.col("total") > 0) & none("payment_method"),
+    }
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), code) for code, bad in rules.items()]))
+    return bookings.join(asked, bookings["id"] == asked["request_id"], "left").select("id", F.array_join(codes, ",").alias("errors"))
+
+
 def confirmation_state(expires_at: Column, confirmed_at: Column, exists: Column, now: Column) -> Column:
     """invalid if missing or used, expired without or after its time, else ok; in that order."""
     return F.when(~exists | confirmed_at.isNotNull(), "invalid").when(expires_at.isNull() | (expires_at < now), "expired").otherwise("ok")

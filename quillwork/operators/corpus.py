@@ -27,9 +27,10 @@ def corpus_scan(documents: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def searchable_articles(documents: DataFrame, articles: DataFrame) -> DataFrame:
-    """Flat index records; an article without a document keeps null document fields."""
+    """Flat index records, with slug and depth where articles carry them; an article without a document keeps null document fields."""
+    own = [c for c in ("slug", "depth") if c in articles.columns]
     d = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("language").alias("document_language"), F.col("type").alias("document_type"), F.col("group").alias("document_group"), "source_file")
-    return articles.join(d, "document_id", "left").select("id", "document_id", "article_number", "text", "sort_key", "chapter", "path", "document_title", "document_language", "document_type", "document_group", "source_file")
+    return articles.join(d, "document_id", "left").select("id", "document_id", "article_number", "text", "sort_key", "chapter", "path", *own, "document_title", "document_language", "document_type", "document_group", "source_file")
 
 
 def searchable_documents(documents: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ STATES = {SUCCEEDED: "succeeded", FAILED: "failed", CANCELED: "canceled"}
 REPLACEABLE = ("requires_payment_method", "requires_confirmation", "requires_action")
 INTENT_ID = "^pi_[A-Za-z0-9]+$"
 LEAST_CENTS = 100
+FAILURE = ("failure_code", "failure_message")
 
 
 def state_of(event_type: Column) -> Column:
@@ -62,14 +63,16 @@ def transactions_latest(events: DataFrame, requests: DataFrame) -> DataFrame:
 
     An intent begins with a success whose request exists; failures and
     cancellations change only intents that have begun, and a later failure
-    replaces a success. Order is (ts, event_id).
+    replaces a success. Order is (ts, event_id). Where events carry failure_code
+    and failure_message, those of the last failure stay.
     """
     known = requests.select(F.col("id").alias("request_id"), F.lit(True).alias("exists"))
     rows = events.withColumn("status", state_of(F.col("type"))).where("status IS NOT NULL").join(known, "request_id", "left")
     at = F.struct("ts", "event_id")
     begins = (F.col("status") == "succeeded") & F.col("exists")
     first = rows.where(begins).groupBy("intent_id").agg(F.min(at).alias("first"))
-    return rows.join(first, "intent_id").where(at >= F.col("first")).groupBy("intent_id").agg(F.max_by("status", at).alias("status"), F.bool_or(F.col("status") == "succeeded").alias("ever_succeeded"))
+    failed = [F.max_by(c, F.when(F.col("status") == "failed", at)).alias(c) for c in FAILURE if c in events.columns]
+    return rows.join(first, "intent_id").where(at >= F.col("first")).groupBy("intent_id").agg(F.max_by("status", at).alias("status"), F.bool_or(F.col("status") == "succeeded").alias("ever_succeeded"), *failed)
 
 
 def paid_requests(events: DataFrame, requests: DataFrame) -> DataFrame:

@@ -63,9 +63,21 @@ def service_catalog(services: DataFrame) -> DataFrame:
 
 
 def localized_services(services: DataFrame, locale: str = "fr") -> DataFrame:
-    """Names fall back to English where null; price texts also where '' or '0'."""
-    shown = or_english(F.col(f"price_display_{locale}"), F.col("price_display_en")) if locale != "en" else F.col("price_display_en")
-    return services.select("id", F.coalesce(f"name_{locale}", "name_en").alias("name"), shown.alias("price_display"), price_label(shown, F.col("price"), locale).alias("price_label"))
+    """Names and descriptions fall back to English where null; price texts and both kinds of notes also where '' or '0'."""
+    shown = _shown("price_display", locale)
+    return services.select(
+        "id",
+        F.coalesce(f"name_{locale}", "name_en").alias("name"),
+        F.coalesce(f"description_{locale}", "description_en").alias("description"),
+        _shown("notes", locale).alias("notes"),
+        _shown("additional_notes", locale).alias("additional_notes"),
+        shown.alias("price_display"),
+        price_label(shown, F.col("price"), locale).alias("price_label"),
+    )
+
+
+def _shown(field: str, locale: str) -> Column:
+    return or_english(F.col(f"{field}_{locale}"), F.col(f"{field}_en"))
 
 
 def surcharge_lines(requests: DataFrame) -> DataFrame:

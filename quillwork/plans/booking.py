@@ -28,6 +28,7 @@ def bookings(s, d):
         F.when(o % 13 == 0, F.concat(listed, F.array(F.lit(-1).cast("long")))).otherwise(listed).alias("service_ids"),
         F.when(o % 29 == 0, "phone").otherwise(F.col("consultation_mode")).alias("consultation_mode"),
         F.when(o % 31 == 0, "cash").when(o % 31 == 1, None).otherwise(F.col("payment_method")).alias("payment_method"),
+        F.when(o % 37 == 0, "any time before noon or after six").when(o % 3 == 0, "before noon").alias("call_time"),
     )
 
 
@@ -36,7 +37,8 @@ bookings AS (SELECT id, CASE WHEN id % 17 <> 0 THEN full_name END AS full_name,
   CASE WHEN id % 23 = 0 THEN '12 34' ELSE ' +212 ' || phone[5:] || '-' END AS phone, whatsapp, status AS case_description,
   CASE WHEN id % 13 = 0 THEN list_append(coalesce(listed, []), -1) ELSE coalesce(listed, []) END AS service_ids,
   CASE WHEN id % 29 = 0 THEN 'phone' ELSE consultation_mode END AS consultation_mode,
-  CASE WHEN id % 31 = 0 THEN 'cash' WHEN id % 31 = 1 THEN NULL ELSE payment_method END AS payment_method
+  CASE WHEN id % 31 = 0 THEN 'cash' WHEN id % 31 = 1 THEN NULL ELSE payment_method END AS payment_method,
+  CASE WHEN id % 37 = 0 THEN 'any time before noon or after six' WHEN id % 3 = 0 THEN 'before noon' END AS call_time
   FROM requests LEFT JOIN listed ON id = order_id),
 pairs AS (SELECT DISTINCT b.id AS request_id, u.service_id FROM bookings b, (SELECT id, unnest(service_ids) AS service_id FROM bookings) u WHERE u.id = b.id AND u.service_id IN (SELECT id FROM services)),
 modes AS (SELECT request_id, sum(s.price) AS total, min(service_id) AS first, bool_and(allows_office) AS office, bool_and(allows_whatsapp OR NOT allows_office) AS whatsapp FROM pairs p JOIN services s ON p.service_id = s.id GROUP BY request_id)"""
@@ -80,13 +82,14 @@ QUERIES = {
     "is_free": _req(lambda r: P.totals(r).select("id", "is_free")),
     "to_cents": _req(lambda r: P.totals(r).select("id", "online_cents")),
     "service_catalog": _svc(P.service_catalog),
-    "localized_services": _svc(lambda v: P.localized_services(v, "fr").select("id", "name", "price_display")),
+    "localized_services": _svc(lambda v: P.localized_services(v, "fr").select("id", "name", "description", "notes", "additional_notes", "price_display")),
     "price_label": _svc(lambda v: P.localized_services(v, "en").select("id", "price_label")),
     "surcharge_lines": _req(P.surcharge_lines),
     "payment_route": _req(lambda r: P.payment_route(r, URL)),
     "booking_payload_scan": lambda s, d: K.booking_payload_scan(_confirmations(s, d)).select("id", "full_name", "email", "payment_method", F.element_at("service_ids", 1).alias("first_service"), F.size("service_ids").cast("long").alias("n_services")),
     "normalize_phone": lambda s, d: bookings(s, d).select("id", K.normalize_phone(F.col("phone")).alias("phone")),
     "validate_bookings": lambda s, d: K.validate_bookings(bookings(s, d), B.services(s, d)),
+    "conditional_errors": lambda s, d: K.conditional_errors(bookings(s, d), B.services(s, d)),
     "service_modes": _svc(K.service_modes),
     "common_modes": _common,
     "mode_required": lambda s, d: K.requirements(_pairs(s, d), B.services(s, d)).select("request_id", "mode_required"),
@@ -118,7 +121,7 @@ SQL = {
     "is_free": sql("SELECT id, coalesce(base_price = 0, false) AS is_free FROM requests", "requests"),
     "to_cents": sql(f"SELECT id, CAST({_ONLINE} * 100 AS BIGINT) AS online_cents FROM requests", "requests"),
     "service_catalog": sql(f"SELECT id, name_en, price, {_money(_times('price', 90))} AS online_total, {_money(_times('price', 110))} AS bank_total FROM services", "services"),
-    "localized_services": sql("SELECT id, coalesce(name_fr, name_en) AS name, CASE WHEN price_display_fr IS NULL OR price_display_fr IN ('', '0') THEN price_display_en ELSE price_display_fr END AS price_display FROM services", "services"),
+    "localized_services": sql("SELECT id, coalesce(name_fr, name_en) AS name, coalesce(description_fr, description_en) AS description, CASE WHEN notes_fr IN ('', '0') THEN notes_en ELSE notes_fr END AS notes, coalesce(additional_notes_fr, additional_notes_en) AS additional_notes, CASE WHEN price_display_fr IS NULL OR price_display_fr IN ('', '0') THEN price_display_en ELSE price_display_fr END AS price_display FROM services", "services"),
     "price_label": sql("SELECT id, CASE WHEN price_display_en NOT IN ('', '0') THEN price_display_en WHEN price IS NULL OR price = 0 THEN 'Free' ELSE format('{:,}', (CAST(price * 100 AS BIGINT) + 50) // 100) || ' MAD' END AS price_label FROM services", "services"),
     "surcharge_lines": sql(f"SELECT id, CAST({_BANK} - base_price AS DECIMAL(12,2)) AS bank_fee, CAST(base_price - {_ONLINE} AS DECIMAL(12,2)) AS discount FROM requests", "requests"),
     "payment_route": sql(f"SELECT id, CASE WHEN coalesce(base_price = 0, false) OR payment_method = 'bank' THEN '' ELSE '{URL}' END AS url, CASE WHEN coalesce(base_price = 0, false) THEN '' ELSE '/payment/' || ticket_number END AS link FROM requests", "requests"),
@@ -130,11 +133,18 @@ SQL = {
           CASE WHEN NOT regexp_matches({_PHONE}, '^\\+?[1-9][0-9]{{8,14}}$') THEN 'phone' END,
           CASE WHEN len(service_ids) = 0 THEN 'service_ids' END, CASE WHEN len(list_distinct(service_ids)) < len(service_ids) THEN 'service_ids.distinct' END,
           CASE WHEN id IN (SELECT id FROM (SELECT id, unnest(service_ids) AS v FROM bookings) WHERE v NOT IN (SELECT id FROM services)) THEN 'service_ids.exists' END,
-          CASE WHEN consultation_mode NOT IN ('office', 'whatsapp') THEN 'consultation_mode' END, CASE WHEN payment_method NOT IN ('google_pay', 'bank') THEN 'payment_method' END] AS codes FROM bookings)
+          CASE WHEN consultation_mode NOT IN ('office', 'whatsapp') THEN 'consultation_mode' END, CASE WHEN payment_method NOT IN ('google_pay', 'bank') THEN 'payment_method' END, CASE WHEN length(call_time) > 20 THEN 'call_time' END] AS codes FROM bookings)
         SELECT id, array_to_string(list_filter(codes, lambda c: c IS NOT NULL), ',') AS errors FROM bad""",
         "requests",
         "services",
     ),
+    "conditional_errors": sql(
+        f"""{_BOOK} SELECT b.id, concat_ws(',', CASE WHEN (office OR m.whatsapp) AND consultation_mode IS NULL THEN 'consultation_mode.required' END,
+          CASE WHEN office AND NOT m.whatsapp AND consultation_mode <> 'office' OR m.whatsapp AND NOT office AND consultation_mode <> 'whatsapp' OR office AND m.whatsapp AND consultation_mode NOT IN ('office', 'whatsapp') THEN 'consultation_mode.allowed' END,
+          CASE WHEN total > 0 AND payment_method IS NULL THEN 'payment_method.required' END) AS errors FROM bookings b LEFT JOIN modes m ON b.id = m.request_id""",
+        "requests",
+        "services",
+    ),
     "service_modes": sql("SELECT id, CASE WHEN allows_office AND allows_whatsapp THEN 'office,whatsapp' WHEN allows_office THEN 'office' ELSE 'whatsapp' END AS modes FROM services", "services"),
     "common_modes": sql(f"{_BOOK} SELECT request_id, concat_ws(',', CASE WHEN office THEN 'office' END, CASE WHEN whatsapp THEN 'whatsapp' END) AS modes FROM modes", "requests", "services"),
     "mode_required": sql(f"{_BOOK} SELECT request_id, office OR whatsapp AS mode_required FROM modes", "requests", "services"),

@@ -12,6 +12,7 @@ from quillwork.sources import bindings as B
 from quillwork.sources.bindings import sql
 
 TERM, LABEL = "tion", "The — Article 2"
+NOW = "2001-07-20"
 
 
 def _both(f):
@@ -72,11 +73,12 @@ QUERIES = {
     "breadcrumbs": _arts(A.breadcrumbs),
     "unsynced_articles": _arts(lambda a: Y.unsynced_articles(a).select("id", "document_id")),
     "sync_backlog": _arts(Y.sync_backlog),
+    "sync_stamp": _arts(lambda a: Y.sync_stamp(a, F.lit(NOW).cast("timestamp_ntz")).select("id", "synced", "synced_at")),
 }
 
 SQL = {
     "corpus_scan": sql(f'{_JOINED} SELECT id, document_id, article_number, text, sort_key, chapter, path, title, language, type, grp AS "group", source_file FROM j', "docs", "arts"),
-    "searchable_articles": sql("SELECT a.id, document_id, article_number, text, sort_key, chapter, path, title AS document_title, language AS document_language, type AS document_type, grp AS document_group, source_file FROM arts a LEFT JOIN docs d ON a.document_id = d.id", "docs", "arts"),
+    "searchable_articles": sql("SELECT a.id, document_id, article_number, text, sort_key, chapter, path, slug, depth, title AS document_title, language AS document_language, type AS document_type, grp AS document_group, source_file FROM arts a LEFT JOIN docs d ON a.document_id = d.id", "docs", "arts"),
     "searchable_documents": sql('SELECT id, title, language, type, grp AS "group", source_file FROM docs', "docs"),
     "search_articles": sql(f"{_JOINED} SELECT {_RESULT} FROM j WHERE {_hit(TERM)}", "docs", "arts"),
     "search_label": sql(f"{_JOINED} SELECT {_RESULT} FROM j WHERE {_hit(LABEL)} OR title ILIKE '%The%'", "docs", "arts"),
@@ -103,5 +105,6 @@ SQL = {
     "footnotes": sql(", e AS (SELECT id, unnest(CAST(footnotes AS JSON[])) AS f, generate_subscripts(CAST(footnotes AS JSON[]), 1) AS n FROM arts WHERE footnotes IS NOT NULL) SELECT id, CAST(n AS INTEGER) AS n, CASE WHEN json_type(f) = 'VARCHAR' THEN f ->> '$' ELSE coalesce(f ->> '$.text', f ->> '$.content', '') END AS text FROM e", "arts"),
     "breadcrumbs": sql("SELECT id, CASE WHEN path IS NOT NULL AND path IS DISTINCT FROM chapter THEN path END AS crumb FROM arts", "arts"),
     "unsynced_articles": sql("SELECT id, document_id FROM arts WHERE synced IS NULL", "arts"),
+    "sync_stamp": sql(f"SELECT id, true AS synced, CASE WHEN synced IS NULL THEN TIMESTAMP '{NOW}' END AS synced_at FROM arts", "arts"),
     "sync_backlog": sql("SELECT count_if(synced IS NULL) AS pending, count_if(synced IS NOT NULL) AS synced FROM arts", "arts"),
 }

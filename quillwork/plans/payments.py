@@ -97,7 +97,7 @@ QUERIES = {
 _DUE = "CAST((CAST(base_price * 100 AS BIGINT) * 90 + 50) // 100 AS BIGINT)"
 _KIND = "CASE type WHEN 'payment_intent.succeeded' THEN 'succeeded' WHEN 'payment_intent.payment_failed' THEN 'failed' WHEN 'payment_intent.canceled' THEN 'canceled' END"
 _FREE = "coalesce(base_price = 0, false)"
-_LATEST = f", e AS (SELECT *, {_KIND} AS status, request_id IN (SELECT id FROM requests) AS known FROM payment_events), f AS (SELECT intent_id, min((ts, event_id)) AS first FROM e WHERE status = 'succeeded' AND known GROUP BY intent_id), t AS (SELECT intent_id, arg_max(status, (ts, event_id)) AS status, bool_or(status = 'succeeded') AS ever_succeeded FROM e JOIN f USING (intent_id) WHERE status IS NOT NULL AND (ts, event_id) >= first GROUP BY intent_id)"
+_LATEST = f", e AS (SELECT *, {_KIND} AS status, request_id IN (SELECT id FROM requests) AS known FROM payment_events), f AS (SELECT intent_id, min((ts, event_id)) AS first FROM e WHERE status = 'succeeded' AND known GROUP BY intent_id), t AS (SELECT intent_id, arg_max(status, (ts, event_id)) AS status, bool_or(status = 'succeeded') AS ever_succeeded, arg_max(failure_code, (ts, event_id)) FILTER (WHERE status = 'failed') AS failure_code, arg_max(failure_message, (ts, event_id)) FILTER (WHERE status = 'failed') AS failure_message FROM e JOIN f USING (intent_id) WHERE status IS NOT NULL AND (ts, event_id) >= first GROUP BY intent_id)"
 _ACTIONS = "WITH a AS (SELECT event_id % 700 AS case_id, event_id AS seq, ts AS moment, CASE event_type WHEN 'click' THEN 'toggle' WHEN 'view' THEN 'note' WHEN 'signup' THEN 'claim' WHEN 'purchase' THEN 'close' ELSE 'reopen' END AS action, user_id % 3 AS service_id, user_id FROM events)"
 _FOLD = f"""{_ACTIONS}, c AS (SELECT case_id, arg_min(user_id, seq) FILTER (WHERE action = 'claim') AS advisor_id, arg_min(moment, seq) FILTER (WHERE action = 'claim') AS first_contact_at, arg_max(action, seq) FILTER (WHERE action IN ('close', 'reopen')) AS turn, arg_max(moment, seq) FILTER (WHERE action IN ('close', 'reopen')) AS turned, max(moment) AS last_touched_at FROM a GROUP BY case_id),
 d AS (SELECT case_id, count(*) AS completed FROM (SELECT case_id, service_id FROM a WHERE action = 'toggle' GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY case_id)
@@ -150,6 +150,6 @@ SQL = {
     "chunk_documents": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l) SELECT doc_id, CAST(start // 1000 AS BIGINT) AS chunk, string_agg(line, chr(10) ORDER BY pos) AS text FROM s GROUP BY ALL",
     "parse_articles": sql(", x AS (SELECT id, concat_ws(chr(10), article_number, text) AS text FROM arts) SELECT id, 'article' AS kind, unnest(regexp_extract_all(text, '(?i)\\b(?:article|artikel|artículo|art\\.)\\s+(\\d+)', 1)) AS value, CAST(generate_subscripts(regexp_extract_all(text, '(?i)\\b(?:article|artikel|artículo|art\\.)\\s+(\\d+)', 1), 1) AS INTEGER) AS n FROM x UNION ALL SELECT id, 'law', unnest(regexp_extract_all(text, '(?i)\\b(?:law|loi|gesetz|ley)\\s+(?:no\\.?\\s*)?(\\d+[-/.]\\d+)', 1)), 1 FROM x UNION ALL SELECT id, 'date', unnest(regexp_extract_all(text, '\\b(\\d{1,2}/\\d{1,2}/\\d{4})\\b', 1)), 1 FROM x", "arts"),
     "categorize": "WITH k AS (SELECT * FROM (VALUES ('bank', 'banking'), ('loan', 'banking'), ('tax', 'tax'), ('duty', 'tax'), ('the', 'family'), ('and', 'family'), ('de', 'civil'), ('la', 'civil'), ('der', 'labor'), ('die', 'labor'), ('que', 'real-estate'), ('el', 'real-estate')) t(word, category)), w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS word FROM documents), c AS (SELECT doc_id, category, count(*) AS score FROM w JOIN k USING (word) GROUP BY ALL) SELECT doc_id, category, score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) = 1",
-    "webhook_fold": sql(f"{_LATEST} SELECT intent_id, status, ever_succeeded FROM t", "payment_events", "requests"),
+    "webhook_fold": sql(f"{_LATEST} SELECT intent_id, status, ever_succeeded, failure_code, failure_message FROM t", "payment_events", "requests"),
     "case_state_stream": _FOLD,
 }

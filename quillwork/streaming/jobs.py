@@ -53,6 +53,7 @@ def webhook_source(lines: DataFrame) -> DataFrame:
         o["payment_method"].alias("method"),
         o["payment_method_types"].alias("method_types"),
         o["last_payment_error"]["code"].alias("failure_code"),
+        o["last_payment_error"]["message"].alias("failure_message"),
     )
 
 
@@ -64,6 +65,7 @@ def webhook_lines(events: DataFrame) -> DataFrame:
         "currency",
         F.col("method").alias("payment_method"),
         F.col("method_types").alias("payment_method_types"),
+        F.when(F.col("failure_code").isNotNull(), F.struct(F.col("failure_code").alias("code"), F.col("failure_message").alias("message"))).alias("last_payment_error"),
         F.create_map(F.lit("legal_aid_request_id"), F.col("request_id").cast("string")).alias("metadata"),
     )
     return events.select(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), "ts", "type", F.struct(o.alias("object")).alias("data"))).alias("value"))
@@ -72,33 +74,36 @@ def webhook_lines(events: DataFrame) -> DataFrame:
 def webhook_events_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of the table, written as JSON lines and read through the source's schema."""
     parsed = webhook_source(webhook_lines(B.payment_events(spark, sf_dir)))
-    return parsed.select(F.col("event_id").cast("long").alias("event_id"), "type", "intent_id", "request_id", "amount_cents", "currency", "method")
+    return parsed.select(F.col("event_id").cast("long").alias("event_id"), "type", "intent_id", "request_id", "amount_cents", "currency", "method", *payments.FAILURE)
 
 
-FOLD, FOLD_STATE = "intent_id string, status string, ever_succeeded boolean", "status string, ever_succeeded boolean"
+FOLD_STATE = "status string, ever_succeeded boolean, failure_code string, failure_message string"
+FOLD = f"intent_id string, {FOLD_STATE}"
 
 
 def _fold_payments(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, won = state.get if state.exists else (None, False)
+    status, won, code, message = state.get if state.exists else (None, False, None, None)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for kind, known in zip(rows["type"], rows["known"]):
+    for kind, known, why, words in zip(rows["type"], rows["known"], rows["failure_code"], rows["failure_message"]):
         new = payments.STATES.get(kind)
         if new == "succeeded" and (status is not None or known):
             status, won = new, True
         elif new and status is not None:
             status = new
+            code, message = (why, words) if new == "failed" else (code, message)
     if status is not None:
-        state.update((status, won))
-        yield pd.DataFrame({"intent_id": [key[0]], "status": [status], "ever_succeeded": [won]})
+        state.update((status, won, code, message))
+        yield pd.DataFrame({"intent_id": [key[0]], "status": [status], "ever_succeeded": [won], "failure_code": [code], "failure_message": [message]})
 
 
 def webhook_fold(events: DataFrame, requests: DataFrame) -> DataFrame:
     """A streaming frame of each intent's state after every batch (update mode).
 
-    A success of a known request begins an intent; later events change it.
+    A success of a known request begins an intent; later events change it. The
+    code and message of its last failure stay.
     """
     known = requests.select(F.col("id").alias("request_id"), F.lit(True).alias("k"))
-    rows = events.join(known, "request_id", "left").select("intent_id", "event_id", "ts", "type", F.coalesce("k", F.lit(False)).alias("known"))
+    rows = events.join(known, "request_id", "left").select("intent_id", "event_id", "ts", "type", *payments.FAILURE, F.coalesce("k", F.lit(False)).alias("known"))
     return rows.groupBy("intent_id").applyInPandasWithState(_fold_payments, FOLD, FOLD_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
@@ -119,7 +124,7 @@ def webhook_fold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(schema).parquet(f"{place}/in")
     run_now(webhook_fold(events, B.requests(spark, sf_dir)), f"{place}/out", "update", f"{place}/state")
     saved = spark.read.schema(f"{FOLD}, batch int").parquet(f"{place}/out")
-    return saved.groupBy("intent_id").agg(F.max_by(F.struct("status", "ever_succeeded"), "batch").alias("s")).select("intent_id", "s.*")
+    return saved.groupBy("intent_id").agg(F.max_by(F.struct("status", "ever_succeeded", *payments.FAILURE), "batch").alias("s")).select("intent_id", "s.*")
 
 
 def sync_articles(articles: DataFrame, documents: DataFrame, index: str, state: str) -> None:
