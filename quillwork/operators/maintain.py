@@ -95,6 +95,47 @@ def constraint_report(requests: DataFrame, pairs: DataFrame, services: DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
+def length_rules(name: str, columns: dict[str, int | None]) -> dict[str, Column]:
+    """Row rules of required columns and greatest lengths: {column: length}, where a '?' behind a column allows null."""
+    rules = {}
+    for column, most in columns.items():
+        c = column.rstrip("?")
+        if c == column:
+            rules[f"{name}.{c} null"] = F.col(c).isNull()
+        if most is not None:
+            rules[f"{name}.{c} length"] = F.length(c) > most
+    return rules
+
+
+def corpus_constraints(documents: DataFrame, articles: DataFrame) -> DataFrame:
+    """rule, violations: keys, references and lengths of documents and articles."""
+    of_documents = length_rules("documents", {"title": 500, "language": 10, "type": 50, "source_file": 500, "group?": 100})
+    of_articles = length_rules("articles", {"document_id": None, "article_number": 50, "text": None, "sort_key": None, "path?": 500, "slug?": 500, "chapter?": 500})
+    parts = [
+        row_violations(documents, of_documents),
+        row_violations(articles, of_articles),
+        unique_violations(documents, "documents.id unique", "id"),
+        unique_violations(articles, "articles.id unique", "id"),
+        reference_violations(articles, "articles.document_id", "document_id", documents),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def people_constraints(users: DataFrame, notes: DataFrame, requests: DataFrame, transactions: DataFrame) -> DataFrame:
+    """rule, violations: keys, references and lengths of users, case notes and payment transactions."""
+    parts = [
+        row_violations(users, length_rules("users", {"name": 255, "email": 255, "role": 20})),
+        row_violations(notes, length_rules("notes", {"request_id": None, "note": None})),
+        row_violations(transactions, length_rules("transactions", {"request_id": None, "status": 30, "intent_id": 64})),
+        unique_violations(users, "users.email unique", "email"),
+        unique_violations(transactions, "transactions.intent_id unique", "intent_id"),
+        reference_violations(notes, "notes.request_id", "request_id", requests),
+        reference_violations(notes, "notes.user_id", "user_id", users),
+        reference_violations(transactions, "transactions.request_id", "request_id", requests),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def case_state_fold(actions: DataFrame) -> DataFrame:
     """The state that a log of actions leaves in each case.
 

@@ -81,6 +81,8 @@ QUERIES = {
     "cascade_delete": lambda s, d: M.cascade_delete(B.articles(s, d).select("id", "document_id"), "document_id", _gone(s, d)),
     "null_on_delete": lambda s, d: M.null_on_delete(B.requests(s, d).select("id", "advisor_id"), "advisor_id", B.users(s, d).where("role = 'admin'")),
     "constraint_report": lambda s, d: M.constraint_report(B.requests(s, d), B.request_services(s, d), B.services(s, d), B.users(s, d).where("role = 'advisor'")),
+    "corpus_constraints": lambda s, d: M.corpus_constraints(B.documents(s, d), B.articles(s, d)),
+    "people_constraints": lambda s, d: M.people_constraints(B.users(s, d), B.notes(s, d), B.requests(s, d), transactions(s, d).withColumn("intent_id", F.concat(F.lit("pi_"), (F.col("id") % 900).cast("string")))),
     "case_state_fold": lambda s, d: M.case_state_fold(actions(s, d)),
     "admin_action_eligibility": _req(M.admin_action_eligibility),
     "semantic_topk": lambda s, d: D.semantic_topk(B.read(s, d, "embeddings"), min_score=0.3).select("query_id", "rank", "vec_id", F.round("score", 3).alias("score")),
@@ -128,6 +130,37 @@ _REPORT = " UNION ALL ".join([
     "SELECT 'request_services.service_id', count_if(service_id NOT IN (SELECT id FROM services)) FROM request_services",
     "SELECT 'requests.advisor_id', count_if(advisor_id IS NOT NULL AND advisor_id NOT IN (SELECT id FROM users WHERE role = 'advisor')) FROM requests",
 ])
+
+
+def _lengths(name: str, relation: str, columns: dict[str, int | None]) -> list[str]:
+    """A query a rule, for columns that may be null where a '?' stands behind them."""
+    rules = []
+    for column, most in columns.items():
+        c, sql_name = column.rstrip("?"), {"group?": "grp"}.get(column, column.rstrip("?"))
+        if c == column:
+            rules.append(f"SELECT '{name}.{c} null' AS rule, count_if({sql_name} IS NULL) AS violations FROM {relation}")
+        if most is not None:
+            rules.append(f"SELECT '{name}.{c} length' AS rule, count_if(length({sql_name}) > {most}) AS violations FROM {relation}")
+    return rules
+
+
+_CORPUS_RULES = " UNION ALL ".join([
+    *_lengths("documents", "docs", {"title": 500, "language": 10, "type": 50, "source_file": 500, "group?": 100}),
+    *_lengths("articles", "arts", {"document_id": None, "article_number": 50, "text": None, "sort_key": None, "path?": 500, "slug?": 500, "chapter?": 500}),
+    "SELECT 'documents.id unique', count(*) - count(DISTINCT id) FROM docs",
+    "SELECT 'articles.id unique', count(*) - count(DISTINCT id) FROM arts",
+    "SELECT 'articles.document_id', count_if(document_id NOT IN (SELECT id FROM docs)) FROM arts",
+])
+_PEOPLE_RULES = ", t AS (SELECT request_id, CASE event_id % 5 WHEN 0 THEN 'requires_payment_method' WHEN 1 THEN 'requires_confirmation' WHEN 2 THEN 'requires_action' WHEN 3 THEN 'processing' ELSE 'succeeded' END AS status, 'pi_' || (event_id % 900) AS intent_id FROM payment_events) " + " UNION ALL ".join([
+    *_lengths("users", "users", {"name": 255, "email": 255, "role": 20}),
+    *_lengths("notes", "notes", {"request_id": None, "note": None}),
+    *_lengths("transactions", "t", {"request_id": None, "status": 30, "intent_id": 64}),
+    "SELECT 'users.email unique', count(*) - count(DISTINCT email) FROM users",
+    "SELECT 'transactions.intent_id unique', count(*) - count(DISTINCT intent_id) FROM t",
+    "SELECT 'notes.request_id', count_if(request_id NOT IN (SELECT id FROM requests)) FROM notes",
+    "SELECT 'notes.user_id', count_if(user_id IS NOT NULL AND user_id NOT IN (SELECT id FROM users)) FROM notes",
+    "SELECT 'transactions.request_id', count_if(request_id NOT IN (SELECT id FROM requests)) FROM t",
+])
 _INTENTS = f""", i AS (SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'intent' ELSE intent_id || 'x' || event_id END AS intent_id, request_id, lpad(CAST(request_id AS VARCHAR), 10, '0') AS ticket_number,
   CASE WHEN event_id % 7 = 0 THEN lpad(CAST(request_id + 1 AS VARCHAR), 10, '0') WHEN event_id % 11 = 0 THEN 'none' ELSE lpad(CAST(request_id AS VARCHAR), 10, '0') END AS asked,
   CASE WHEN event_id % 3 <> 0 THEN {_DUE} ELSE amount_cents END AS amount, currency, coalesce({_KIND}, 'processing') AS status FROM payment_events e LEFT JOIN (SELECT id, base_price FROM requests) r ON e.request_id = r.id)"""
@@ -144,6 +177,8 @@ SQL = {
     "cascade_delete": sql("SELECT id, document_id FROM arts WHERE document_id % 6 <> 0", "arts"),
     "null_on_delete": sql("SELECT id, CASE WHEN advisor_id NOT IN (SELECT id FROM users WHERE role = 'admin') THEN advisor_id END AS advisor_id FROM requests", "requests", "users"),
     "constraint_report": sql(_REPORT, "requests", "request_services", "services", "users"),
+    "corpus_constraints": sql(_CORPUS_RULES, "docs", "arts"),
+    "people_constraints": sql(_PEOPLE_RULES, "users", "notes", "requests", "payment_events"),
     "case_state_fold": _FOLD,
     "admin_action_eligibility": sql(f"SELECT id, status <> 'paid' AND (receipt_path IS NOT NULL OR {_FREE}) AS can_confirm, status <> 'paid' AND receipt_path IS NOT NULL AS can_reject, status <> 'paid' AS can_resend FROM requests", "requests"),
     "semantic_topk": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(c.x, q.x), 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p WHERE score >= 0.3) SELECT query_id, rank, vec_id, round(score, 3) AS score FROM r WHERE rank <= 12",

@@ -58,6 +58,27 @@ def test_bookings(spark):
     assert made == {1: (D(300), 1, "office", "google_pay", "pending_payment"), 4: (D(0), 1, "whatsapp", "bank", "pending")}
 
 
+def test_rules_of_the_services_chosen(spark):
+    kinds = "id long, service_ids array<bigint>, consultation_mode string, payment_method string, call_time string"
+    rows = [(1, [1], None, None, None), (2, [2], "whatsapp", "", None), (3, [2, 3], "phone", None, None), (4, [99], None, None, None), (5, [2, 2], "office", "bank", None), (6, [1, 2], "", "bank", None)]
+    got = {r.id: r.errors for r in K.conditional_errors(spark.createDataFrame(rows, kinds), services(spark)).collect()}
+    assert got == {1: "consultation_mode.required", 2: "consultation_mode.allowed,payment_method.required", 3: "payment_method.required", 4: "", 5: "", 6: "consultation_mode.required"}
+
+
+def test_call_time(spark):
+    kinds = "id long, full_name string, email string, phone string, whatsapp string, case_description string, service_ids array<bigint>, consultation_mode string, payment_method string, call_time string"
+    rows = [(n, "A", "a@b.c", "+212600000000", None, "x", [1], "office", "bank", at) for n, at in enumerate([None, "x" * 20, "x" * 21])]
+    assert {r.id: r.errors for r in K.validate_bookings(spark.createDataFrame(rows, kinds), services(spark)).collect()} == {0: "", 1: "", 2: "call_time"}
+
+
+def test_localized_services(spark):
+    names = ("name", "description", "notes", "additional_notes", "price_display")
+    kinds = "id long, price decimal(10,2), " + ", ".join(f"{n}_{x} string" for n in names for x in ("en", "fr"))
+    rows = [(1, D(5), "n", None, "d", "", "o", "", "a", "0", "p", None), (2, D(0), "n", "m", "d", None, None, None, "a", "b", None, "")]
+    got = [tuple(r) for r in P.localized_services(spark.createDataFrame(rows, kinds), "fr").orderBy("id").collect()]
+    assert got == [(1, "n", "", "o", "a", "p", "p"), (2, "m", "d", None, "b", None, "Gratuit")]
+
+
 def test_confirmation_state(spark):
     now = F.lit(T(2024, 1, 2))
     rows = spark.createDataFrame([(T(2024, 1, 1), None), (None, None), (T(2024, 1, 3), None), (T(2024, 1, 1), T(2024, 1, 1))], "e timestamp, c timestamp")
@@ -107,6 +128,26 @@ def test_events(spark):
     assert [tuple(x) for x in Y.paid_requests(e, r).collect()] == [(1, "paid", T(2024, 1, 2), None)]
 
 
+def test_last_failure_stays(spark):
+    r = requests(spark, {"id": 1, "status": "pending_payment"})
+    kinds = "event_id long, ts timestamp_ntz, type string, intent_id string, request_id long, failure_code string, failure_message string"
+    e = spark.createDataFrame([(1, T(2024, 1, 1), Y.FAILED, "pi_a", 1, "early", "m"), (2, T(2024, 1, 2), Y.SUCCEEDED, "pi_a", 1, None, None), (3, T(2024, 1, 3), Y.FAILED, "pi_a", 1, "declined", None), (4, T(2024, 1, 4), Y.CANCELED, "pi_a", 1, None, None)], kinds)
+    assert [tuple(x) for x in Y.transactions_latest(e, r).collect()] == [("pi_a", "canceled", True, "declined", None)]
+
+
+def test_constraints_of_documents_and_people(spark):
+    docs = spark.createDataFrame([(1, "t" * 501, "en", "LAW", None, "f"), (1, None, "en", "LAW", "g", "f")], "id long, title string, language string, type string, group string, source_file string")
+    arts = spark.createDataFrame([("a", 1, "n", "x", 0, None, None, None), ("b", 2, "n", None, 1, None, None, "c" * 501)], "id string, document_id long, article_number string, text string, sort_key int, path string, slug string, chapter string")
+    broken = {x.rule: x.violations for x in M.corpus_constraints(docs, arts).collect() if x.violations}
+    assert broken == {"documents.title length": 1, "documents.title null": 1, "documents.id unique": 1, "articles.text null": 1, "articles.chapter length": 1, "articles.document_id": 1}
+    r = requests(spark, {"id": 1, "status": "paid"})
+    users = spark.createDataFrame([(1, "A", "a@b.c", "user"), (2, "B", "a@b.c", None)], "id long, name string, email string, role string")
+    notes = spark.createDataFrame([(1, 1, None, "x"), (2, 7, 9, "y")], "id long, request_id long, user_id long, note string")
+    paid = spark.createDataFrame([(1, 1, "processing", "pi"), (2, 3, "s" * 31, "pi")], "id long, request_id long, status string, intent_id string")
+    broken = {x.rule: x.violations for x in M.people_constraints(users, notes, r, paid).collect() if x.violations}
+    assert broken == {"users.role null": 1, "users.email unique": 1, "transactions.status length": 1, "transactions.intent_id unique": 1, "notes.request_id": 1, "notes.user_id": 1, "transactions.request_id": 1}
+
+
 def test_reconcile(spark):
     r = requests(spark, {"id": 1, "status": "pending_payment"})
     kinds = "event_id long, intent_id string, request_id long, ticket_number string, asked_ticket string, amount_cents long, currency string, status string"
