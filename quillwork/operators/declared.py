@@ -54,14 +54,21 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def chunk_documents(documents: DataFrame, most: int = 1000) -> DataFrame:
-    """id, chunk, text: paragraphs packed by where they begin, `most` characters a chunk."""
-    lines = F.split("text", "\n")
-    rows = documents.select("doc_id", F.posexplode(lines).alias("pos", "line"))
-    running = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("doc_id", "pos", "line", F.coalesce(F.sum(F.length("line") + 1).over(running), F.lit(0)).alias("start"))
-    rows = rows.withColumn("chunk", F.floor(F.col("start") / most))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return rows.groupBy("doc_id", "chunk").agg(texts.alias("text"))
+    """doc_id, chunk, text: paragraphs packed by where they begin, `most` characters a chunk.
+
+    A document is a row: rows that share an id, or have none, are chunked each
+    for itself and spread over tasks by their texts; repeated rows give their
+    chunks as often. A null text has no chunk, an empty one an empty chunk.
+    """
+    row = ("doc_id", "row")
+    texts = documents.select("doc_id", F.sha2("text", 256).alias("row"), "text").groupBy(*row).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    lines = texts.select(*row, "copies", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    running = Window.partitionBy(*row).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(running), F.lit(0))
+    lines = lines.select(*row, "copies", "pos", "line", F.floor(start / most).alias("chunk"))
+    packed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    chunks = lines.groupBy(*row, "chunk").agg(packed.alias("text"), F.max("copies").alias("copies"))
+    return chunks.select("doc_id", "chunk", "text", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("col")
 
 
 def parse_references(texts: DataFrame, key: str) -> DataFrame:
@@ -75,11 +82,14 @@ def _named(kind: str, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda v, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("n"), v.alias("value")))
 
 
-def categorize(documents: DataFrame) -> DataFrame:
-    """doc_id, category, score: the category whose words occur most; ties by name; none below one."""
+def categorize(documents: DataFrame, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> DataFrame:
+    """doc_id, category, score: the category whose words occur most; ties by name; none below one.
+
+    keywords: the lower-case words that speak for each category.
+    """
     words = F.split(F.lower("text"), r"[^\p{L}]+")
-    table = F.create_map(*[F.lit(x) for c, ws in sorted(KEYWORDS.items()) for w in ws for x in (w, c)])
-    spoken = documents.select("doc_id", F.explode(words).alias("word")).where(F.col("word").isin(*[w for ws in KEYWORDS.values() for w in ws]))
+    table = F.create_map(*[F.lit(x) for c, ws in sorted(keywords.items()) for w in ws for x in (w, c)])
+    spoken = documents.select("doc_id", F.explode(words).alias("word")).where(F.col("word").isin(*[w for ws in keywords.values() for w in ws]))
     counts = spoken.groupBy("doc_id", F.element_at(table, F.col("word")).alias("category")).agg(F.count("*").alias("score"))
     first = F.min_by(F.struct("category", "score"), F.struct((-F.col("score")).alias("s"), "category"))
     return counts.groupBy("doc_id").agg(first.alias("m")).select("doc_id", "m.category", "m.score")

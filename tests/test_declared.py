@@ -38,3 +38,18 @@ def test_browse_counts_only_the_page(spark):
     arts = spark.createDataFrame([(f"{i}-{j}", i) for i in range(30) for j in range(i % 3)], "id string, document_id long")
     got = [(r.id, r.articles_count) for r in corpus.browse_documents(docs, arts, page=2).collect()]
     assert got == [(i, i % 3) for i in range(12, 24)]
+
+
+def test_chunks_of_rows_that_share_an_id(spark):
+    long = "a" * 1200
+    rows = [(1, f"{long}\nb"), (1, "c\nd"), (None, "e"), (None, "f"), (2, "g"), (2, "g"), (3, ""), (4, None)]
+    got = [(r.doc_id, r.chunk, r.text) for r in declared.chunk_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, 0, long), (1, 1, "b"), (1, 0, "c\nd"), (None, 0, "e"), (None, 0, "f"), (2, 0, "g"), (2, 0, "g"), (3, 0, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert declared.chunk_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_categories_of_given_keywords(spark):
+    rows = spark.createDataFrame([(1, "Rent and rent, a loan"), (2, "Loan or rent"), (3, "nothing")], "doc_id long, text string")
+    got = {(r.doc_id, r.category, r.score) for r in declared.categorize(rows, {"money": ("loan",), "home": ("rent",)}).collect()}
+    assert got == {(1, "home", 2), (2, "home", 1)}
