@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillwork.llm import bpe, decontaminate, exactsubstr, langid, pii, repair, sharding, simhash, tokenfile, topk, toxicity
+from quillwork.llm import bpe, decontaminate, exactsubstr, langid, pii, quality, repair, sharding, simhash, tokenfile, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bitsliced_simhash": simhash.op1_bitsliced_simhash,
         "op10_suffix_arrays": exactsubstr.op10_suffix_arrays,
+        "op12_crf_quality": quality.op12_crf_quality,
         "op13_conversation_repair": repair.op13_conversation_repair,
         "op2_deobfuscated_pii": pii.op2_deobfuscated_pii,
         "op3_compression_toxicity": toxicity.op3_compression_toxicity,
