@@ -7,9 +7,10 @@ are applied in the order of (ts, sequence).
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillwork.operators import corpus, payments
 from quillwork.operators.sync import merged_index, unsynced_articles
 from quillwork.sources import bindings as B
+from quillwork.streaming.index import BucketedTable
 
 #: The JSON of a payment event.
 WEBHOOK = "id string, ts timestamp_ntz, type string, data struct<object: struct<id: string, amount: bigint, currency: string, status: string, payment_method: string, payment_method_types: array<string>, last_payment_error: struct<code: string, message: string>, metadata: map<string, string>>>"
@@ -128,7 +130,7 @@ def webhook_fold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sync_articles(articles: DataFrame, documents: DataFrame, index: str, state: str) -> None:
-    """Puts a stream of unsynced articles into an index kept as versioned Parquet.
+    """Puts a stream of unsynced articles into an index kept as versioned Parquet; for small indexes (see sync_incremental).
 
     Every batch writes a new version, the old one with the batch's records in
     place of those of the same ids; a batch that is run again writes the same.
@@ -144,16 +146,60 @@ def sync_articles(articles: DataFrame, documents: DataFrame, index: str, state:
     unsynced_articles(articles).writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
 
 
-def sync_articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run of the sync over the table's articles: the index that it leaves."""
+RECORD = "id string, document_id long, article_number string, text string, sort_key int, chapter string, path string, slug string, depth int, document_title string, document_language string, document_type string, document_group string, source_file string"
+
+
+def sync_incremental(articles: DataFrame, documents: DataFrame, index: BucketedTable, state: str, clock: Callable[[], dt.datetime] | None = None) -> None:
+    """Puts a stream of unsynced articles into a bucketed index: a batch writes what it touches, with its stamp and count.
+
+    The job's name is its checkpoint, so batches that are run again, by this
+    stream or after a failure, change nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        now = clock() if clock else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        index.merge(corpus.searchable_articles(documents, batch), state, number, now)
+
+    unsynced_articles(articles).writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+
+
+def stamped_articles(articles: DataFrame, index: BucketedTable) -> DataFrame:
+    """The articles with the stamps of the index: those that it holds are synced, at the time of their batch; others keep theirs."""
+    before = F.col("synced_at") if "synced_at" in articles.columns else F.lit(None).cast("timestamp_ntz")
+    stamps = index.live().select(F.col("id").alias("pushed_id"), F.col("synced_at").alias("pushed_at"))
+    rows = articles.join(stamps, F.col("id") == F.col("pushed_id"), "left")
+    pushed = F.col("pushed_id").isNotNull()
+    return rows.withColumns({"synced_at": F.when(pushed, F.col("pushed_at")).otherwise(before), "synced": F.when(pushed, F.lit(True)).otherwise(F.col("synced"))}).drop("pushed_id", "pushed_at")
+
+
+#: The time of the registered runs of the sync, whose stamps have to be the same each time.
+SYNCED_AT = dt.datetime(2024, 1, 1)
+#: Files and so batches that the registered runs cut the table into.
+SYNC_BATCHES = 3
+
+
+def _synced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, BucketedTable]:
+    """The table's articles, and the index that a stream over them leaves after SYNC_BATCHES batches."""
     place = _place(spark, "sync")
-    B.articles(spark, sf_dir).write.parquet(f"{place}/in")
-    schema = spark.read.parquet(f"{place}/in").schema
-    stream = spark.readStream.schema(schema).parquet(f"{place}/in")
-    sync_articles(stream, B.documents(spark, sf_dir), f"{place}/index", f"{place}/state")
-    versions = spark.read.parquet(f"{place}/index")
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).drop("version")
+    B.articles(spark, sf_dir).repartition(SYNC_BATCHES, "document_id").write.parquet(f"{place}/in")
+    articles = spark.read.parquet(f"{place}/in")
+    stream = spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    index = BucketedTable(spark, f"{place}/index", RECORD, compact_after=2)
+    sync_incremental(stream, B.documents(spark, sf_dir), index, f"{place}/state", lambda: SYNCED_AT)
+    return articles, index
+
+
+def sync_articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run of the sync over the table's articles, in several batches: the index that it leaves."""
+    return _synced(spark, sf_dir)[1].live().drop("synced_at", "version")
+
+
+def sync_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row after the run: records pushed by all batches, articles that wait and that are synced, and the newest stamp."""
+    articles, index = _synced(spark, sf_dir)
+    pushed = index.log().agg(F.sum("pushed").alias("pushed"))
+    after = stamped_articles(articles, index).agg(F.count_if(F.col("synced").isNull()).alias("pending"), F.count_if(F.col("synced").isNotNull()).alias("synced"), F.count("synced_at").alias("stamped"), F.max("synced_at").alias("newest"))
+    return pushed.crossJoin(F.broadcast(after))  # one row each
 
 
 CASE = "case_id long, advisor_id long, first_contact_at timestamp_ntz, case_status string, closed_at timestamp_ntz, last_touched_at timestamp_ntz, completed long"
