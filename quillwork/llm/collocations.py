@@ -7,9 +7,10 @@ times has only words that do, so other words break phrases. Which ids are
 frequent enough is a bitmap of bounded size (BITMAP), built by aggregation and
 broadcast; ids that hit it by chance cost counters, not correctness.
 
-Each task gives its chunk's words local numbers, packs those of one to four
+Each task gives its chunk's words local numbers, packs those of two to four
 words into one integer, counts them by sorting, and puts the counts under the
-words' ids into a filter. Filters are cut into shards by ranges of the permuted
+words' ids into a filter. Pairs are counted first: a longer phrase that occurs
+`least` times holds only pairs that do, and a second bitmap tells them. Filters are cut into shards by ranges of the permuted
 keys, packed, shuffled by shard and merged there as sorted runs. Phrases are
 spread by their permuted keys and counted before the shuffle, so a common word,
 phrase or language loads no task. What is left is small and joined by Spark.
@@ -31,19 +32,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillwork.llm.quotient import Filter
+from quillwork.llm.quotient import Filter, permuted
 from quillwork.llm.shared import batch, slices, table, written
 
 LONGEST = 4
+WORDS = [f"w{k + 1}" for k in range(LONGEST)]
 #: Bits of the bitmap of frequent ids: 32 an id, at least 2**20 and at most 2**30 (128 MB).
 BITMAP = (20, 30)
 #: Words a chunk, different words a chunk and words of a text put in at once (four numbers below their sum fit 64 bits).
 CHUNK, NUMBERED, PART = 1 << 20, 60_000, 4096
 #: Entries of a filter and different words counted before they are passed on.
-ENTRIES, COUNTED = 1 << 19, 300_000
+ENTRIES, COUNTED = 1 << 20, 300_000
 #: Words of the corpus a shard of filters.
 SHARD_WORDS = 4_000_000
 BREAK = b"\xff"  # no UTF-8 text has this byte
+#: Bits, and how many leading bits of an id choose one.
+Bitmap = tuple[np.ndarray, int]
 TO_BREAKS = bytes(255 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
 
@@ -104,7 +108,7 @@ def lossless_words(documents: DataFrame, seeds: int = 16) -> tuple[DataFrame, in
     raise ValueError(f"words share ids under each of {seeds} seeds")
 
 
-def frequent_bitmap(frequent: DataFrame) -> tuple[np.ndarray, int]:
+def frequent_bitmap(frequent: DataFrame) -> Bitmap:
     """A bitmap of the leading bits of the frequent ids, and how many bits they are."""
     bits = min(BITMAP[1], max(BITMAP[0], (32 * frequent.count()).bit_length()))
     slot = F.shiftrightunsigned("id", 64 - bits) + 1
@@ -116,15 +120,19 @@ def frequent_bitmap(frequent: DataFrame) -> tuple[np.ndarray, int]:
     return bitmap, bits
 
 
-def chunk_filters(lang: str, numbers: list[int], words: list[bytes], seed: int, bitmap: np.ndarray, bits: int) -> list[Filter]:
-    """Filters of the phrases of 1 to LONGEST words in a chunk.
+def _in(bitmap: Bitmap, ids: np.ndarray) -> np.ndarray:
+    slot = (ids >> np.uint64(64 - bitmap[1])).astype(np.int64)
+    return (bitmap[0][slot >> 3] >> (slot & 7) & 1).astype(bool)
+
+
+def chunk_filters(lang: str, numbers: list[int], words: list[bytes], seed: int, sizes: range, frequent: Bitmap, pairs: Bitmap | None) -> list[Filter]:
+    """A filter for each of `sizes`, of the phrases of so many words in a chunk; of frequent words and, if given, pairs.
 
     numbers: the words' places in `words`, whose first is BREAK; negative where
     a phrase may go on but not begin.
     """
     ids = np.array([0, *(word_id(lang, w, seed) for w in words[1:])], np.uint64)
-    slot = (ids >> np.uint64(64 - bits)).astype(np.int64)
-    kept = (bitmap[slot >> 3] >> (slot & 7) & 1).astype(bool)
+    kept = _in(frequent, ids)
     kept[0] = False
     ids = np.concatenate([[np.uint64(0)], ids[kept]])
     renumbered = np.where(kept, np.cumsum(kept), 0).astype(np.uint64)
@@ -132,29 +140,32 @@ def chunk_filters(lang: str, numbers: list[int], words: list[bytes], seed: int,
     one = renumbered[np.abs(places)]
     width = np.uint64(max(1, (len(ids) - 1).bit_length()))
     mask = np.uint64((1 << int(width)) - 1)
+    goes_on = (one[:-1] > 0) & (one[1:] > 0)
+    if pairs is not None:
+        at = np.flatnonzero(goes_on)
+        goes_on[at] = _in(pairs, permuted(np.column_stack([ids[one[at].astype(np.int64)], ids[one[at + 1].astype(np.int64)]]))[:, 0])
     filters, key, whole = [], one, (one > 0) & (places > 0)
-    for n in range(1, LONGEST + 1):
-        if n > 1:
-            key = (key[:-1] << width) | one[n - 1 :]
-            whole = whole[:-1] & (one[n - 1 :] > 0)
-        packed, counts = np.unique(key[whole], return_counts=True)
-        columns = [ids[(packed >> width * np.uint64(n - 1 - k) & mask).astype(np.int64)] for k in range(n)]
-        filters.append(Filter.of(np.column_stack(columns), counts))
+    for n in range(2, sizes[-1] + 1):
+        key = (key[:-1] << width) | one[n - 1 :]
+        whole = whole[:-1] & goes_on[n - 2 :]
+        if n in sizes:
+            packed, counts = np.unique(key[whole], return_counts=True)
+            columns = [ids[(packed >> width * np.uint64(n - 1 - k) & mask).astype(np.int64)] for k in range(n)]
+            filters.append(Filter.of(np.column_stack(columns), counts))
     return filters
 
 
-def filter_shards(documents: DataFrame, seed: int, bitmap: np.ndarray, bits: int, shards: int) -> DataFrame:
+def filter_shards(documents: DataFrame, seed: int, shards: int, sizes: range, frequent: Bitmap, pairs: Bitmap | None = None) -> DataFrame:
     """shard, n, filter: packed filters of each task's phrases of n words."""
-    sent = documents.sparkSession.sparkContext.broadcast(bitmap)
+    sent = documents.sparkSession.sparkContext.broadcast((frequent, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = sent.value
         chunks: dict[str, tuple[list[int], dict[bytes, int]]] = {}
-        held: list[list[Filter]] = [[] for _ in range(LONGEST)]
+        held: dict[int, list[Filter]] = {n: [] for n in sizes}
 
         def hold(lang: str) -> Iterator[pa.RecordBatch]:
             numbers, words = chunks.pop(lang)
-            for n, found in enumerate(chunk_filters(lang, numbers, list(words), seed, frequent, bits)):
+            for n, found in zip(sizes, chunk_filters(lang, numbers, list(words), seed, sizes, *sent.value)):
                 held[n].append(found)
                 if sum(map(len, held[n])) > ENTRIES:
                     held[n] = [Filter.merged(held[n])]
@@ -167,7 +178,7 @@ def filter_shards(documents: DataFrame, seed: int, bitmap: np.ndarray, bits: int
                 held[n] = []
                 for a in range(0, len(parts), 64):
                     some = parts[a : a + 64]
-                    yield batch({"shard": ([s for s, _ in some], pa.int32()), "n": ([n + 1] * len(some), pa.int32()), "filter": ([f.packed() for _, f in some], pa.binary())})
+                    yield batch({"shard": ([s for s, _ in some], pa.int32()), "n": ([n] * len(some), pa.int32()), "filter": ([f.packed() for _, f in some], pa.binary())})
 
         for lang, text in _pairs(batches):
             found = words_of(text)
@@ -181,14 +192,14 @@ def filter_shards(documents: DataFrame, seed: int, bitmap: np.ndarray, bits: int
                     yield from hold(lang)
         for lang in list(chunks):
             yield from hold(lang)
-        for n in range(LONGEST):
+        for n in sizes:
             yield from passed_on(n)
 
     return _texts(documents).mapInArrow(run, "shard int, n int, filter binary")
 
 
 def merged_shards(filters: DataFrame, least: int) -> DataFrame:
-    """n, w1 to w4 (0 beyond n), f of the phrases that all filters together count `least` times: sorted filters merge shard by shard."""
+    """n, w1 to w4 (0 beyond n), f, hash (the permuted first id) of the phrases that all filters together count `least` times: sorted filters merge shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -200,7 +211,7 @@ def merged_shards(filters: DataFrame, least: int) -> DataFrame:
             keys = np.zeros((len(kept), LONGEST), np.uint64)
             keys[:, : now[1]] = kept.plain()
             if len(kept):
-                yield batch({"n": (np.full(len(kept), now[1], np.int32), pa.int32()), **{f"w{k + 1}": (signed(keys[:, k].copy()), pa.int64()) for k in range(LONGEST)}, "f": (kept.counts, pa.int64())})
+                yield batch({"n": (np.full(len(kept), now[1], np.int32), pa.int32()), **{f"w{k + 1}": (signed(keys[:, k].copy()), pa.int64()) for k in range(LONGEST)}, "f": (kept.counts, pa.int64()), "hash": (signed(kept.keys[:, 0].copy()), pa.int64())})
 
         for rows in batches:
             for shard, n, blob in zip(*(c.to_pylist() for c in rows.columns)):
@@ -213,22 +224,25 @@ def merged_shards(filters: DataFrame, least: int) -> DataFrame:
         yield from counted()
 
     shards = filters.repartition("shard").sortWithinPartitions("shard", "n")
-    return shards.mapInArrow(run, "n int, w1 long, w2 long, w3 long, w4 long, f long")
+    return shards.mapInArrow(run, "n int, w1 long, w2 long, w3 long, w4 long, f long, hash long")
 
 
 def phrase_counts(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phrases of 1 to LONGEST words that occur `least` times (n, w1 to w4, f), the words behind the ids (id, lang, word), and lang, n of all words."""
     words, seed = lossless_words(documents)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = words.where(F.col("f") >= least).select("id", "lang", "word")
-    bitmap, bits = frequent_bitmap(frequent)
+    frequent = words.where(F.col("f") >= least)
+    bitmap = frequent_bitmap(frequent.select("id"))
     spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(4 * spread, -(-(words.agg(F.sum("f")).first()[0] or 0) // SHARD_WORDS))
-    phrases = written(merged_shards(filter_shards(documents, seed, bitmap, bits, shards), least), "phrases")
-    return phrases, frequent, totals
+    pairs = written(merged_shards(filter_shards(documents, seed, shards, range(2, 3), bitmap), least), "pairs")
+    held = frequent_bitmap(pairs.select(F.col("hash").alias("id")))
+    longer = written(merged_shards(filter_shards(documents, seed, shards, range(3, LONGEST + 1), bitmap, held), least), "phrases")
+    single = frequent.select(F.lit(1).alias("n"), F.col("id").alias("w1"), *[F.lit(0).cast("long").alias(w) for w in WORDS[1:]], "f")
+    phrases = single.unionByName(pairs.drop("hash")).unionByName(longer.drop("hash"))
+    return phrases, frequent.select("id", "lang", "word"), totals
 
 
-WORDS = [f"w{k + 1}" for k in range(LONGEST)]
 
 
 def _part(first: int, size: int) -> Column:
