@@ -158,6 +158,12 @@ def case_state_fold(actions: DataFrame) -> DataFrame:
     return cases.join(done, "case_id", "left").withColumn("completed", F.coalesce("completed", F.lit(0)))
 
 
+def case_services(actions: DataFrame) -> DataFrame:
+    """case_id, service_id, completed_at: the services that the log leaves completed, each at its last toggle."""
+    toggles = actions.where("action = 'toggle'").groupBy("case_id", "service_id").agg(F.count("*").alias("n"), F.max_by("at", "seq").alias("completed_at"))
+    return toggles.where("n % 2 = 1").drop("n")
+
+
 def admin_action_eligibility(requests: DataFrame) -> DataFrame:
     """id, can_confirm, can_reject, can_resend, as the server decides."""
     unpaid, receipt = F.col("status") != "paid", F.col("receipt_path").isNotNull()

@@ -52,6 +52,17 @@ def _confirmations(s, d):
     return r.select("id", F.col("created_at"), F.when(o % 5 == 0, F.col("created_at")).alias("confirmed_at"), F.when(o % 11 != 0, F.col("created_at") + F.make_dt_interval(F.lit(300))).alias("expires_at"), payload.alias("payload"))
 
 
+def confirmation_events(s, d):
+    """What happens to the table's confirmations: each is created for 24 hours (some without an end, some never), and tried up to twice."""
+    r, o = B.requests(s, d), F.col("id")
+    hours = lambda n: F.col("created_at") + F.make_dt_interval(F.lit(0), n.cast("int"))
+    event = lambda kind, attempt, at, ends: F.struct(F.lit(kind).alias("kind"), attempt.cast("long").alias("attempt_id"), at.alias("at"), ends.cast("timestamp_ntz").alias("expires_at"))
+    made = F.when(o % 37 != 0, event("created", F.lit(None), F.col("created_at"), F.when(o % 11 != 0, hours(F.lit(24)))))
+    first = F.when(o % 3 != 0, event("confirm", o * 2, hours(o % 40), F.lit(None)))
+    second = F.when(o % 6 == 1, event("confirm", o * 2 + 1, hours(o % 40 + 1), F.lit(None)))
+    return r.select(o.alias("token"), F.explode(F.array_compact(F.array(made, first, second))).alias("e")).select("token", "e.*")
+
+
 def _req(f):
     return lambda s, d: f(B.requests(s, d))
 
@@ -158,3 +169,15 @@ SQL = {
     "request_services": sql(f"{_BOOK} SELECT request_id, service_id FROM pairs", "requests", "services"),
     "expire_confirmations": sql("SELECT id, created_at + INTERVAL 24 HOUR AS expires_at FROM requests", "requests"),
 }
+
+#: Answers to the attempts of confirmation_events, and the tokens that expire before the stream's last watermark.
+CONFIRMED = sql(
+    """, c AS (SELECT id AS token, created_at, CASE WHEN id % 11 <> 0 THEN created_at + INTERVAL 24 HOUR END AS expires, id % 37 <> 0 AS there FROM requests),
+a AS (SELECT token, token * 2 AS attempt_id, created_at + to_hours(token % 40) AS moment FROM c WHERE token % 3 <> 0 UNION ALL SELECT token, token * 2 + 1, created_at + to_hours(token % 40 + 1) FROM c WHERE token % 6 = 1),
+j AS (SELECT a.*, expires, there, coalesce(there AND expires >= moment, false) AS valid FROM a JOIN c USING (token)),
+w AS (SELECT token, min(attempt_id) AS winner FROM j WHERE valid GROUP BY token),
+l AS (SELECT greatest((SELECT max(moment) FROM a), (SELECT max(created_at) FROM c WHERE there)) - INTERVAL 1 DAY AS mark)
+SELECT token, attempt_id, CASE WHEN NOT there OR attempt_id > winner THEN 'invalid' WHEN expires IS NULL OR expires < moment THEN 'expired' ELSE 'ok' END AS outcome FROM j LEFT JOIN w USING (token)
+UNION ALL SELECT token, NULL, 'expired' FROM c LEFT JOIN w USING (token), l WHERE there AND winner IS NULL AND (expires IS NULL OR expires + INTERVAL 1 MILLISECOND <= mark)""",
+    "requests",
+)

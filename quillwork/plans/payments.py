@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillwork.operators import declared as D
 from quillwork.operators import maintain as M
 from quillwork.operators import payments as P
+from quillwork.plans.booking import CONFIRMED
 from quillwork.sources import bindings as B
 from quillwork.sources.bindings import sql
 from quillwork.streaming import jobs
@@ -94,7 +95,12 @@ QUERIES = {
     "webhook_fold": jobs.webhook_fold_query,
     "sync_articles": jobs.sync_articles_query,
     "sync_report": jobs.sync_report_query,
+    "webhook_stream": jobs.webhook_stream_query,
+    "webhook_rejects": jobs.webhook_rejects_query,
     "case_state_stream": jobs.case_state_stream_query,
+    "case_services": lambda s, d: M.case_services(actions(s, d)),
+    "case_services_stream": jobs.case_services_stream_query,
+    "confirmation_stream": jobs.confirmation_stream_query,
 }
 
 _DUE = "CAST((CAST(base_price * 100 AS BIGINT) * 90 + 50) // 100 AS BIGINT)"
@@ -189,5 +195,10 @@ SQL = {
     "sync_articles": sql("SELECT a.id, document_id, article_number, text, sort_key, chapter, path, slug, depth, title AS document_title, language AS document_language, type AS document_type, grp AS document_group, source_file FROM arts a LEFT JOIN docs d ON a.document_id = d.id WHERE synced IS NULL", "docs", "arts"),
     "sync_report": sql("SELECT count_if(synced IS NULL) AS pushed, CAST(0 AS BIGINT) AS pending, count(*) AS synced, count_if(synced IS NULL) AS stamped, TIMESTAMP '2024-01-01' AS newest FROM arts", "arts"),
     "webhook_fold": sql(f"{_LATEST} SELECT intent_id, status, ever_succeeded, failure_code, failure_message FROM t", "payment_events", "requests"),
+    "webhook_stream": sql(f"{_LATEST.replace('FROM payment_events)', 'FROM payment_events WHERE event_id % 97 <> 0)')}, c AS (SELECT intent_id, count(*) AS events FROM e WHERE status IS NOT NULL GROUP BY intent_id) SELECT intent_id, status, ever_succeeded, failure_code, failure_message, events FROM t JOIN c USING (intent_id)", "payment_events", "requests"),
+    "webhook_rejects": sql("SELECT CASE WHEN event_id % 97 = 0 THEN 'broken' ELSE 'unknown type' END AS reason, count(*) + count_if(event_id % 97 <> 0 AND event_id % 10 = 0) AS lines FROM payment_events WHERE event_id % 97 = 0 OR type = 'other' GROUP BY ALL", "payment_events"),
     "case_state_stream": _FOLD,
+    "case_services": f"{_ACTIONS} SELECT case_id, service_id, arg_max(moment, seq) AS completed_at FROM a WHERE action = 'toggle' GROUP BY ALL HAVING count(*) % 2 = 1",
+    "case_services_stream": f"{_ACTIONS} SELECT case_id, service_id, arg_max(moment, seq) AS completed_at FROM a WHERE action = 'toggle' GROUP BY ALL HAVING count(*) % 2 = 1",
+    "confirmation_stream": CONFIRMED,
 }

@@ -1,8 +1,7 @@
 """Streaming jobs: index sync, payment webhooks, case actions.
 
 Each job has a stream form, and a query that runs it over the given tables with
-an availableNow trigger. Folds keep one small state a key; events of a batch
-are applied in the order of (ts, sequence).
+an availableNow trigger. The folds are those of `states`.
 """
 
 from __future__ import annotations
@@ -10,16 +9,15 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillwork.operators import corpus, payments
 from quillwork.operators.sync import merged_index, unsynced_articles
 from quillwork.sources import bindings as B
+from quillwork.streaming import states
 from quillwork.streaming.index import BucketedTable
 
 #: The JSON of a payment event.
@@ -41,10 +39,11 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def webhook_source(lines: DataFrame) -> DataFrame:
-    """Event rows from a stream or table of JSON lines (column value); broken lines have a null type."""
+def webhook_source(lines: DataFrame, keep: list[str] = []) -> DataFrame:
+    """Event rows from a stream or table of JSON lines (column value); broken lines have a null type. Columns of `keep` stay beside."""
     o = F.col("e.data.object")
-    return lines.select(F.from_json("value", WEBHOOK).alias("e")).select(
+    return lines.select(F.from_json("value", WEBHOOK).alias("e"), *keep).select(
+        *keep,
         F.col("e.id").alias("event_id"),
         F.col("e.ts").alias("ts"),
         F.col("e.type").alias("type"),
@@ -79,23 +78,37 @@ def webhook_events_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(F.col("event_id").cast("long").alias("event_id"), "type", "intent_id", "request_id", "amount_cents", "currency", "method", *payments.FAILURE)
 
 
-FOLD_STATE = "status string, ever_succeeded boolean, failure_code string, failure_message string"
-FOLD = f"intent_id string, {FOLD_STATE}"
+FOLD = "intent_id string, status string, ever_succeeded boolean, failure_code string, failure_message string"
 
 
-def _fold_payments(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, won, code, message = state.get if state.exists else (None, False, None, None)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for kind, known, why, words in zip(rows["type"], rows["known"], rows["failure_code"], rows["failure_message"]):
-        new = payments.STATES.get(kind)
-        if new == "succeeded" and (status is not None or known):
-            status, won = new, True
-        elif new and status is not None:
-            status = new
-            code, message = (why, words) if new == "failed" else (code, message)
-    if status is not None:
-        state.update((status, won, code, message))
-        yield pd.DataFrame({"intent_id": [key[0]], "status": [status], "ever_succeeded": [won], "failure_code": [code], "failure_message": [message]})
+def _timed(rows: DataFrame, at: str, lateness: str | None) -> tuple[DataFrame, str, int | None]:
+    """The rows with `at` in microseconds; with a lateness also a watermark, under which states expire."""
+    moment = F.col(at).cast("timestamp")
+    if lateness is None:
+        return rows.withColumn("at", F.unix_micros(moment)), "None", None
+    return rows.withColumns({"at": F.unix_micros(moment), "moment": moment}).withWatermark("moment", lateness), "EventTime", 1
+
+
+def _when(column: str):
+    return F.timestamp_micros(F.col(column)).cast("timestamp_ntz").alias(column)
+
+
+def payment_states(events: DataFrame, requests: DataFrame, lateness: str | None = None, keep_days: int = 90, once: bool = False) -> DataFrame:
+    """A streaming frame of each intent's state after every batch (update mode), with `events`, how many counted (0 unless `once`).
+
+    A success of a known request begins an intent; the last event and the last
+    failure since then are its state, in the order of (ts, event_id). With a
+    lateness, events that are later than that are dropped, and an intent goes
+    `keep_days` after its last event; without one states stay. With `once`,
+    repeated deliveries of an event id are dropped and the others counted.
+    """
+    states.use_rocksdb(events.sparkSession)
+    known = requests.select(F.col("id").alias("request_id"), F.lit(True).alias("k"))
+    rows, mode, ends = _timed(events.where("intent_id IS NOT NULL"), "ts", lateness)
+    own = ["intent_id", "event_id", "at", payments.state_of(F.col("type")).alias("status"), *payments.FAILURE] + (["moment"] if ends else [])
+    rows = rows.join(known, "request_id", "left").select(*own, F.coalesce("k", F.lit(False)).alias("known"))
+    fold = states.PaymentFold(keep_days * states.DAY_MS if ends else None, events.schema["event_id"].dataType.simpleString(), once)
+    return rows.groupBy("intent_id").transformWithState(fold, f"{FOLD}, events long", "Update", mode)
 
 
 def webhook_fold(events: DataFrame, requests: DataFrame) -> DataFrame:
@@ -104,9 +117,27 @@ def webhook_fold(events: DataFrame, requests: DataFrame) -> DataFrame:
     A success of a known request begins an intent; later events change it. The
     code and message of its last failure stay.
     """
-    known = requests.select(F.col("id").alias("request_id"), F.lit(True).alias("k"))
-    rows = events.join(known, "request_id", "left").select("intent_id", "event_id", "ts", "type", *payments.FAILURE, F.coalesce("k", F.lit(False)).alias("known"))
-    return rows.groupBy("intent_id").applyInPandasWithState(_fold_payments, FOLD, FOLD_STATE, "update", GroupStateTimeout.NoTimeout)
+    return payment_states(events, requests).drop("events")
+
+
+def accepted_events(events: DataFrame) -> DataFrame:
+    """Parsed events with a reason for those that no fold can take; null for the others."""
+    none = lambda c: F.col(c).isNull()
+    kinds = list(payments.STATES)
+    reason = F.when(none("event_id") & none("type"), "broken").when(none("type") | ~F.col("type").isin(*kinds), "unknown type").when(none("event_id") | none("intent_id") | none("ts"), "incomplete")
+    return events.withColumn("reason", reason)
+
+
+def webhook_stream(lines: DataFrame, requests: DataFrame, place: str, lateness: str = "7 days", keep_days: int = 90) -> None:
+    """JSON lines of payment events, end to end: each intent's states under place/out, lines that no fold takes under place/rejects.
+
+    Two queries read the same lines; each has its own checkpoint, so both go on
+    from where they were. Repeated deliveries of an event are dropped.
+    """
+    parsed = accepted_events(webhook_source(lines.select("value"), keep=["value"]))
+    good = payment_states(parsed.where("reason IS NULL").drop("value", "reason"), requests, lateness, keep_days, once=True)
+    run_now(good, f"{place}/out", "update", f"{place}/state")
+    run_now(parsed.where("reason IS NOT NULL").select("reason", "event_id", "type", "value"), f"{place}/rejects", "append", f"{place}/rejects-state")
 
 
 def run_now(stream: DataFrame, into: str, mode: str, state: str) -> None:
@@ -118,15 +149,53 @@ def run_now(stream: DataFrame, into: str, mode: str, state: str) -> None:
     stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
 
 
+def _last_states(spark: SparkSession, place: str, schema: str, key: str, names: list[str]) -> DataFrame:
+    """The state of the last batch in which each key changed."""
+    saved = spark.read.schema(f"{schema}, batch int").parquet(f"{place}/out")
+    return saved.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("s")).select(key, "s.*")
+
+
+def _streamed(rows: DataFrame, place: str, files: int = 2) -> DataFrame:
+    """Rows as a stream of files, one a batch."""
+    rows.repartition(files).write.parquet(f"{place}/in")
+    schema = rows.sparkSession.read.parquet(f"{place}/in").schema
+    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+
+
+#: Registered runs cut tables into files in no order of time, so no event may count as late.
+ANY_TIME = "36500 days"
+
+
 def webhook_fold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold of the table's events as a stream; the last state of each intent."""
+    """The fold of the table's events as a stream of several batches; the last state of each intent."""
     place = _place(spark, "webhook")
-    B.payment_events(spark, sf_dir).write.parquet(f"{place}/in")
-    schema = spark.read.parquet(f"{place}/in").schema
-    events = spark.readStream.schema(schema).parquet(f"{place}/in")
+    events = _streamed(B.payment_events(spark, sf_dir), place)
     run_now(webhook_fold(events, B.requests(spark, sf_dir)), f"{place}/out", "update", f"{place}/state")
-    saved = spark.read.schema(f"{FOLD}, batch int").parquet(f"{place}/out")
-    return saved.groupBy("intent_id").agg(F.max_by(F.struct("status", "ever_succeeded", *payments.FAILURE), "batch").alias("s")).select("intent_id", "s.*")
+    return _last_states(spark, place, FOLD, "intent_id", ["status", "ever_succeeded", *payments.FAILURE])
+
+
+def _webhooks(spark: SparkSession, sf_dir: str) -> str:
+    """Runs the table's events as JSON lines through the stream; some lines are broken, some delivered again in another file."""
+    place = _place(spark, "webhook")
+    lines = webhook_lines(B.payment_events(spark, sf_dir)).withColumn("n", F.get_json_object("value", "$.id").cast("long"))
+    sent = lines.select(F.when(F.col("n") % 97 == 0, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value"))
+    again = lines.where("n % 10 = 0 AND n % 97 <> 0").select("value")
+    sent.repartition(2).write.text(f"{place}/in")
+    again.coalesce(1).write.mode("append").text(f"{place}/in")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{place}/in")
+    webhook_stream(stream, B.requests(spark, sf_dir), place, ANY_TIME)
+    return place
+
+
+def webhook_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each intent and its number of different events, from JSON lines."""
+    return _last_states(spark, _webhooks(spark, sf_dir), f"{FOLD}, events long", "intent_id", ["status", "ever_succeeded", *payments.FAILURE, "events"])
+
+
+def webhook_rejects_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reason, lines: what the stream of JSON lines could not take."""
+    rejects = spark.read.schema("reason string, event_id string, type string, value string, batch int").parquet(f"{_webhooks(spark, sf_dir)}/rejects")
+    return rejects.groupBy("reason").agg(F.count("*").alias("lines"))
 
 
 def sync_articles(articles: DataFrame, documents: DataFrame, index: str, state: str) -> None:
@@ -203,41 +272,80 @@ def sync_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CASE = "case_id long, advisor_id long, first_contact_at timestamp_ntz, case_status string, closed_at timestamp_ntz, last_touched_at timestamp_ntz, completed long"
-CASE_STATE = "advisor_id long, first_contact_at timestamp, case_status string, closed_at timestamp, last_touched_at timestamp, odd string"
+CASE_TIMES = ("first_contact_at", "closed_at", "last_touched_at")
 
 
-def _fold_cases(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    advisor, contact, status, closed, touched, odd = state.get if state.exists else (None, None, "open", None, None, "")
-    done = set(odd.split(",")) - {""}
-    for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-        if r.action == "toggle":
-            done ^= {str(r.service_id)}
-        elif r.action == "claim" and advisor is None:
-            advisor, contact = int(r.user_id), r.at
-        elif r.action in ("close", "reopen"):
-            status, closed = ("closed", r.at) if r.action == "close" else ("open", None)
-        touched = r.at if touched is None else max(touched, r.at)
-    state.update((advisor, contact, status, closed, touched, ",".join(sorted(done))))
-    out = {"case_id": [key[0]], "advisor_id": pd.array([advisor], "Int64"), "first_contact_at": [contact], "case_status": [status], "closed_at": [closed], "last_touched_at": [touched], "completed": [len(done)]}
-    frame = pd.DataFrame(out)
-    for c in ("first_contact_at", "closed_at", "last_touched_at"):
-        frame[c] = pd.to_datetime(frame[c])
-    yield frame
+def case_state_stream(actions: DataFrame, lateness: str | None = None, keep_days: int = 730) -> DataFrame:
+    """A streaming frame of each case's state after every batch (update mode), with the services that the batch changed.
 
+    `changed` has (service_id, completed_at) of each service that was toggled,
+    completed_at null where it is open again. With a lateness, actions later
+    than that are dropped and a case goes `keep_days` after its last action.
+    """
+    states.use_rocksdb(actions.sparkSession)
+    rows, mode, ends = _timed(actions.withColumnRenamed("at", "acted_at"), "acted_at", lateness)
+    rows = rows.select("case_id", "seq", "at", "action", F.col("service_id").cast("long").alias("service_id"), F.col("user_id").cast("long").alias("user_id"), *(["moment"] if ends else []))
+    schema = CASE.replace("timestamp_ntz", "long") + ", changed array<struct<service_id: bigint, completed_at: bigint>>"
+    folded = rows.groupBy("case_id").transformWithState(states.CaseFold(keep_days * states.DAY_MS if ends else None), schema, "Update", mode)
+    names = [f.split()[0] for f in CASE.split(", ")]
+    changed = F.transform("changed", lambda c: F.struct(c["service_id"].alias("service_id"), F.timestamp_micros(c["completed_at"]).cast("timestamp_ntz").alias("completed_at")))
+    return folded.select(*[_when(c) if c in CASE_TIMES else F.col(c) for c in names], changed.alias("changed"))
 
-def case_state_stream(actions: DataFrame) -> DataFrame:
-    """A streaming frame of each case's state after every batch (update mode)."""
-    return actions.groupBy("case_id").applyInPandasWithState(_fold_cases, CASE, CASE_STATE, "update", GroupStateTimeout.NoTimeout)
 
+CHANGED = "changed array<struct<service_id: bigint, completed_at: timestamp_ntz>>"
 
-def case_state_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The case fold as a stream over the table's actions; the last state of each case."""
+
+def _cases(spark: SparkSession, sf_dir: str) -> str:
     from quillwork.plans.payments import actions
 
     place = _place(spark, "cases")
-    actions(spark, sf_dir).write.parquet(f"{place}/in")
-    schema = spark.read.parquet(f"{place}/in").schema
-    run_now(case_state_stream(spark.readStream.schema(schema).parquet(f"{place}/in")), f"{place}/out", "update", f"{place}/state")
-    saved = spark.read.schema(f"{CASE}, batch int").parquet(f"{place}/out")
+    run_now(case_state_stream(_streamed(actions(spark, sf_dir), place)), f"{place}/out", "update", f"{place}/state")
+    return place
+
+
+def case_state_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case fold as a stream over the table's actions; the last state of each case."""
     names = [f.split()[0] for f in CASE.split(", ")][1:]
-    return saved.groupBy("case_id").agg(F.max_by(F.struct(*names), "batch").alias("s")).select("case_id", "s.*")
+    return _last_states(spark, _cases(spark, sf_dir), f"{CASE}, {CHANGED}", "case_id", names)
+
+
+def case_services_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, service_id, completed_at of the services that the stream leaves completed."""
+    saved = spark.read.schema(f"{CASE}, {CHANGED}, batch int").parquet(f"{_cases(spark, sf_dir)}/out")
+    rows = saved.select("case_id", "batch", F.explode("changed").alias("c")).select("case_id", "batch", "c.*")
+    last = rows.groupBy("case_id", "service_id").agg(F.max_by(F.struct("completed_at"), "batch").alias("s"))
+    return last.select("case_id", "service_id", "s.completed_at").where("completed_at IS NOT NULL")
+
+
+CLOCK = "token long, attempt_id long, at timestamp_ntz, outcome string"
+
+
+def confirmation_stream(events: DataFrame, lateness: str = "1 day", keep_days: int = 30) -> DataFrame:
+    """token, attempt_id, at, outcome: the answer to every attempt (ok, expired, invalid), and a row without attempt where a token expires unconfirmed.
+
+    events: token, kind (created or confirm), attempt_id, at, expires_at. An
+    attempt is judged as `confirmation_state` does at its time. Expiry is told
+    when the watermark passes it; a token answers late attempts for `keep_days`
+    more, then it is unknown.
+    """
+    states.use_rocksdb(events.sparkSession)
+    rows, mode, _ = _timed(events.withColumnRenamed("at", "tried_at"), "tried_at", lateness)
+    rows = rows.select("token", "kind", "attempt_id", "at", F.unix_micros(F.col("expires_at").cast("timestamp")).alias("expires_at"), "moment")
+    told = rows.groupBy("token").transformWithState(states.ConfirmationClock(keep_days * states.DAY_MS), "token long, attempt_id long, at long, outcome string", "Append", mode)
+    return told.select("token", "attempt_id", _when("at"), "outcome")
+
+
+def confirmation_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over the table's confirmations and attempts: token, attempt_id, outcome."""
+    from quillwork.plans.booking import confirmation_events
+
+    place = _place(spark, "confirmations")
+    events = confirmation_events(spark, sf_dir)
+    first, last = events.agg(F.min("at"), F.max("at")).first()
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)] if first else []
+    for low, high in zip([None, *cuts], [*cuts, None]):  # files in the order of time, one a batch
+        part = events.where(F.lit(True) if low is None else F.col("at") >= low).where(F.lit(True) if high is None else F.col("at") < high)
+        part.coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    run_now(confirmation_stream(stream), f"{place}/out", "append", f"{place}/state")
+    return spark.read.schema(f"{CLOCK}, batch int").parquet(f"{place}/out").select("token", "attempt_id", "outcome")
