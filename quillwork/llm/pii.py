@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ from quillwork.llm.shared import table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+# A match of IP begins where a run of digits does: from within the run it would be the same match, cut. So each run is tried once.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
@@ -101,30 +103,40 @@ _ANY_AT = re.compile(r"@|\sat\s", re.I)
 
 
 class Tape:
-    """A rewritten text whose characters know their source span and whether they were rewritten."""
+    """A rewritten text whose characters know their source span and whether they were rewritten; nine bytes a character."""
 
     def __init__(self, text: str):
         self.text = text
-        self.start, self.end, self.new = [], [], []  # filled by the first rewrite
+        self.start = self.end = self.new = None  # arrays from the first rewrite on
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces tape spans, given in order, by strings; each new character spans its whole source."""
         if not edits:
             return
-        if not self.new:
-            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
-            self.new = [False] * len(self.text)
-        text, start, end, new, at = [], [], [], [], 0
+        if self.new is None:
+            self.start = np.arange(len(self.text), dtype=np.int32)
+            self.end = self.start + 1
+            self.new = np.zeros(len(self.text), bool)
+        text, at = [], 0
         for a, b, by in edits:
             text += [self.text[at:a], by]
-            start += self.start[at:a] + [self.start[a]] * len(by)
-            end += self.end[at:a] + [self.end[b - 1]] * len(by)
-            new += self.new[at:a] + [True] * len(by)
-            if not by and new:
-                new[-1] = True
             at = b
-        self.text = "".join([*text, self.text[at:]])
-        self.start, self.end, self.new = start + self.start[at:], end + self.end[at:], new + self.new[at:]
+        text.append(self.text[at:])
+        begin, stop, n = (np.array(x, np.int64) for x in zip(*((a, b, len(by)) for a, b, by in edits)))
+        # pieces in turn: what stays, what is put in, ..., what stays
+        first, length, step = np.zeros((3, 2 * len(edits) + 1), np.int64)
+        first[2::2], first[1::2] = stop, begin
+        length[:-1:2], length[-1], length[1::2] = begin - first[:-1:2], len(self.text) - stop[-1], n
+        step[::2] = 1
+        place = np.cumsum(length) - length
+        put_in = np.repeat(step == 0, length)
+        source = np.repeat(first, length) + (np.arange(length.sum()) - np.repeat(place, length)) * np.repeat(step, length)
+        last = source.copy()
+        last[put_in] = np.repeat(stop - 1, n)
+        self.text = "".join(text)
+        self.start, self.end, self.new = self.start[source], self.end[last], self.new[source] | put_in
+        before = place[1::2][n == 0] - 1  # the character that stands before what was taken out
+        self.new[before[before >= 0]] = True
 
 
 def _look_alike(c: str) -> str:
@@ -178,10 +190,10 @@ def find_spans(text: str) -> list[tuple[str, int, int, bool]]:
         homoglyphs(tape)
         spelled_digits(tape)
         at_and_dot(tape)
-        if any(tape.new):
+        if tape.new is not None and tape.new.any():
             for kind, a, b in plain_spans(tape.text):
-                start, end = tape.start[a], tape.end[b - 1]
-                if any(tape.new[a:b]) and not any(k == kind and s < end and start < e for k, s, e in plain):
+                start, end = int(tape.start[a]), int(tape.end[b - 1])
+                if tape.new[a:b].any() and not any(k == kind and s < end and start < e for k, s, e in plain):
                     found.append((start, KINDS.index(kind), end, True))
     return [(KINDS[k], a, b, d) for a, k, b, d in sorted(found)]
 

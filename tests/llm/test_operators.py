@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -396,3 +397,17 @@ def test_large_scores_do_not_wrap():
     assert search.best == [[(-(1 << 65), 1)]]
     with pytest.raises(OverflowError):
         search.result()
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "one " * 250_000, "1." * 500_000, "12345 " * 170_000, "\u0430" * 1_000_000, "a@b" + ".b" * 300_000, "+1" + "(" * 500_000], ids="digits spelled dots runs lookalikes labels phone".split())
+def test_long_runs_take_seconds(text):
+    """The search for personal data grows with the text, whatever it is made of."""
+    began = time.perf_counter()
+    pii.find_spans(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_a_run_of_digits_is_one_try_of_an_address():
+    """Leading digits belong to an address; what follows a match begins anew."""
+    found = [(k, a, b) for k, a, b in pii.plain_spans("0001.2.3.4 999.1.1.1 5.6.7.8.9.10.11.12 x1.2.3.4") if k == "ip"]
+    assert found == [("ip", 0, 10), ("ip", 21, 28), ("ip", 29, 39), ("ip", 41, 48)]
