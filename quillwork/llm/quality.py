@@ -210,15 +210,15 @@ def training_rows(documents: DataFrame, labels: DataFrame, good: int, bad: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, "text"):
             found = [line_numbers(text).tobytes() for text in texts_of(rows)]
-            yield batch({"doc_id": (rows.column(0), rows.schema.field(0).type), "numbers": (found, pa.binary())})
+            yield rows.drop_columns(["text"]).append_column("numbers", pa.array(found, pa.binary()))
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
     out = []
     for label, most in ((1, good), (0, bad)):
         ids = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
         rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `most` ids
-        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)
-        out += [(np.frombuffer(r.numbers, np.float32).reshape(-1, NUMBERS), label) for r in rows.mapInArrow(run, f"doc_id {kind}, numbers binary").collect()]
+        rows = rows.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("t"), "text")
+        numbers = rows.mapInArrow(run, "h long, id string, t long, numbers binary")  # texts stay where they are
+        out += [(np.frombuffer(r.numbers, np.float32).reshape(-1, NUMBERS), label) for r in numbers.orderBy("h", "id", "t").limit(most).collect()]
     return out
 
 
