@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm.components import connected
@@ -257,29 +257,34 @@ def bucket_links(prints: DataFrame) -> DataFrame:
     return dealt.select(F.col("t").cast("long"), "key", F.col("part").cast("long"), "print").mapInArrow(_bucket_links, "a long, b long")
 
 
+def keeper() -> Column:
+    """Orders the rows of a component: the smallest doc_id first, none last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+
+
 def near_duplicates(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint, component_id (the smallest doc_id of the component), text_hash."""
+    """doc_id, fingerprint, component_id (the smallest doc_id of the component), text_hash, stays (it is the one row of its component)."""
     prints = written(fingerprints(documents, size), "simhash-prints")
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.min(keeper()).alias("keeper"))
     roots = connected(bucket_links(distinct.select("print")))
-    rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = rooted.join(named, "root").select("print", "component_id")
+    rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "first", "keeper", F.coalesce("root", "print").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min("keeper").alias("keeper"))
+    component = rooted.select("print", "root").join(named, "root").select("print", "component_id", "keeper")
     text = F.lower(F.lpad(F.hex("print"), 16, "0"))
-    return prints.join(component, "print").select("doc_id", text.alias("fingerprint"), "component_id", "text_hash")
+    return prints.join(component, "print").select("doc_id", text.alias("fingerprint"), "component_id", "text_hash", (keeper() == F.col("keeper")).alias("stays"))
 
 
 def keep_one(documents: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The documents, one of each component: that of the smallest doc_id.
+    """The documents, one row of each component: that of the smallest doc_id, of several the smallest text hash.
 
-    find gives the components: doc_id, component_id, text_hash of every row.
-    Rows repeated in id and text are kept once; a null doc_id names its
-    component only where no other document is in it.
+    find gives doc_id, text_hash and stays of every row. Rows repeated in id and
+    text are kept once; a row without an id stays only where no other of its
+    component has one. So rows that share an id, or have none, are near copies
+    like any others.
     """
     found = find(documents)
     doc, text = (unused(documents, name) for name in ("marked_id", "marked_text"))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")
-    marked = written(found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), stays), "simhash-marks")
+    marked = written(found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), "stays"), "simhash-marks")
     gone, kept = marked.where("NOT stays"), marked.where("stays")
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(text))
     rows = documents.join(gone.drop("stays"), same, "left_anti")
@@ -289,4 +294,4 @@ def keep_one(documents: DataFrame, find: Callable[[DataFrame], DataFrame] = near
 
 
 def op1_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("stays")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillwork.llm.components import connected
 from quillwork.llm.shared import batch, texts_of, unused, written
-from quillwork.llm.simhash import SMALL, large_hits, shingle_hashes, small_hits
+from quillwork.llm.simhash import SMALL, keeper, large_hits, shingle_hashes, small_hits
 
 SHINGLE, LEAST = 5, 0.8
 BITS, PART, ORDERS, RADIUS = 256, 12, 3, 56
@@ -238,7 +238,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id of the component), text_hash."""
+    """doc_id, component_id (the smallest doc_id of the component), text_hash, stays (it is the one row of its component)."""
     prints = written(signatures(documents), "similar-prints")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.any_value("print").alias("print"), F.any_value("keys").alias("keys"))
@@ -255,6 +255,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     near = written(near.select("node", F.col("sketch").alias("print"), "keys", F.coalesce("root", "node").alias("root")), "similar-near")
     rest = verified(written(candidates(near), "similar-rest"), sets)
     roots = connected(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest))
-    rooted = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    component = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    return prints.join(component, "node").select("doc_id", "component_id", "text_hash")
+    rooted = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(keeper()).alias("keeper")).join(roots, "node", "left").select("node", "first", "keeper", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min("keeper").alias("keeper"))
+    component = rooted.select("node", "root").join(named, "root").select("node", "component_id", "keeper")
+    return prints.join(component, "node").select("doc_id", "component_id", "text_hash", (keeper() == F.col("keeper")).alias("stays"))

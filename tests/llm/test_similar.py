@@ -62,3 +62,15 @@ def test_large_group(spark, monkeypatch, most):
     words = [f"w{j}" for j in range(300)]
     rows = [(i, " ".join([*words[: i % 290], f"new{i}", *words[i % 290 + 1 :]])) for i in range(200)]
     assert [r.doc_id for r in STAGE(spark, spark.createDataFrame(rows, SCHEMA), None).collect()] == [0]
+
+
+@pytest.mark.parametrize("ids,kept", [((None, None), [None]), ((5, 5, 6), [5]), ((None, 7, 7), [7]), ((3, None, 3, None), [3])])
+def test_rows_that_share_an_id_or_have_none(spark, ids, kept):
+    """One row of a group of near copies stays, whatever the ids; rows of other texts with the same ids stay too."""
+    text = " ".join(f"word{k}" for k in range(200))
+    others = [(i, " ".join(f"{n}other{k}" for k in range(60))) for n, i in enumerate(ids)]
+    for find, end in ((simhash.near_duplicates, " "), (similar.near_copies, " "), (similar.near_copies, " end")):
+        copies = [(i, text + end * n) for n, i in enumerate(ids)]
+        rows = simhash.keep_one(spark.createDataFrame(copies + others, SCHEMA), find).collect()
+        assert [r.doc_id for r in rows if r.text.startswith("word")] == kept
+        assert sorted(r.text for r in rows if not r.text.startswith("word")) == sorted(t for _, t in others)
