@@ -8,6 +8,7 @@ from quillwork.operators import declared as D
 from quillwork.operators import maintain as M
 from quillwork.operators import payments as P
 from quillwork.plans.booking import CONFIRMED
+from quillwork.plans.cases import _READY
 from quillwork.sources import bindings as B
 from quillwork.sources.bindings import sql
 from quillwork.streaming import jobs
@@ -101,6 +102,8 @@ QUERIES = {
     "case_services": lambda s, d: M.case_services(actions(s, d)),
     "case_services_stream": jobs.case_services_stream_query,
     "confirmation_stream": jobs.confirmation_stream_query,
+    "notification_transitions": jobs.notification_transitions_query,
+    "notification_messages": jobs.notification_messages_query,
 }
 
 _DUE = "CAST((CAST(base_price * 100 AS BIGINT) * 90 + 50) // 100 AS BIGINT)"
@@ -201,4 +204,6 @@ SQL = {
     "case_services": f"{_ACTIONS} SELECT case_id, service_id, arg_max(moment, seq) AS completed_at FROM a WHERE action = 'toggle' GROUP BY ALL HAVING count(*) % 2 = 1",
     "case_services_stream": f"{_ACTIONS} SELECT case_id, service_id, arg_max(moment, seq) AS completed_at FROM a WHERE action = 'toggle' GROUP BY ALL HAVING count(*) % 2 = 1",
     "confirmation_stream": CONFIRMED,
+    "notification_transitions": sql(f"SELECT id, ticket_number, CAST(CASE WHEN status = 'paid' AND id % 2 = 1 THEN 2 WHEN created_at < TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS BIGINT) AS run FROM requests WHERE {_READY}", "requests"),
+    "notification_messages": sql("SELECT ticket_number, (SELECT count(DISTINCT email) FROM users WHERE role = 'advisor') AS addresses FROM requests WHERE status = 'paid' AND id % 2 = 1", "requests", "users"),
 }

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillwork.operators import corpus, payments
 from quillwork.operators.sync import merged_index, unsynced_articles
 from quillwork.sources import bindings as B
-from quillwork.streaming import states
+from quillwork.streaming import notify, states
 from quillwork.streaming.index import BucketedTable
 
 #: The JSON of a payment event.
@@ -349,3 +349,27 @@ def confirmation_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
     run_now(confirmation_stream(stream), f"{place}/out", "append", f"{place}/state")
     return spark.read.schema(f"{CLOCK}, batch int").parquet(f"{place}/out").select("token", "attempt_id", "outcome")
+
+
+def _announced(spark: SparkSession, sf_dir: str) -> BucketedTable:
+    """Three runs over the table's requests: at first only the older ones are there, and every second paid one is not paid yet."""
+    log = BucketedTable(spark, f"{_place(spark, 'notify')}/log", notify.CASES, compact_after=2)
+    requests, users = B.requests(spark, sf_dir), B.users(spark, sf_dir)
+    late = (F.col("status") == "paid") & (F.col("id") % 2 == 1)
+    before = requests.withColumn("status", F.when(late, "pending_payment").otherwise(F.col("status")))
+    old = F.col("created_at") < F.lit("1998-01-01").cast("timestamp_ntz")
+    for run, now in enumerate((before.where(old), before, requests)):
+        notify.announce(now, users, log, "notify", run, SYNCED_AT)
+    return log
+
+
+def notification_transitions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ticket_number, run: every ready case, at the run that first saw it ready."""
+    return notify.announced(_announced(spark, sf_dir)).select("id", "ticket_number", F.col("version").alias("run"))
+
+
+def notification_messages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticket_number, addresses: how many the last run's messages of each case reach, expanded in two parts."""
+    log = _announced(spark, sf_dir)
+    parts = [notify.messages(log, 2, k, 2) for k in (0, 1)]
+    return parts[0].unionByName(parts[1]).groupBy("ticket_number").agg(F.sum(F.size("emails")).alias("addresses"))
