@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MIN_SCORE, RESULTS = 0.55, 12
-#: Query vectors broadcast at once: 64 components are half a kilobyte.
-QUERIES = 2_000
+MIN_SCORE, CANDIDATES, RESULTS = 0.55, 2000, 12
+#: Vectors a block (64 components of 8 bytes: 2 MB), and queries multiplied at once.
+BLOCK, SLAB = 4096, 128
 ARTICLE = r"(?i)\b(?:article|artikel|artículo|art\.)\s+(\d+)"
 LAW = r"(?i)\b(?:law|loi|gesetz|ley)\s+(?:no\.?\s*)?(\d+[-/.]\d+)"
 DATE = r"\b(\d{1,2}/\d{1,2}/\d{4})\b"
@@ -16,27 +20,76 @@ DATE = r"\b(\d{1,2}/\d{1,2}/\d{4})\b"
 KEYWORDS = {"banking": ("bank", "loan"), "tax": ("tax", "duty"), "family": ("the", "and"), "civil": ("de", "la"), "labor": ("der", "die"), "real-estate": ("que", "el")}
 
 
-def semantic_topk(embeddings: DataFrame, every: int = 50, min_score: float = MIN_SCORE, results: int = RESULTS) -> DataFrame:
+def _usable(embeddings: DataFrame) -> DataFrame:
+    """vec_id, x (of length 1, in doubles), width of the vectors that have a direction."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    vectors = embeddings.select("vec_id", x.alias("x"), norm.alias("norm")).where((F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < F.lit(float("inf"))))
+    return vectors.select("vec_id", F.transform("x", lambda v: v / F.col("norm")).alias("x"), F.size("x").alias("width"))
+
+
+def best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, least: float, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's row, ids, scores) of each query's best `most` vectors of a block, itself not counted; scores at least `least`.
+
+    Vectors have length 1. The first half of the components gives a product and,
+    with the lengths of what is left, a bound; only vectors whose bound reaches
+    the queries' least score are multiplied on.
+    """
+    half = queries.shape[1] // 2
+    rest_q, rest_v = (np.sqrt(np.maximum((m[:, half:] ** 2).sum(1), 0)) for m in (queries, vectors))
+    for a in range(0, len(queries), SLAB):
+        q = queries[a : a + SLAB]
+        scores = q[:, :half] @ vectors[:, :half].T
+        bound = scores + np.outer(rest_q[a : a + SLAB], rest_v)
+        live = np.flatnonzero((bound >= least - 1e-6).any(axis=0))
+        scores = scores[:, live] + q[:, half:] @ vectors[live, half:].T
+        for k, row in enumerate(np.floor(scores * 1e6 + 0.5)):  # by rounded score, then id, as they are ranked
+            found = np.flatnonzero((row >= np.floor(least * 1e6)) & (ids[live] != own[a + k]))
+            if len(found) > most:
+                edge = -np.partition(-row[found], most - 1)[most - 1]
+                found = found[row[found] >= edge]
+                found = found[np.lexsort((ids[live[found]], -row[found]))[:most]]
+            if len(found):
+                yield a + k, ids[live[found]], scores[k, found]
+
+
+def _matched(key: tuple, left: pa.Table, right: pa.Table, least: float, most: int) -> pa.Table:
+    """The pairs of a block of queries and a block of vectors."""
+    out: list[list] = [[], [], []]
+    if left.num_rows and right.num_rows:
+        (own, q), (ids, v) = ((np.asarray(t.column(0)), np.asarray(t.column(1).combine_chunks().flatten()).reshape(t.num_rows, -1)) for t in (left.select(["vec_id", "x"]), right.select(["vec_id", "x"])))
+        for row, found, scores in best_of_block(q, v, ids, own, least, most):
+            out[0].append(np.full(len(found), own[row]))
+            out[1].append(found)
+            out[2].append(scores)
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.table({n: pa.array(np.concatenate(c).astype(k) if c else np.zeros(0, k)) for n, c, k in zip(("query_id", "vec_id", "score"), out, kinds)})
+
+
+def semantic_topk(embeddings: DataFrame, every: int = 50, min_score: float = MIN_SCORE, results: int = RESULTS, candidate_limit: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the most similar vectors of each query by cosine, at least min_score.
 
-    Queries are the vectors whose id is divisible by `every`; they pass in
-    blocks of at most QUERIES, each broadcast, so all candidates meet them in
-    place. Vectors that are null or hold a null, NaN or infinite component take
-    no part.
+    Queries are the vectors whose id is divisible by `every`; of each at most
+    `candidate_limit` candidates are ranked and `results` given. Queries and
+    vectors are dealt into blocks of about `block`; each pair of blocks is one
+    cogrouped matrix product, so the plan is the same for any number of either,
+    nothing is broadcast, and a task holds two blocks. Vectors of other lengths
+    than a query's, and vectors that are null or hold a null, NaN or infinite
+    component, take no part.
     """
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    vectors = embeddings.select(F.col("vec_id"), x.alias("x"), norm.alias("norm")).where((F.col("norm") > 0) & ~F.isnan("norm") & (F.col("norm") < F.lit(float("inf"))))
-    queries = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), F.col("norm").alias("q_norm"))
-    blocks = max(1, -(-queries.count() // QUERIES))
-    scored = None
-    for block in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        dot = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        rows = vectors.join(F.broadcast(some), (F.col("vec_id") != F.col("query_id")) & (F.size("x") == F.size("q"))).select("query_id", "vec_id", F.round(dot / (F.col("norm") * F.col("q_norm")), 6).alias("score")).where(F.col("score") >= min_score)
-        scored = rows if scored is None else scored.unionByName(rows)
+    vectors = _usable(embeddings)
+    n, asked = vectors.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    many, few = max(1, -(-n // block)), max(1, -(-asked // block))
+    dealt = lambda of: F.pmod(F.xxhash64("vec_id", "x"), F.lit(of))
+    copied = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
+    queries = vectors.where(F.col("vec_id") % every == 0).select("width", dealt(few).alias("q"), copied(many).alias("v"), "vec_id", "x")
+    rows = vectors.select("width", dealt(many).alias("v"), copied(few).alias("q"), "vec_id", "x")
+    most = min(results, candidate_limit)
+    keys = ("width", "q", "v")
+    pairs = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(lambda key, left, right: _matched(key, left, right, min_score, most), "query_id long, vec_id long, score double")
+    scored = pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= min_score)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= results)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
 
 def page_text(html: Column) -> Column:

@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillwork.operators import corpus, declared
 
@@ -53,3 +55,42 @@ def test_categories_of_given_keywords(spark):
     rows = spark.createDataFrame([(1, "Rent and rent, a loan"), (2, "Loan or rent"), (3, "nothing")], "doc_id long, text string")
     got = {(r.doc_id, r.category, r.score) for r in declared.categorize(rows, {"money": ("loan",), "home": ("rent",)}).collect()}
     assert got == {(1, "home", 2), (2, "home", 1)}
+
+
+def vectors(n=300, width=9, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width)).round(1)
+    x[10:20] = x[0]  # ties
+    return x
+
+
+@pytest.mark.parametrize("block", [7, 64, 4096])
+@pytest.mark.parametrize("least,results", [(-1.0, 5), (0.3, 12), (0.99, 3)])
+def test_blocks_give_what_all_pairs_give(spark, block, least, results):
+    x = vectors()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(300, [1.0, 0.0]), (301, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in declared.semantic_topk(df, every=25, min_score=least, results=results, block=block).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = {}
+    for q in range(0, 300, 25):
+        scores = np.floor(unit @ unit[q] * 1e6 + 0.5) / 1e6
+        best = sorted((-s, k) for k, s in enumerate(scores) if k != q and s >= least)[:results]
+        if best:
+            want[q] = [(n, k) for n, (_, k) in enumerate(best, 1)]
+    if least < 1.0 / np.hypot(1.0, 0.1):
+        want[300] = [(1, 301)]  # vectors of another length meet only each other
+    assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_candidate_limit_bounds_results(spark):
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(vectors())], "vec_id long, embedding array<double>")
+    assert {r.n for r in declared.semantic_topk(df, min_score=-1.0, candidate_limit=4).groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {4}
+
+
+def test_the_plan_does_not_grow_with_the_queries(spark):
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(vectors())], "vec_id long, embedding array<double>")
+    plans = [declared.semantic_topk(df, every=every, block=20)._jdf.queryExecution().optimizedPlan().toString() for every in (100, 1)]
+    assert len(plans[0].splitlines()) == len(plans[1].splitlines()) and "Union" not in plans[1] and "Cross" not in plans[1]
