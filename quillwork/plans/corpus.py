@@ -8,8 +8,10 @@ from quillwork.functions.text import clean_text, display_text
 from quillwork.operators import articles as A
 from quillwork.operators import corpus as C
 from quillwork.operators import sync as Y
+from quillwork.operators.grams import GramIndex
 from quillwork.sources import bindings as B
 from quillwork.sources.bindings import sql
+from quillwork.streaming.jobs import shared_place
 
 TERM, LABEL = "tion", "The — Article 2"
 NOW = "2001-07-20"
@@ -43,7 +45,20 @@ def _search(query: str, **filters):
     return _both(lambda d, a: C.search_projection(C.search_articles(d, a, query, **filters)))
 
 
+def _indexed(f, block_rows=2_000):
+    """A query over an index of the table's articles, built under the shared folder."""
+
+    def run(spark, sf_dir):
+        index = GramIndex(spark, shared_place(spark, "grams")).build(B.articles(spark, sf_dir), block_rows)
+        return f(index, B.documents(spark, sf_dir))
+
+    return run
+
+
 QUERIES = {
+    "search_indexed": _indexed(lambda i, d: C.search_projection(i.search(d, TERM))),
+    "search_indexed_label": _indexed(lambda i, d: C.search_projection(i.search(d, LABEL, language="en"))),
+    "suggestions_indexed": _indexed(lambda i, d: i.suggestions(d, "the")),
     "corpus_scan": _both(C.corpus_scan),
     "searchable_articles": _both(C.searchable_articles),
     "searchable_documents": _docs(C.searchable_documents),
@@ -80,6 +95,9 @@ SQL = {
     "corpus_scan": sql(f'{_JOINED} SELECT id, document_id, article_number, text, sort_key, chapter, path, title, language, type, grp AS "group", source_file FROM j', "docs", "arts"),
     "searchable_articles": sql("SELECT a.id, document_id, article_number, text, sort_key, chapter, path, slug, depth, title AS document_title, language AS document_language, type AS document_type, grp AS document_group, source_file FROM arts a LEFT JOIN docs d ON a.document_id = d.id", "docs", "arts"),
     "searchable_documents": sql('SELECT id, title, language, type, grp AS "group", source_file FROM docs', "docs"),
+    "search_indexed": sql(f"{_JOINED} SELECT {_RESULT} FROM j WHERE {_hit(TERM)}", "docs", "arts"),
+    "search_indexed_label": sql(f"{_JOINED} SELECT {_RESULT} FROM j WHERE language = 'en' AND ({_hit(LABEL)} OR title ILIKE '%The%')", "docs", "arts"),
+    "suggestions_indexed": sql(f"{_JOINED} SELECT id, title || ' — ' || article_number AS label, 'article' AS kind FROM (SELECT * FROM j WHERE title ILIKE '%the%' OR article_number ILIKE '%the%' ORDER BY title, sort_key, id LIMIT 10)", "docs", "arts"),
     "search_articles": sql(f"{_JOINED} SELECT {_RESULT} FROM j WHERE {_hit(TERM)}", "docs", "arts"),
     "search_label": sql(f"{_JOINED} SELECT {_RESULT} FROM j WHERE {_hit(LABEL)} OR title ILIKE '%The%'", "docs", "arts"),
     "search_filtered": sql(f"{_JOINED} SELECT {_RESULT} FROM j WHERE {_hit(TERM)} AND language = 'fr' AND type = 'LAW'", "docs", "arts"),

@@ -35,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _place(spark: SparkSession, name: str) -> str:
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -168,7 +169,7 @@ ANY_TIME = "36500 days"
 
 def webhook_fold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of the table's events as a stream of several batches; the last state of each intent."""
-    place = _place(spark, "webhook")
+    place = shared_place(spark, "webhook")
     events = _streamed(B.payment_events(spark, sf_dir), place)
     run_now(webhook_fold(events, B.requests(spark, sf_dir)), f"{place}/out", "update", f"{place}/state")
     return _last_states(spark, place, FOLD, "intent_id", ["status", "ever_succeeded", *payments.FAILURE])
@@ -176,7 +177,7 @@ def webhook_fold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _webhooks(spark: SparkSession, sf_dir: str) -> str:
     """Runs the table's events as JSON lines through the stream; some lines are broken, some delivered again in another file."""
-    place = _place(spark, "webhook")
+    place = shared_place(spark, "webhook")
     lines = webhook_lines(B.payment_events(spark, sf_dir)).withColumn("n", F.get_json_object("value", "$.id").cast("long"))
     sent = lines.select(F.when(F.col("n") % 97 == 0, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value"))
     again = lines.where("n % 10 = 0 AND n % 97 <> 0").select("value")
@@ -249,7 +250,7 @@ SYNC_BATCHES = 3
 
 def _synced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, BucketedTable]:
     """The table's articles, and the index that a stream over them leaves after SYNC_BATCHES batches."""
-    place = _place(spark, "sync")
+    place = shared_place(spark, "sync")
     B.articles(spark, sf_dir).repartition(SYNC_BATCHES, "document_id").write.parquet(f"{place}/in")
     articles = spark.read.parquet(f"{place}/in")
     stream = spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
@@ -298,7 +299,7 @@ CHANGED = "changed array<struct<service_id: bigint, completed_at: timestamp_ntz>
 def _cases(spark: SparkSession, sf_dir: str) -> str:
     from quillwork.plans.payments import actions
 
-    place = _place(spark, "cases")
+    place = shared_place(spark, "cases")
     run_now(case_state_stream(_streamed(actions(spark, sf_dir), place)), f"{place}/out", "update", f"{place}/state")
     return place
 
@@ -339,7 +340,7 @@ def confirmation_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the table's confirmations and attempts: token, attempt_id, outcome."""
     from quillwork.plans.booking import confirmation_events
 
-    place = _place(spark, "confirmations")
+    place = shared_place(spark, "confirmations")
     events = confirmation_events(spark, sf_dir)
     first, last = events.agg(F.min("at"), F.max("at")).first()
     cuts = [first + (last - first) * k / 3 for k in (1, 2)] if first else []
@@ -353,7 +354,7 @@ def confirmation_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _announced(spark: SparkSession, sf_dir: str) -> BucketedTable:
     """Three runs over the table's requests: at first only the older ones are there, and every second paid one is not paid yet."""
-    log = BucketedTable(spark, f"{_place(spark, 'notify')}/log", notify.CASES, compact_after=2)
+    log = BucketedTable(spark, f"{shared_place(spark, 'notify')}/log", notify.CASES, compact_after=2)
     requests, users = B.requests(spark, sf_dir), B.users(spark, sf_dir)
     late = (F.col("status") == "paid") & (F.col("id") % 2 == 1)
     before = requests.withColumn("status", F.when(late, "pending_payment").otherwise(F.col("status")))
