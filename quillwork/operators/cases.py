@@ -210,7 +210,7 @@ def recent_requests(requests: DataFrame, most: int = 5) -> DataFrame:
 
 def admin_requests(requests: DataFrame, pairs: DataFrame, services: DataFrame, page: int = 1, per_page: int = 5) -> DataFrame:
     """A page of requests, newest first, with their services' names: only the page's rows are joined."""
-    rows = page_of(requests, [F.desc("created_at"), "id"], page, per_page)
+    rows = page_of(requests, ["created_at desc", "id"], page, per_page)
     mine = pairs.join(F.broadcast(rows.select(F.col("id").alias("request_id"))), "request_id", "left_semi")  # a page
     names = services_summary(mine, services)
     return rows.join(names, rows["id"] == names["request_id"], "left").select("id", "ticket_number", "status", F.coalesce("names", F.lit("")).alias("services"))

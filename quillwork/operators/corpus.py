@@ -3,7 +3,7 @@
 documents and articles are the relations of quillwork.sources. Filters on
 documents sit below the join, column choices reach the scans; the search
 predicate spans both tables and stays above the join. Pages order by a unique
-last key. A shallow page plans as a top-k; deep offsets sort everything.
+last key. A shallow page plans as a top-k, a deep one is found by ranges (see pages).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import like_any
+from quillwork.operators.pages import DEEP, deep_page, ordering
 
 SEPARATOR = " — "
 PER_PAGE, MOST_PER_PAGE, SUGGESTIONS = 20, 100, 10
@@ -60,8 +61,11 @@ def search_projection(found: DataFrame) -> DataFrame:
     return found.select("id", "document_id", "title", "article_number", F.col("text").alias("content"), F.col("group").alias("category"), F.col("type").alias("source_name"), "source_file", "path", "language", "chapter", "sort_key")
 
 
-def page_of(rows: DataFrame, order: list, page: int, per_page: int) -> DataFrame:
-    return rows.orderBy(*order).offset((max(1, page) - 1) * per_page).limit(per_page)
+def page_of(rows: DataFrame, order: list[str], page: int, per_page: int) -> DataFrame:
+    """A page of an order (' desc' behind a column that descends): a top-k plan, or from DEEP rows on by ranges."""
+    if (page - 1) * per_page >= DEEP:
+        return deep_page(rows, order, page, per_page)
+    return rows.orderBy(*ordering(order)).offset((max(1, page) - 1) * per_page).limit(per_page)
 
 
 def search_page(found: DataFrame, page: int = 1, per_page: int = PER_PAGE) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html.entities import html5, name2codepoint
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +93,46 @@ def semantic_topk(embeddings: DataFrame, every: int = 50, min_score: float = MIN
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
 
+REFERENCE = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+#: Character references by name: those of HTML 4 and the apostrophe, as HTML 5 resolves them, from Python's tables; and the code points that pages mean as Windows-1252.
+NAMED = {f"&{name};": html5[f"{name};"] for name in [*sorted(name2codepoint), "apos"]}
+WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160) if bytes([n]).decode("cp1252", "ignore")}
+
+
+def _table(entries: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+def _character(point: Column) -> Column:
+    """The character of a code point; what is none, or half of one, is the replacement character."""
+    wrong = point.isNull() | (point <= 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+    safe = F.when(wrong, 0xFFFD).otherwise(point)
+    return F.coalesce(F.try_element_at(_table(WINDOWS), safe.cast("int")), F.decode(F.unhex(F.lpad(F.hex(safe.cast("long")), 8, "0")), "UTF-32"))
+
+
+def _referred(reference: Column) -> Column:
+    """What one reference stands for; an unknown name stays as it is."""
+    digits = F.regexp_extract(reference, "([0-9a-fA-F]+);", 1)
+    trimmed = F.ltrim(digits, F.lit("0"))
+    hexadecimal = F.lower(F.substring(reference, 1, 3)) == "&#x"
+    small = F.length(trimmed) <= 8  # longer ones are no code points
+    point = F.when(small & hexadecimal, F.conv(digits, 16, 10).cast("long")).when(small & ~hexadecimal, digits.cast("long"))
+    return F.when(F.startswith(reference, F.lit("&#")), _character(point)).otherwise(F.coalesce(F.try_element_at(_table(NAMED), reference), reference))
+
+
+def unescaped(text: Column) -> Column:
+    """The text with its character references (by name, number or hexadecimal number) resolved, each once: an escaped reference stays one."""
+    between = F.split(text, REFERENCE, -1)
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _referred), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, b)), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
 def page_text(html: Column) -> Column:
-    """A page's text: scripts, styles and comments gone, tags as line ends, entities resolved, space collapsed."""
+    """A page's text: scripts, styles and comments gone, tags as line ends, references resolved, space collapsed."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "\n")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = F.replace(unescaped(text), F.lit("\u00a0"), F.lit(" "))
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))
 
@@ -146,3 +181,39 @@ def categorize(documents: DataFrame, keywords: dict[str, tuple[str, ...]] = KEYW
     counts = spoken.groupBy("doc_id", F.element_at(table, F.col("word")).alias("category")).agg(F.count("*").alias("score"))
     first = F.min_by(F.struct("category", "score"), F.struct((-F.col("score")).alias("s"), "category"))
     return counts.groupBy("doc_id").agg(first.alias("m")).select("doc_id", "m.category", "m.score")
+
+
+def phrases_of(text: Column, longest: int) -> Column:
+    """All runs of 1 to `longest` words of a text, in lower case, joined by spaces."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def runs(n: int) -> Column:
+        last = F.size(words) - n + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.concat(*[runs(n) for n in range(1, longest + 1)])
+
+
+def categorize_by(documents: DataFrame, dictionary: DataFrame, most: int = 1) -> DataFrame:
+    """doc_id, rank, category, score: the categories whose phrases weigh most in a text.
+
+    dictionary: phrase (words in lower case, by single spaces), category,
+    weight, and perhaps language, which then has to be the document's lang; a
+    null language holds for all. A phrase counts as often as it occurs. Phrases
+    are counted a document before the join, which Spark broadcasts only where
+    the dictionary is small. Ties go by name; categories below zero or at zero
+    are left out; nulls of phrase, category or weight say nothing.
+    """
+    terms = dictionary.where("phrase IS NOT NULL AND category IS NOT NULL AND weight IS NOT NULL")
+    longest = terms.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    by_language = "language" in dictionary.columns
+    own = ["doc_id", *(["lang"] if by_language else [])]
+    counts = documents.select(*own, F.explode(phrases_of(F.col("text"), longest)).alias("phrase")).groupBy(*own, "phrase").agg(F.count("*").alias("times"))
+    spoken = counts.join(terms.select("phrase", "category", "weight", *(["language"] if by_language else [])), "phrase")
+    if by_language:
+        spoken = spoken.where(F.col("language").isNull() | (F.col("language") == F.col("lang")))
+    scores = spoken.groupBy("doc_id", "category").agg(F.sum(F.col("times") * F.col("weight")).alias("score")).where("score > 0")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "category", "score"))), 1, most)  # as many as there are categories
+    ranked = scores.groupBy("doc_id").agg(best.alias("best")).select("doc_id", F.posexplode("best").alias("at", "b"))
+    return ranked.select("doc_id", (F.col("at") + 1).alias("rank"), "b.category", "b.score")

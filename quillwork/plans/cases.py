@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillwork.operators import cases as C
+from quillwork.operators.pages import deep_page
 from quillwork.sources import bindings as B
 from quillwork.sources.bindings import sql
 
@@ -68,6 +69,8 @@ QUERIES = {
     "notes_total": lambda s, d: C.notes_total(B.notes(s, d)),
     "advisor_directory": lambda s, d: C.advisor_directory(B.users(s, d), page=2),
     "service_directory": lambda s, d: C.service_directory(B.services(s, d)),
+    "deep_case_page": lambda s, d: deep_page(B.requests(s, d), ["case_status", "created_at", "id"], 300, 4).select("id", "case_status", "created_at"),
+    "deep_recent_page": lambda s, d: deep_page(B.requests(s, d), ["created_at desc", "id"], 200, 5).select("id", "created_at"),
     "notification_fanout": lambda s, d: C.notification_fanout(B.requests(s, d), B.users(s, d)),
     "payment_split": _req(C.payment_split),
     "paid_share": _req(C.paid_share),
@@ -110,6 +113,8 @@ SQL = {
     "notes_total": sql("SELECT count(*) AS notes FROM notes", "notes"),
     "advisor_directory": sql("SELECT id, name, email FROM users WHERE role = 'advisor' ORDER BY name, id LIMIT 5 OFFSET 5", "users"),
     "service_directory": sql("SELECT id, name_en FROM services", "services"),
+    "deep_case_page": sql("SELECT id, case_status, created_at FROM requests ORDER BY case_status, created_at, id LIMIT 4 OFFSET 1196", "requests"),
+    "deep_recent_page": sql("SELECT id, created_at FROM requests ORDER BY created_at DESC, id LIMIT 5 OFFSET 995", "requests"),
     "notification_fanout": sql(f"SELECT ticket_number, u.email FROM requests r, users u WHERE role = 'advisor' AND {_READY}", "requests", "users"),
     "payment_split": sql(f"SELECT count_if(status = 'paid' AND {_PRICED}) AS google_pay_paid, count_if(status = 'confirmed' AND {_PRICED}) AS bank_confirmed, count_if(base_price = 0) AS free FROM requests", "requests"),
     "paid_share": sql(f", x AS (SELECT count_if(status IN ('paid', 'confirmed') AND {_PRICED}) AS paid, count_if(base_price = 0) AS free FROM requests) SELECT paid, free, {_pct('paid', '(paid + free)')} AS paid_percent FROM x", "requests"),

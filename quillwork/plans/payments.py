@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quillwork.operators import declared as D
 from quillwork.operators import maintain as M
 from quillwork.operators import payments as P
+from quillwork.operators.corpus import CATEGORIES
+from quillwork.operators.dictionary import bundled, entries
 from quillwork.plans.booking import CONFIRMED
 from quillwork.plans.cases import _READY
 from quillwork.sources import bindings as B
@@ -71,7 +73,18 @@ def _gone(s, d):
     return B.documents(s, d).where("id % 6 = 0").select("id")
 
 
+def category_terms(s, d):
+    """The bundled dictionary, and as terms of the corpus itself the first two words of every document, with a category and weight by id."""
+    docs = B.read(s, d, "documents")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    code = F.element_at(F.array(*[F.lit(c) for c in sorted(CATEGORIES)]), (F.col("doc_id") % len(CATEGORIES) + 1).cast("int"))
+    own = docs.select(F.array_join(F.slice(words, 1, 2), " ").alias("phrase"), code.alias("category"), (F.col("doc_id") % 5 + 1).cast("int").alias("weight"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"))
+    own = own.where("phrase <> ''").groupBy("phrase", "category", "language").agg(F.max("weight").alias("weight"))
+    return bundled(s).unionByName(own)
+
+
 QUERIES = {
+    "categorize_terms": lambda s, d: D.categorize_by(B.read(s, d, "documents"), category_terms(s, d), most=2),
     "intent_eligibility": _req(P.intent_eligibility),
     "stale_intents": lambda s, d: P.stale_intents(transactions(s, d)),
     "reconcile_payments": lambda s, d: P.reconcile_payments(intents(s, d), B.requests(s, d)),
@@ -175,7 +188,19 @@ _INTENTS = f""", i AS (SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'intent
   CASE WHEN event_id % 7 = 0 THEN lpad(CAST(request_id + 1 AS VARCHAR), 10, '0') WHEN event_id % 11 = 0 THEN 'none' ELSE lpad(CAST(request_id AS VARCHAR), 10, '0') END AS asked,
   CASE WHEN event_id % 3 <> 0 THEN {_DUE} ELSE amount_cents END AS amount, currency, coalesce({_KIND}, 'processing') AS status FROM payment_events e LEFT JOIN (SELECT id, base_price FROM requests) r ON e.request_id = r.id)"""
 
+_CODES = "[" + ", ".join(f"'{c}'" for c in sorted(CATEGORIES)) + "]"
+_TERMS = ", ".join(f"('{p}', '{c}', {w}, '{lang}')" for p, c, w, lang in entries())
+_CATEGORIZED = f"""WITH w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents),
+k AS (SELECT * FROM (VALUES {_TERMS}) t(phrase, category, weight, language) UNION ALL
+  SELECT phrase, category, max(weight), language FROM (SELECT array_to_string(ws[1:2], ' ') AS phrase, {_CODES}[doc_id % {len(CATEGORIES)} + 1] AS category, doc_id % 5 + 1 AS weight, CASE WHEN doc_id % 2 = 0 THEN lang END AS language FROM w) WHERE phrase <> '' GROUP BY phrase, category, language),
+u AS (SELECT doc_id, lang, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+r AS (SELECT doc_id, lang, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, lang, a AS phrase FROM r UNION ALL SELECT doc_id, lang, a || ' ' || b FROM r UNION ALL SELECT doc_id, lang, a || ' ' || b || ' ' || c FROM r UNION ALL SELECT doc_id, lang, a || ' ' || b || ' ' || c || ' ' || d FROM r UNION ALL SELECT doc_id, lang, a || ' ' || b || ' ' || c || ' ' || d || ' ' || e FROM r),
+c AS (SELECT doc_id, category, CAST(sum(weight) AS BIGINT) AS score FROM p JOIN k USING (phrase) WHERE language IS NULL OR language = lang GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS INTEGER) AS rank, category, score FROM c QUALIFY rank <= 2"""
+
 SQL = {
+    "categorize_terms": _CATEGORIZED,
     "intent_eligibility": sql(f", c AS (SELECT id, {_DUE} AS cents, CASE WHEN {_FREE} THEN 422 WHEN status IN ('paid', 'confirmed') THEN 409 WHEN base_price IS NULL THEN 422 WHEN {_DUE} < 100 THEN 422 ELSE 200 END AS code FROM requests) SELECT id, code, CASE WHEN code = 200 THEN cents END AS cents, CASE WHEN code = 200 THEN 'mad' END AS currency FROM c", "requests"),
     "stale_intents": sql(", t AS (SELECT event_id AS id, request_id, CASE event_id % 5 WHEN 0 THEN 'requires_payment_method' WHEN 1 THEN 'requires_confirmation' WHEN 2 THEN 'requires_action' WHEN 3 THEN 'processing' ELSE 'succeeded' END AS status FROM payment_events) SELECT * FROM t WHERE status LIKE 'requires%'", "payment_events"),
     "reconcile_payments": sql(f"{_INTENTS} SELECT event_id, regexp_matches(intent_id, '^pi_[A-Za-z0-9]+$') AS well_formed, CASE WHEN r.id IS NULL THEN 404 WHEN NOT coalesce(amount IS NOT DISTINCT FROM {_DUE} AND lower(currency) = 'mad' AND request_id = r.id AND i.ticket_number = asked, false) THEN 422 WHEN i.status <> 'succeeded' THEN 409 ELSE 200 END AS outcome FROM i LEFT JOIN requests r ON i.asked = r.ticket_number", "payment_events", "requests"),

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.operators import corpus, declared
+from quillwork.operators import corpus, declared, dictionary
 
 
 def test_odd_vectors_take_no_part(spark):
@@ -94,3 +94,41 @@ def test_the_plan_does_not_grow_with_the_queries(spark):
     df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(vectors())], "vec_id long, embedding array<double>")
     plans = [declared.semantic_topk(df, every=every, block=20)._jdf.queryExecution().optimizedPlan().toString() for every in (100, 1)]
     assert len(plans[0].splitlines()) == len(plans[1].splitlines()) and "Union" not in plans[1] and "Cross" not in plans[1]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("caf&#233; &eacute;t&#xE9; &mdash; &#X20AC;", "café été — €"),
+        ("&amp;lt; &amp;#233; &#38;amp;", "&lt; &#233; &amp;"),  # escaped references stay references
+        ("&Omega;&omega;&apos;&euro;", "Ωω'€"),
+        ("&unknown; &; &#; &#x; & &lt", "&unknown; &; &#; &#x; & &lt"),
+        ("&#0;&#xD800;&#x110000;&#99999999999999999999;", "����"),
+        ("&#128;&#147;&#x97;&#129;", "€“—\x81"),  # code points of Windows-1252
+        ("&#000000000065;&#x1F600;&#128512;", "A😀😀"),
+        ("a&nbsp;&#160;b", "a b"),
+        ("&lt;script&gt;kept&lt;/script&gt;", "<script>kept</script>"),
+    ],
+)
+def test_character_references(spark, html, text):
+    rows = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    assert [r.text for r in declared.extract_pages(rows).collect()] == [text]
+
+
+def test_every_named_reference(spark):
+    """All names of the table, in one text, as Python resolves them."""
+    import html as python
+
+    text = " ".join(f"[{n}]" for n in declared.NAMED)
+    row = spark.createDataFrame([(text,)], "t string").select(declared.unescaped(F.col("t")).alias("t")).first()
+    assert row.t == python.unescape(text) and len(declared.NAMED) > 250
+
+
+def test_categories_of_a_dictionary(spark):
+    """Phrases of several words, weights, languages, ties by name, two categories a text."""
+    docs = spark.createDataFrame([(1, "The employment-contract of an EMPLOYEE, an employee.", "en"), (2, "Contrat de travail: contrat!", "fr"), (3, "bank loan", "en"), (4, None, "en"), (5, "tax", None), (6, "impôt", "en"), (7, "nothing here", "en")], "doc_id long, text string, lang string")
+    rows = declared.categorize_by(docs, dictionary.bundled(spark).union(spark.createDataFrame([("tax", "tax", 2, None), ("here", "tax", -1, None), (None, "x", 1, None)], "phrase string, category string, weight int, language string")), most=2).collect()
+    got = {(r.doc_id, r["rank"]): (r.category, r.score) for r in rows}
+    assert got == {(1, 1): ("labor", 5), (1, 2): ("civil", 1), (2, 1): ("labor", 3), (2, 2): ("civil", 2), (3, 1): ("banking", 2), (5, 1): ("tax", 2)}
+    assert {c for _, c, _, _ in dictionary.entries()} == set(corpus.CATEGORIES)
+    assert len({(p, lang) for p, _, _, lang in dictionary.entries()}) > 100
