@@ -136,6 +136,35 @@ def people_constraints(users: DataFrame, notes: DataFrame, requests: DataFrame,
     return reduce(DataFrame.unionByName, parts)
 
 
+def service_constraints(services: DataFrame) -> DataFrame:
+    """rule, violations: keys, lengths and domains of services; texts that a table doesn't carry have no rule."""
+    columns = {f"name_{x}": 255 for x in ("en", "fr", "ar")} | {f"description_{x}?": 1000 for x in ("en", "fr", "ar")}
+    columns |= {f"{c}_{x}?": 255 for c in ("price_display", "notes", "additional_notes") for x in ("en", "fr", "ar")}
+    columns |= {"price": None, "allows_office": None, "allows_whatsapp": None}
+    rules = length_rules("services", {c: most for c, most in columns.items() if c.rstrip("?") in services.columns})
+    rules["services.price negative"] = F.col("price") < 0
+    return row_violations(services, rules).unionByName(unique_violations(services, "services.id unique", "id"))
+
+
+def broken_json(column: str) -> Column:
+    return F.col(column).isNotNull() & F.try_parse_json(F.col(column)).isNull()
+
+
+def payment_constraints(transactions: DataFrame, confirmations: DataFrame, requests: DataFrame) -> DataFrame:
+    """rule, violations: keys, references, lengths and domains of payment transactions and of booking confirmations."""
+    of_transactions = length_rules("transactions", {"request_id": None, "intent_id": 64, "method?": 64, "currency": 3, "country": 2, "amount_cents": None, "amount": None, "status": 30, "method_type?": 30, "failure_code?": 100})
+    of_transactions |= {"transactions.amount_cents negative": F.col("amount_cents") < 0, "transactions.payload json": broken_json("payload")}
+    of_confirmations = length_rules("confirmations", {"token": 64, "email": 255, "payload": None, "expires_at": None}) | {"confirmations.payload json": broken_json("payload")}
+    parts = [
+        row_violations(transactions, of_transactions),
+        row_violations(confirmations, of_confirmations),
+        unique_violations(transactions, "transactions.intent_id unique", "intent_id"),
+        unique_violations(confirmations, "confirmations.token unique", "token"),
+        reference_violations(transactions, "transactions.request_id", "request_id", requests),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def case_state_fold(actions: DataFrame) -> DataFrame:
     """The state that a log of actions leaves in each case.
 

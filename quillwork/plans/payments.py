@@ -83,7 +83,28 @@ def category_terms(s, d):
     return bundled(s).unionByName(own)
 
 
+def stored_transactions(s, d):
+    """Payment events as stored transactions, some of which break a rule."""
+    k = F.col("event_id")
+    return B.payment_events(s, d).select(
+        "request_id", F.concat("intent_id", F.lit("_"), (k % 4000).cast("string")).alias("intent_id"), "method",
+        F.when(k % 53 != 0, F.when(k % 59 == 0, "euro").otherwise(F.col("currency"))).alias("currency"), F.when(k % 61 == 0, "MAR").otherwise("MA").alias("country"),
+        (F.col("amount_cents") - 1000).alias("amount_cents"), F.when(k % 67 != 0, F.col("amount_cents") / 100).alias("amount"), "type",
+        F.substring("type", 1, 32).alias("status"), F.get("method_types", F.lit(0)).alias("method_type"),
+        F.repeat("failure_code", (k % 10).cast("int")).alias("failure_code"), F.when(k % 71 == 0, "{").when(k % 3 == 0, F.concat(F.lit('{"n": '), k.cast("string"), F.lit("}"))).alias("payload"),
+    )
+
+
+def stored_confirmations(s, d):
+    """Confirmations as stored, some of which break a rule."""
+    r, o = B.requests(s, d), F.col("id")
+    token = F.concat(F.lit("t"), (o % 997).cast("string"), F.when(o % 29 == 0, F.repeat(F.lit("x"), 64)).otherwise(""))
+    return r.select(token.alias("token"), F.when(o % 31 != 0, F.col("email")).alias("email"), F.when(o % 37 == 0, "[1").when(o % 41 != 0, '{"a": 1}').alias("payload"), F.when(o % 43 != 0, F.col("created_at")).alias("expires_at"))
+
+
 QUERIES = {
+    "service_constraints": lambda s, d: M.service_constraints(B.services(s, d)),
+    "payment_constraints": lambda s, d: M.payment_constraints(stored_transactions(s, d), stored_confirmations(s, d), B.requests(s, d)),
     "categorize_terms": lambda s, d: D.categorize_by(B.read(s, d, "documents"), category_terms(s, d), most=2),
     "intent_eligibility": _req(P.intent_eligibility),
     "stale_intents": lambda s, d: P.stale_intents(transactions(s, d)),
@@ -184,6 +205,22 @@ _PEOPLE_RULES = ", t AS (SELECT request_id, CASE event_id % 5 WHEN 0 THEN 'requi
     "SELECT 'notes.user_id', count_if(user_id IS NOT NULL AND user_id NOT IN (SELECT id FROM users)) FROM notes",
     "SELECT 'transactions.request_id', count_if(request_id NOT IN (SELECT id FROM requests)) FROM t",
 ])
+_SERVICE_RULES = " UNION ALL ".join([
+    *_lengths("services", "services", {"name_en": 255, "name_fr": 255, "name_ar": 255, "description_en?": 1000, "description_fr?": 1000, "price_display_en?": 255, "price_display_fr?": 255, "notes_en?": 255, "notes_fr?": 255, "additional_notes_en?": 255, "additional_notes_fr?": 255, "price": None, "allows_office": None, "allows_whatsapp": None}),
+    "SELECT 'services.price negative', count_if(price < 0) FROM services",
+    "SELECT 'services.id unique', count(*) - count(DISTINCT id) FROM services",
+])
+_PAYMENT_RULES = """, t AS (SELECT request_id, intent_id || '_' || (event_id % 4000) AS intent_id, method, CASE WHEN event_id % 53 <> 0 THEN CASE WHEN event_id % 59 = 0 THEN 'euro' ELSE currency END END AS currency, CASE WHEN event_id % 61 = 0 THEN 'MAR' ELSE 'MA' END AS country, amount_cents - 1000 AS amount_cents, CASE WHEN event_id % 67 <> 0 THEN amount_cents / 100 END AS amount, substr(type, 1, 32) AS status, method_types[1] AS method_type, repeat(failure_code, event_id % 10) AS failure_code, CASE WHEN event_id % 71 = 0 THEN '{' WHEN event_id % 3 = 0 THEN '{"n": ' || event_id || '}' END AS payload FROM payment_events),
+c AS (SELECT 't' || (id % 997) || CASE WHEN id % 29 = 0 THEN repeat('x', 64) ELSE '' END AS token, CASE WHEN id % 31 <> 0 THEN email END AS email, CASE WHEN id % 37 = 0 THEN '[1' WHEN id % 41 <> 0 THEN '{"a": 1}' END AS payload, CASE WHEN id % 43 <> 0 THEN created_at END AS expires_at FROM requests) """ + " UNION ALL ".join([
+    *_lengths("transactions", "t", {"request_id": None, "intent_id": 64, "method?": 64, "currency": 3, "country": 2, "amount_cents": None, "amount": None, "status": 30, "method_type?": 30, "failure_code?": 100}),
+    "SELECT 'transactions.amount_cents negative', count_if(amount_cents < 0) FROM t",
+    "SELECT 'transactions.payload json', count_if(payload IS NOT NULL AND NOT json_valid(payload)) FROM t",
+    *_lengths("confirmations", "c", {"token": 64, "email": 255, "payload": None, "expires_at": None}),
+    "SELECT 'confirmations.payload json', count_if(payload IS NOT NULL AND NOT json_valid(payload)) FROM c",
+    "SELECT 'transactions.intent_id unique', count(*) - count(DISTINCT intent_id) FROM t",
+    "SELECT 'confirmations.token unique', count(*) - count(DISTINCT token) FROM c",
+    "SELECT 'transactions.request_id', count_if(request_id NOT IN (SELECT id FROM requests)) FROM t",
+])
 _INTENTS = f""", i AS (SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'intent' ELSE intent_id || 'x' || event_id END AS intent_id, request_id, lpad(CAST(request_id AS VARCHAR), 10, '0') AS ticket_number,
   CASE WHEN event_id % 7 = 0 THEN lpad(CAST(request_id + 1 AS VARCHAR), 10, '0') WHEN event_id % 11 = 0 THEN 'none' ELSE lpad(CAST(request_id AS VARCHAR), 10, '0') END AS asked,
   CASE WHEN event_id % 3 <> 0 THEN {_DUE} ELSE amount_cents END AS amount, currency, coalesce({_KIND}, 'processing') AS status FROM payment_events e LEFT JOIN (SELECT id, base_price FROM requests) r ON e.request_id = r.id)"""
@@ -200,6 +237,8 @@ c AS (SELECT doc_id, category, CAST(sum(weight) AS BIGINT) AS score FROM p JOIN
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS INTEGER) AS rank, category, score FROM c QUALIFY rank <= 2"""
 
 SQL = {
+    "service_constraints": sql(_SERVICE_RULES, "services"),
+    "payment_constraints": sql(_PAYMENT_RULES, "payment_events", "requests"),
     "categorize_terms": _CATEGORIZED,
     "intent_eligibility": sql(f", c AS (SELECT id, {_DUE} AS cents, CASE WHEN {_FREE} THEN 422 WHEN status IN ('paid', 'confirmed') THEN 409 WHEN base_price IS NULL THEN 422 WHEN {_DUE} < 100 THEN 422 ELSE 200 END AS code FROM requests) SELECT id, code, CASE WHEN code = 200 THEN cents END AS cents, CASE WHEN code = 200 THEN 'mad' END AS currency FROM c", "requests"),
     "stale_intents": sql(", t AS (SELECT event_id AS id, request_id, CASE event_id % 5 WHEN 0 THEN 'requires_payment_method' WHEN 1 THEN 'requires_confirmation' WHEN 2 THEN 'requires_action' WHEN 3 THEN 'processing' ELSE 'succeeded' END AS status FROM payment_events) SELECT * FROM t WHERE status LIKE 'requires%'", "payment_events"),
