@@ -184,15 +184,10 @@ def categorize(documents: DataFrame, keywords: dict[str, tuple[str, ...]] = KEYW
 
 
 def phrases_of(text: Column, longest: int) -> Column:
-    """All runs of 1 to `longest` words of a text, in lower case, joined by spaces."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-    def runs(n: int) -> Column:
-        last = F.size(words) - n + 1
-        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    return F.concat(*[runs(n) for n in range(1, longest + 1)])
+    """All runs of 1 to `longest` words of a text, in lower case, joined by spaces; each length is one pass over the text."""
+    plain = F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    run = r"(?<![^ ])(?=([^ ]+(?: [^ ]+){%d})(?![^ ]))"
+    return F.concat(*[F.regexp_extract_all(plain, F.lit(run % (n - 1)), F.lit(1)) for n in range(1, longest + 1)])
 
 
 def categorize_by(documents: DataFrame, dictionary: DataFrame, most: int = 1) -> DataFrame:
