@@ -92,8 +92,9 @@ def assign_shards(documents: DataFrame, shards: int = 8, weights: dict[int, floa
         shard_of(key, grown(tree, shards)).alias("grown_shard"),
     )
     rows = written(rows, "shard-rows")  # the texts are read once; what follows moves 32 bytes a row
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text_crc32", "size")
-    placed = written(ordered.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "shard-order")
+    order = ["doc_id", "text_crc32", "size", "row"]  # dealt by row at last: one id's rows need not lie in one partition
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ordered.drop("row").withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "shard-order")
     counts = placed.groupBy("part", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,19 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Characters of one stretch of a text that is too long for a training sample.
+STRETCH = 400
+
+
+def spread(column: str, most: int) -> Column:
+    """A text of at most `most` characters, or that many in stretches at even distances over the whole text."""
+    text, n = F.col(column), max(2, most // STRETCH)
+    stretch = max(1, most // n - 1)  # a space follows each
+    step = (F.length(text) - F.lit(stretch)) / F.lit(n - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substr(text, (F.floor(i * step) + 1).cast("int"), F.lit(stretch)))
+    return F.when(F.length(text) > most, F.array_join(cut, " ")).otherwise(text)
+
+
 def id_check(column: str, modulus: int):
     """crc32 of an id written as text, modulo `modulus`; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -11,14 +11,16 @@ fixed numbers of bytes go through a logistic curve, fitted on labelled rows
 that the dictionaries have not seen, to a score from 0 to 1.
 
 Training reads labelled rows that are not held out, at most `toxic` and
-`ordinary` of them and `per_text` characters of each (the documented bound of
-the fit); scoring reads whole texts. What toxic text has beyond ordinary text
+`ordinary` of them and `per_text` characters of each, in stretches spread
+evenly over the whole text (the documented bound of the fit); the ordinary
+dictionary is trained on `base_texts` of the ordinary rows. Scoring reads whole
+texts. What toxic text has beyond ordinary text
 is found by how many different (previous word, word) pairs hold a character
 n-gram, which repeated rows and copies do not raise.
 
 Edge cases: a null, empty or blank text scores as no gain; a null doc_id is
-held out or not as the text ''; labels that are null are not learned from;
-without a label of either kind every score is the share of toxic labels (0.0
+held out or not as the text ''; labels that are null, of a null doc_id or of
+both kinds for one document are not learned from; without a label of either kind every score is the share of toxic labels (0.0
 without any); repeated rows stay; an empty table gives no rows.
 """
 
@@ -35,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm.shared import batch, id_check, table, texts_of
+from quillwork.llm.shared import batch, id_check, spread, table, texts_of
 
 #: Words a window: short windows show single phrases, long ones their sum.
 WINDOWS, NGRAM, LEVEL = (12, 32), 5, 9
@@ -132,7 +134,7 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Classifier:
+def fit(toxic: list[str], ordinary: list[str], base_texts: int = 800) -> Classifier:
     """Two thirds of the rows train the dictionaries, the others calibrate them."""
     model = Classifier()
     if not toxic or not ordinary:
@@ -140,7 +142,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Classifier:
         model.bias = 60.0 if share else -60.0
         return model
     learn_t, learn_o = toxic[: max(1, len(toxic) * 2 // 3)], ordinary[: max(1, len(ordinary) * 2 // 3)]
-    base = _dictionary(ORDINARY_BYTES, [w for t in learn_o[:800] for w in windows(t, WINDOWS[-1])])
+    base = _dictionary(ORDINARY_BYTES, [w for t in learn_o[:base_texts] for w in windows(t, WINDOWS[-1])])
     samples = toxic_samples(learn_t, learn_o)
     model.dictionaries = [base, *[_dictionary(size, found) + base for (size, _, _), found in zip(TOXIC, samples)]]
     compressors = model.compressors()
@@ -164,20 +166,22 @@ def fit(toxic: list[str], ordinary: list[str]) -> Classifier:
 
 def training_texts(documents: DataFrame, labels: DataFrame, label: int, most: int, per_text: int) -> list[str]:
     """At most `most` texts with a label, of documents not held out, by hashed id."""
-    chosen = labels.where((F.col("toxic") == label) & (id_check("doc_id", FOLDS) != 0)).select("doc_id").distinct()
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (id_check("doc_id", FOLDS) != 0))
+    chosen = known.groupBy("doc_id").agg(F.min("toxic").alias("least"), F.max("toxic").alias("most"))
+    chosen = chosen.where((F.col("least") == label) & (F.col("most") == label)).select("doc_id")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", F.substring("text", 1, per_text).alias("text")).where(F.col("text").isNotNull())
-    rows = rows.join(F.broadcast(chosen), "doc_id")  # at most `most` ids
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # at most `most` ids
+    rows = rows.select("doc_id", spread("text", per_text).alias("text"))
     return [r.text for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()]
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, toxic: int = 1000, ordinary: int = 2000, per_text: int = 4000) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, toxic: int = 1000, ordinary: int = 2000, per_text: int = 4000, base_texts: int = 800) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     texts = [training_texts(documents, labels, label, most, per_text) for label, most in ((1, toxic), (0, ordinary))]
-    model = fit(*texts)
+    model = fit(*texts, base_texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()

@@ -1,12 +1,14 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing extra columns."""
 
+import hashlib
 import zlib
 
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from quillwork.llm import bpe, decontaminate, exactsubstr, langid, pii, sharding, simhash, tokenfile, topk, toxicity
-from quillwork.llm.shared import shared_folder
+from quillwork.llm.shared import shared_folder, spread
 
 KINDS = "doc_id long, text string, lang string, print long, k1 string, found string, anchor int, tokens string, held_out string, part int, size string, key string"
 LONG = "the cat sat on a mat near two dogs " * 9000
@@ -79,6 +81,65 @@ def test_toxicity_edges(docs, labels):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_labels_of_both_kinds_are_not_learned(spark):
+    pool = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:30]
+    table = documents(spark, *[(i, f"number {i} says so", "en") for i in pool])
+    labels = spark.createDataFrame([*((i, 1) for i in pool[:20]), *((i, 0) for i in pool[10:]), (None, 1), (pool[0], None)], "doc_id long, toxic int")
+    found = [sorted(toxicity.training_texts(table, labels, label, 100, 4000)) for label in (1, 0)]
+    assert found == [sorted(f"number {i} says so" for i in ids) for ids in (pool[:10], pool[20:])]
+
+
+def test_samples_of_long_texts_reach_their_ends(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(20000))
+    rows = spark.createDataFrame([(text,), (text[:4000],), (None,), ("",)], "text string")
+    long, short, null, empty = (r.s for r in rows.select(spread("text", 4000).alias("s")).collect())
+    assert short == text[:4000] and null is None and empty == "" and len(long) <= 4000
+    parts = long.split(" ")
+    at = [text.index(p) for p in parts]
+    assert len(parts) == 10 and at[0] == 0 and at[-1] + len(parts[-1]) == 20000 and max(b - a for a, b in zip(at, at[1:])) <= 2200
+
+
+def test_toxicity_of_blank_texts(docs, labels):
+    rows = toxicity.score_documents(docs, labels).collect()
+    assert len({r.score for r in rows if r.doc_id in (0, 1, 2)}) == 1
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
+
+
+def test_personal_data_of_odd_texts(spark):
+    table = documents(spark, (0, None, "en"), (1, "", None), (2, LONG + "me@site.org", "en"), (2, LONG + "me@site.org", "en"))
+    rows = pii.find_pii(table).collect()
+    rows = [(r.doc_id, [tuple(x) for x in r.found]) for r in pii.find_pii(table).orderBy("doc_id").collect()]
+    there = [("email", len(LONG), len(LONG) + 11, False)]
+    assert rows == [(0, []), (1, []), (2, there), (2, there)]
+
+
+def test_ids_of_odd_texts(spark, docs):
+    folder = f"{shared_folder(spark)}/odd-ids"
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenfile.write_tokens(docs, path, folder)
+    library = Tokenizer.from_file(path)
+    texts = {r.doc_id: r.text or "" for r in docs.where("doc_id IS NOT NULL").collect()}
+    for r in tokenfile.read_tokens(spark, folder).where("doc_id IS NOT NULL").collect():
+        ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+
+
+def test_pieces_of_odd_texts(docs):
+    rows = {r.doc_id: r for r in bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert all((rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (0, nothing, nothing) for i in (0, 1))
+    assert rows[4].n_tokens > 80000 and rows[4].decoded_sha256 == hashlib.sha256(LONG.encode()).hexdigest()
+    assert rows[4].ids_sha256 == rows[5].ids_sha256
+
+
+def test_shards_of_one_id(spark):
+    table = documents(spark, *[(None, f"text {i % 7}", "en") for i in range(500)])
+    rows = sharding.assign_shards(table).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(500))
+    crcs = [r.text_crc32 for r in sorted(rows, key=lambda r: r.slot)]
+    assert crcs == sorted(crcs)
+
+
 def test_sharding_edges(docs):
     rows = sharding.assign_shards(docs).collect()
     by = {}

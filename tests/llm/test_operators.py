@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
 from collections import Counter
+from functools import lru_cache
 from itertools import combinations
 
 import duckdb
@@ -169,15 +171,84 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in rows) / len(rows) > 0.95
 
 
+def plain_ppm(texts, text):
+    """The bits of a text, by dictionaries of counts and sums over all 256 bytes."""
+    counts = {}
+    for t in texts:
+        data = langid.BEFORE + t.encode()
+        for i in range(3, len(data)):
+            for order in range(4):
+                counts.setdefault(data[i - order : i], Counter())[data[i]] += 1
+
+    @lru_cache(maxsize=None)
+    def row(context):
+        if context is None:
+            return [1 / 256] * 256
+        low, c = row(context[1:] if context else None), counts.get(context)
+        if not c:
+            return low
+        n, q = sum(c.values()), len(c)
+        rest = sum(p for b, p in enumerate(low) if b not in c)
+        return [c[b] / (n + q) if b in c else q / (n + q) * p / rest for b, p in enumerate(low)]
+
+    data = langid.BEFORE + text.encode()
+    return sum(-math.log2(row(data[i - 3 : i])[data[i]]) for i in range(3, len(data)))
+
+
+def test_code_lengths_are_those_of_plain_ppm():
+    rows = duckdb.sql("SELECT lang, list(text ORDER BY doc_id)[:4] FROM '/root/testdata/sf0.001/documents.parquet' WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang ORDER BY lang").fetchall()
+    texts = {lang: found[:3] for lang, found in rows}
+    model = langid.Model(texts)
+    for text in [*(found[-1][:1500] for _, found in rows), "", "a", "zz 99 \u00e9\u4e16\u754c \U0001f600", "\n\n\nthe", "\x00\x01"]:
+        plain = [plain_ppm(tuple(texts[lang]), text) for lang in model.languages]
+        assert model.code_lengths(text) == pytest.approx(plain, rel=1e-5, abs=1e-4)
+
+
 def test_ppm_is_a_distribution():
     model = langid.Model({"en": ["the cat and the dog", "a bird"], "fr": ["le chat et le chien"]})
-    costs = model.costs.reshape(-1, model.size, 2).astype(float)
     many = np.ones(model.size)
     many[-1] = 256 - model.size + 1
-    assert np.abs((np.exp2(-costs) * many[None, :, None]).sum(axis=1) - 1).max() < 1e-5
+    for row in range(len(model.lower)):
+        total = np.zeros(2)
+        for symbol in range(model.size):
+            bits, r = np.zeros(2), row
+            while True:
+                at, known = model.place(np.array([r * model.size + symbol]))
+                if known[0]:
+                    bits += model.costs[at[0]]
+                    break
+                bits += model.escapes[r]
+                if r == 0:
+                    bits += 8
+                    break
+                r = model.lower[r]
+            total += many[symbol] * np.exp2(-bits)
+        assert np.abs(total - 1).max() < 1e-5, row
     assert model.predict("the dog")[0] == "en" and model.predict("le chien")[0] == "fr" and model.predict("12")[0] == "und"
 
 
+def test_every_language_is_learned(spark):
+    words = [f"{a}{b}{c}o" for a in "bdfgk" for b in "aeiu" for c in "lmnrs"]
+    rows = [(i, " ".join([w] * 9), f"lang{n:02d}") for n, w in enumerate(words) for i in range(n * 9, n * 9 + 9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(table).select("doc_id", "lang_pred").join(table, "doc_id").collect()
+    assert len({r.lang for r in got}) == 100 and all(r.lang_pred == r.lang for r in got)
+    with pytest.raises(ValueError, match="most_languages"):
+        langid.fit(table, most_languages=99)
+
+
+def test_a_tie_goes_to_the_first_language():
+    model = langid.Model({"b": ["same words here"], "a": ["same words here"]})
+    assert model.predict("same words") == ("a", 0.5)
+
+
+def test_the_table_holds_what_was_seen():
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id LIMIT 60").fetchall()]
+    model = langid.Model({f"l{i:02d}": texts[i::20] for i in range(20)})
+    seen = {(d[i - o : i], d[i]) for t in texts for d in [langid.BEFORE + t.encode()] for i in range(3, len(d)) for o in range(4)}
+    assert len(model.costs) == len(seen) and len(model.escapes) <= len({c for c, _ in seen}) + model.size
+
+
 # --- 4 ---
 
 
