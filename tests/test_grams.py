@@ -55,3 +55,17 @@ def test_grams(spark):
     rows = spark.createDataFrame([("ABC\nd",), ("ab",), (None,), ("𝒳yz𝒳",)], "t string").select(grams_of(F.col("t")).alias("g"))
     assert [r.g for r in rows.collect()] == [["abc", "bc\n", "c\nd"], [], [], ["𝒳yz", "yz𝒳"]]
     assert needed_grams(spark, "ABcd%e_fgh") == ["abc", "bcd", "fgh"] and needed_grams(spark, "ab%cd") == []
+
+
+def test_postings_do_not_grow_with_the_articles_of_a_slice(spark, tmp_path):
+    """Fifty times the articles with the same grams leave the same rows of postings, a number each, and the same rows are found."""
+    docs = spark.createDataFrame([(d, f"Titre {d}", "fr", "LAW", None, "f") for d in range(8)], DOCUMENTS)
+    rows = []
+    for name, times in (("few", 1), ("many", 50)):
+        articles = spark.createDataFrame([(f"{d}-{k}", d, "Article 1", f"{WORDS[d]} et cetera", k, None, None) for d in range(8) for k in range(times)], ARTICLES)
+        index = GramIndex(spark, f"{tmp_path}/{name}").build(articles, block_rows=1000, buckets=2)
+        postings = spark.read.parquet(f"{tmp_path}/{name}/postings")
+        rows.append(postings.count())
+        assert {c: t for c, t in postings.dtypes if c != "bucket"} == {"gram": "string", "block": "int", "word": "int", "mask": "bigint"}
+        assert sorted(r.id for r in index.search(docs, "travail").collect()) == sorted(f"1-{k}" for k in range(times))
+    assert rows[0] == rows[1]
