@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 MIN_SCORE, CANDIDATES, RESULTS = 0.55, 2000, 12
 #: Vectors a block (64 components of 8 bytes: 2 MB), and queries multiplied at once.
 BLOCK, SLAB = 4096, 128
+#: Words of 64 bits of the filter in front of a join with a dictionary: 2 MB of bits.
+FILTER = 1 << 18
 ARTICLE = r"(?i)\b(?:article|artikel|artículo|art\.)\s+(\d+)"
 LAW = r"(?i)\b(?:law|loi|gesetz|ley)\s+(?:no\.?\s*)?(\d+[-/.]\d+)"
 DATE = r"\b(\d{1,2}/\d{1,2}/\d{4})\b"
@@ -190,13 +192,26 @@ def phrases_of(text: Column, longest: int) -> Column:
     return F.concat(*[F.regexp_extract_all(plain, F.lit(run % (n - 1)), F.lit(1)) for n in range(1, longest + 1)])
 
 
+def perhaps_in(rows: DataFrame, others: DataFrame, column: str, words: int = FILTER) -> DataFrame:
+    """The rows whose value is among the others' values, and a few more: those that share a bit of a filter of 64 * `words` bits.
+
+    The filter has a fixed greatest size, so it can be broadcast; a join for the
+    exact rows has to follow, and finds less to shuffle.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(64 * words))
+    held = others.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask"))
+    filled = F.broadcast(held.groupBy("word").agg(F.bit_or("mask").alias("mask")))  # at most `words` rows
+    return rows.join(filled, (F.floor(bit / 64) == F.col("word")) & (F.getbit("mask", (bit % 64).cast("int")) == 1), "left_semi")
+
+
 def categorize_by(documents: DataFrame, dictionary: DataFrame, most: int = 1) -> DataFrame:
     """doc_id, rank, category, score: the categories whose phrases weigh most in a text.
 
     dictionary: phrase (words in lower case, by single spaces), category,
     weight, and perhaps language, which then has to be the document's lang; a
-    null language holds for all. A phrase counts as often as it occurs. Phrases
-    are counted a document before the join, which Spark broadcasts only where
+    null language holds for all. A phrase counts as often as it occurs. Runs of
+    words that the dictionary can't hold go where they are found; what is left
+    is counted a document before the join, which Spark broadcasts only where
     the dictionary is small. Ties go by name; categories below zero or at zero
     are left out; nulls of phrase, category or weight say nothing.
     """
@@ -204,7 +219,8 @@ def categorize_by(documents: DataFrame, dictionary: DataFrame, most: int = 1) ->
     longest = terms.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     by_language = "language" in dictionary.columns
     own = ["doc_id", *(["lang"] if by_language else [])]
-    counts = documents.select(*own, F.explode(phrases_of(F.col("text"), longest)).alias("phrase")).groupBy(*own, "phrase").agg(F.count("*").alias("times"))
+    runs = documents.select(*own, F.explode(phrases_of(F.col("text"), longest)).alias("phrase"))
+    counts = perhaps_in(runs, terms, "phrase").groupBy(*own, "phrase").agg(F.count("*").alias("times"))
     spoken = counts.join(terms.select("phrase", "category", "weight", *(["language"] if by_language else [])), "phrase")
     if by_language:
         spoken = spoken.where(F.col("language").isNull() | (F.col("language") == F.col("lang")))

@@ -132,3 +132,18 @@ def test_categories_of_a_dictionary(spark):
     assert got == {(1, 1): ("labor", 5), (1, 2): ("civil", 1), (2, 1): ("labor", 3), (2, 2): ("civil", 2), (3, 1): ("banking", 2), (5, 1): ("tax", 2)}
     assert {c for _, c, _, _ in dictionary.entries()} == set(corpus.CATEGORIES)
     assert len({(p, lang) for p, _, _, lang in dictionary.entries()}) > 100
+
+
+def test_filter_before_a_join(spark):
+    """Every row that the others hold stays, most others go; the filter is no shuffle of the rows, and null is in nothing."""
+    rows = spark.range(20_000).selectExpr("concat('w', id) AS phrase").union(spark.createDataFrame([(None,)], "phrase string"))
+    held = spark.range(0, 20_000, 100).selectExpr("concat('w', id) AS phrase")
+    kept = declared.perhaps_in(rows, held, "phrase")
+    found = {r.phrase for r in kept.collect()}
+    assert {r.phrase for r in held.collect()} <= found and len(found) < 300
+    assert {r.phrase for r in declared.perhaps_in(rows, held, "phrase", words=1).collect()} >= {r.phrase for r in held.collect()}
+    docs = spark.createDataFrame([(1, "tax " + " ".join(f"w{k}" for k in range(5000)))], "doc_id long, text string")
+    terms = spark.createDataFrame([("tax", "tax", 2), ("w7 w8", "x", 1)], "phrase string, category string, weight int")
+    scored = declared.categorize_by(docs, terms, most=2)
+    assert sorted(tuple(r)[2:] for r in scored.collect()) == [("tax", 2), ("x", 1)]
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
