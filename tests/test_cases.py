@@ -171,3 +171,14 @@ def test_users_latest_gives_every_user(spark):
     users = spark.range(120).selectExpr("id", "concat('u', id) AS name", "'user' AS role")
     assert [r.id for r in C.users_latest(users).collect()] == list(range(119, -1, -1))
     assert [r.id for r in C.users_latest(users, most=2).collect()] == [119, 118]
+
+
+def test_fanout_is_dealt_over_tasks(spark):
+    """Cases that lie in one partition give their rows in many tasks, and the same rows."""
+    from quillwork.operators import cases
+
+    requests = spark.createDataFrame([(f"T{k}", "paid", None) for k in range(60)], "ticket_number string, status string, base_price decimal(10,2)").coalesce(1)
+    users = spark.createDataFrame([(f"a{k}", "advisor") for k in range(10)], "email string, role string")
+    found = cases.notification_fanout(requests, users, pairs=100)
+    assert len({r.p for r in found.selectExpr("spark_partition_id() AS p").collect()}) > 1
+    assert sorted((r.ticket_number, r.email) for r in found.collect()) == sorted((f"T{k}", f"a{e}") for k in range(60) for e in range(10))
