@@ -19,6 +19,8 @@ from quillwork.streaming.index import BucketedTable
 CASES = "id long, ticket_number string"
 #: Addresses a packet, on average.
 PACKET = 500
+#: Cases that meet one copy of a packet.
+CASES_A_COPY = 5_000
 
 
 def packets(users: DataFrame, size: int = PACKET) -> DataFrame:
@@ -58,13 +60,16 @@ def recipients(log: BucketedTable, version: int) -> DataFrame:
 
 
 def messages(log: BucketedTable, version: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """ticket_number, packet, emails: part `part` of `parts` of a run's messages, one a case and packet.
+    """ticket_number, packet, emails, addresses: part `part` of `parts` of a run's messages, one a case and packet, with its number of emails.
 
     A case meets every packet through a key of the packets' numbers, so neither
-    side is broadcast or gathered.
+    side is broadcast or gathered; packets are few, so each has a copy for about
+    every CASES_A_COPY cases.
     """
-    cases = announced(log).where((F.col("version") == version) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).select("ticket_number")
-    whole = recipients(log, version)
-    n = whole.agg(F.max("packet")).first()[0]
-    asked = cases.withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))))
-    return asked.join(whole, "packet").select("ticket_number", "packet", "emails")
+    cases = announced(log).where((F.col("version") == version) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).select("id", "ticket_number")
+    copies = max(1, -(-cases.count() // CASES_A_COPY))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long")))
+    whole = recipients(log, version).withColumn("addresses", F.size("emails")).withColumn("copy", numbers(copies - 1))
+    n = recipients(log, version).agg(F.max("packet")).first()[0]
+    asked = cases.select("ticket_number", F.pmod(F.xxhash64("id", F.lit(copies)), F.lit(copies)).alias("copy"), numbers(n).alias("packet"))
+    return asked.join(whole, ["packet", "copy"]).select("ticket_number", "packet", "emails", "addresses")

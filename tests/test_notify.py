@@ -50,3 +50,12 @@ def test_messages_of_a_run_by_parts(spark, log):
     assert len(pairs) == len(set(pairs)) == 100 and all(parts)
     assert sum(map(len, parts)) < len(pairs)
     assert notify.messages(log, 0)._jdf.queryExecution().optimizedPlan().toString().count("Cross") == 0
+
+
+def test_packets_have_copies_for_many_cases(spark, log, monkeypatch):
+    """One packet is not one task's: its copies are met by a share of the cases each; every case meets every packet once."""
+    monkeypatch.setattr(notify, "CASES_A_COPY", 5)
+    run(spark, log, 0, {k: ("paid", 5) for k in range(40)}, advisors=7, size=100)
+    plan = notify.messages(log, 0)
+    assert sorted((r.ticket_number, r.addresses, len(r.emails)) for r in plan.collect()) == sorted((f"T{k}", 5, 5) for k in range(40))
+    assert "copy" in plan._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
