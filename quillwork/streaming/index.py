@@ -113,9 +113,9 @@ class BucketedTable:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, folder: str) -> None:
-        """One file a bucket, under folder/bucket=n."""
+        """A file a bucket under folder/bucket=n, or several where it is larger than Spark's advisory size of a partition."""
         dealt = rows.withColumn("bucket", self._bucket())
-        dealt.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        dealt.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
 
     def merge(self, records: DataFrame, job: str, batch: int, now: dt.datetime) -> dict:
         """Puts a batch's records in place of those of the same ids; gives its report.

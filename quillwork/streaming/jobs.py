@@ -156,11 +156,20 @@ def _last_states(spark: SparkSession, place: str, schema: str, key: str, names:
     return saved.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("s")).select(key, "s.*")
 
 
-def _streamed(rows: DataFrame, place: str, files: int = 2) -> DataFrame:
-    """Rows as a stream of files, one a batch."""
-    rows.repartition(files).write.parquet(f"{place}/in")
+#: Rows a file of the registered runs' batches, about: a batch of more rows is several files, so that no task writes or reads it all.
+FILE_ROWS = 250_000
+
+
+def _files(rows: int) -> int:
+    return max(1, -(-rows // FILE_ROWS))
+
+
+def _streamed(rows: DataFrame, place: str, batches: int = 2) -> DataFrame:
+    """Rows as a stream of files, as many a batch as its rows need."""
+    files = _files(rows.count() // batches)
+    rows.repartition(batches * files).write.parquet(f"{place}/in")
     schema = rows.sparkSession.read.parquet(f"{place}/in").schema
-    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
 
 
 #: Registered runs cut tables into files in no order of time, so no event may count as late.
@@ -181,9 +190,10 @@ def _webhooks(spark: SparkSession, sf_dir: str) -> str:
     lines = webhook_lines(B.payment_events(spark, sf_dir)).withColumn("n", F.get_json_object("value", "$.id").cast("long"))
     sent = lines.select(F.when(F.col("n") % 97 == 0, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value"))
     again = lines.where("n % 10 = 0 AND n % 97 <> 0").select("value")
-    sent.repartition(2).write.text(f"{place}/in")
-    again.coalesce(1).write.mode("append").text(f"{place}/in")
-    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{place}/in")
+    files = _files(lines.count() // 2)
+    sent.repartition(2 * files).write.text(f"{place}/in")
+    again.repartition(files).write.mode("append").text(f"{place}/in")
+    stream = spark.readStream.option("maxFilesPerTrigger", files).text(f"{place}/in")
     webhook_stream(stream, B.requests(spark, sf_dir), place, ANY_TIME)
     return place
 
@@ -251,9 +261,11 @@ SYNC_BATCHES = 3
 def _synced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, BucketedTable]:
     """The table's articles, and the index that a stream over them leaves after SYNC_BATCHES batches."""
     place = shared_place(spark, "sync")
-    B.articles(spark, sf_dir).repartition(SYNC_BATCHES, "document_id").write.parquet(f"{place}/in")
+    rows = B.articles(spark, sf_dir)
+    files = _files(rows.count() // SYNC_BATCHES)
+    rows.repartition(SYNC_BATCHES * files, "document_id").write.parquet(f"{place}/in")
     articles = spark.read.parquet(f"{place}/in")
-    stream = spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    stream = spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
     index = BucketedTable(spark, f"{place}/index", RECORD, compact_after=2)
     sync_incremental(stream, B.documents(spark, sf_dir), index, f"{place}/state", lambda: SYNCED_AT)
     return articles, index
@@ -318,21 +330,23 @@ def case_services_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("case_id", "service_id", "s.completed_at").where("completed_at IS NOT NULL")
 
 
+#: Groups of tokens that share a state.
+GROUPS = 4096
 CLOCK = "token long, attempt_id long, at timestamp_ntz, outcome string"
 
 
-def confirmation_stream(events: DataFrame, lateness: str = "1 day", keep_days: int = 30) -> DataFrame:
+def confirmation_stream(events: DataFrame, lateness: str = "1 day", keep_days: int = 30, groups: int = GROUPS) -> DataFrame:
     """token, attempt_id, at, outcome: the answer to every attempt (ok, expired, invalid), and a row without attempt where a token expires unconfirmed.
 
     events: token, kind (created or confirm), attempt_id, at, expires_at. An
     attempt is judged as `confirmation_state` does at its time. Expiry is told
     when the watermark passes it; a token answers late attempts for `keep_days`
-    more, then it is unknown.
+    more, then it is unknown. Tokens are dealt into `groups` by hash.
     """
     states.use_rocksdb(events.sparkSession)
     rows, mode, _ = _timed(events.withColumnRenamed("at", "tried_at"), "tried_at", lateness)
-    rows = rows.select("token", "kind", "attempt_id", "at", F.unix_micros(F.col("expires_at").cast("timestamp")).alias("expires_at"), "moment")
-    told = rows.groupBy("token").transformWithState(states.ConfirmationClock(keep_days * states.DAY_MS), "token long, attempt_id long, at long, outcome string", "Append", mode)
+    rows = rows.select(F.pmod(F.xxhash64("token"), F.lit(groups)).alias("part"), "token", "kind", "attempt_id", "at", F.unix_micros(F.col("expires_at").cast("timestamp")).alias("expires_at"), "moment")
+    told = rows.groupBy("part").transformWithState(states.ConfirmationClock(keep_days * states.DAY_MS), "token long, attempt_id long, at long, outcome string", "Append", mode)
     return told.select("token", "attempt_id", _when("at"), "outcome")
 
 
@@ -344,10 +358,13 @@ def confirmation_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = confirmation_events(spark, sf_dir)
     first, last = events.agg(F.min("at"), F.max("at")).first()
     cuts = [first + (last - first) * k / 3 for k in (1, 2)] if first else []
-    for low, high in zip([None, *cuts], [*cuts, None]):  # files in the order of time, one a batch
-        part = events.where(F.lit(True) if low is None else F.col("at") >= low).where(F.lit(True) if high is None else F.col("at") < high)
-        part.coalesce(1).write.mode("append").parquet(f"{place}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    bounds = list(zip([None, *cuts], [*cuts, None]))
+    inside = [(F.lit(True) if low is None else F.col("at") >= low) & (F.lit(True) if high is None else F.col("at") < high) for low, high in bounds]
+    counts = events.agg(*[F.count_if(own).alias(str(n)) for n, own in enumerate(inside)]).first()
+    files = _files(max(counts)) if min(counts) > 100 * _files(max(counts)) else 1  # as many in every batch, none of them empty
+    for own in inside:  # batches in the order of time
+        events.where(own).repartition(files).write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
     run_now(confirmation_stream(stream), f"{place}/out", "append", f"{place}/state")
     return spark.read.schema(f"{CLOCK}, batch int").parquet(f"{place}/out").select("token", "attempt_id", "outcome")
 
@@ -373,4 +390,4 @@ def notification_messages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticket_number, addresses: how many the last run's messages of each case reach, expanded in two parts."""
     log = _announced(spark, sf_dir)
     parts = [notify.messages(log, 2, k, 2) for k in (0, 1)]
-    return parts[0].unionByName(parts[1]).groupBy("ticket_number").agg(F.sum(F.size("emails")).alias("addresses"))
+    return parts[0].unionByName(parts[1]).groupBy("ticket_number").agg(F.sum("addresses").alias("addresses"))

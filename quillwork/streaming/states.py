@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Ids of events that a state holds in one value.
+FEW = 1024
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -56,45 +58,46 @@ class Expiring(StatefulProcessor):
         pass
 
 
-class PaymentFold(Expiring):
+class PaymentFold(StatefulProcessor):
     """An intent's state: begun by the first success of a known request; its last event and last failure.
 
     Rows: at, event_id, status (null for kinds that change nothing), known,
     failure_code, failure_message. With `once`, events are counted, each id once.
+    All of an intent is one value, read and written once a batch, with its last
+    ids up to `few`; ids beyond go into a map. `ends` is when it is forgotten: a
+    timer that fires before that is set anew.
     """
 
-    def __init__(self, keep_ms: int | None, id_type: str, once: bool):
-        super().__init__(keep_ms)
-        self.id_type, self.once = id_type, once
+    def __init__(self, keep_ms: int | None, id_type: str, once: bool, few: int = FEW):
+        self.keep_ms, self.id_type, self.once, self.few = keep_ms, id_type, once, few
 
     def init(self, handle) -> None:
-        super().init(handle)
-        t = self.id_type
-        self.fold = handle.getValueState("fold", f"first_at long, first_id {t}, last_at long, last_id {t}, status string, failed_at long, failed_id {t}, code string, message string, events long")
-        if self.once:
-            self.seen = handle.getMapState("seen", f"event_id {t}", "at long")
-
-    def clear(self) -> None:
-        super().clear()
-        self.fold.clear()
+        self.handle, t = handle, self.id_type
+        self.fold = handle.getValueState("fold", f"first_at long, first_id {t}, last_at long, last_id {t}, status string, failed_at long, failed_id {t}, code string, message string, events long, ends long, recent array<{t}>")
         if self.once:
-            self.seen.clear()
+            self.seen = handle.getMapState("seen", f"event_id {t}", "there boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = last = failed = status = code = message = None
-        events, latest = 0, None
-        if self.fold.exists():
-            a, b, c, d, status, e, f, code, message, events = self.fold.get()
+        first = last = failed = status = code = message = ends = None
+        events, latest, recent = 0, None, set()
+        held = self.fold.get()
+        if held is not None:
+            a, b, c, d, status, e, f, code, message, events, ends, recent = held
             first, last, failed = (None if at is None else (at, n) for at, n in ((a, b), (c, d), (e, f)))
+            recent = set(recent)
         for r in rows:
             if r.status is None:
                 continue
             latest = r.at if latest is None else max(latest, r.at)
             if self.once:
-                if self.seen.containsKey((r.event_id,)):
+                if r.event_id in recent or (events > len(recent) and self.seen.containsKey((r.event_id,))):
                     continue
-                self.seen.updateValue((r.event_id,), (r.at,))
+                recent.add(r.event_id)
                 events += 1
+                if len(recent) > self.few:
+                    for n in recent:
+                        self.seen.updateValue((n,), (True,))
+                    recent = set()
             place = (r.at, r.event_id)
             if r.status == "succeeded" and r.known and (first is None or place < first):
                 first = place
@@ -104,13 +107,30 @@ class PaymentFold(Expiring):
                 failed, code, message = place, r.failure_code, r.failure_message
         if last is None:
             return
+        if self.keep_ms is not None and latest is not None:
+            new = latest // 1000 + self.keep_ms
+            if ends is None:
+                self.handle.registerTimer(new)
+            ends = new if ends is None else max(ends, new)
         none = (None, None)
-        self.fold.update((*(first or none), *last, status, *(failed or none), code, message, events))
-        self.touched(latest)
+        self.fold.update((*(first or none), *last, status, *(failed or none), code, message, events, ends, sorted(recent)))
         if first is not None:
             told = failed is not None and failed >= first
             yield Row(intent_id=key[0], status=status, ever_succeeded=True, failure_code=code if told else None, failure_message=message if told else None, events=events)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.fold.get()
+        if held is not None and held[10] > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(held[10])
+        elif held is not None:
+            self.fold.clear()
+            if self.once:
+                self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
 
 class CaseFold(Expiring):
     """A case's state, and for each of its services how often and when last it was toggled.
@@ -156,11 +176,14 @@ class CaseFold(Expiring):
 
 
 class ConfirmationClock(StatefulProcessor):
-    """A token between its creation and its end: confirmed in time, or expired by a timer.
+    """Tokens between their creation and their end: confirmed in time, or expired by a timer.
 
-    Rows: kind (created or confirm), attempt_id, at, expires_at. The earliest
-    attempt in time confirms; what a batch brings is taken by time. A token
-    answers `keep_ms` after it expired, then it is forgotten.
+    Rows: token, kind (created or confirm), attempt_id, at, expires_at. The
+    earliest attempt in time confirms; what a batch brings is taken by time. A
+    token answers `keep_ms` after it expired, then it is forgotten.
+
+    A key is a group of tokens, whose states are read and written as one list a
+    batch, with a timer at the first moment when one of them is due.
     """
 
     def __init__(self, keep_ms: int):
@@ -168,44 +191,64 @@ class ConfirmationClock(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.token = handle.getValueState("token", "expires long, confirmed boolean, told boolean")
+        self.tokens = handle.getListState("tokens", "token long, expires long, confirmed boolean, told boolean, due long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        exists = self.token.exists()
-        expires, confirmed, told = self.token.get() if exists else (None, False, False)
-        fresh, attempts = not exists, []  # the attempts on one token in one batch: few, and numbers only
+        held = {t[0]: tuple(t)[1:] for t in self.tokens.get()}
+        made: dict[int, list] = {}
+        attempts: dict[int, list] = {}  # the attempts on a group's tokens in one batch: few, and numbers only
         for r in rows:
-            if r.kind == "created":
-                exists, expires = True, expires if not fresh and expires is not None else r.expires_at
-            else:
-                attempts.append((r.at, r.attempt_id))
-        for at, attempt in sorted(attempts):
-            if not exists or confirmed:
-                outcome = "invalid"
-            elif expires is None or expires < at:
-                outcome = "expired"
+            if r.kind != "created":
+                attempts.setdefault(r.token, []).append((r.at, r.attempt_id))
             else:
-                outcome, confirmed = "ok", True
-            yield Row(token=key[0], attempt_id=attempt, at=at, outcome=outcome)
-        if not exists:
-            return
-        if expires is None and not told:
-            told = True
-            yield Row(token=key[0], attempt_id=None, at=None, outcome="expired")
-        if fresh and expires is not None:
-            self.handle.registerTimer(expires // 1000 + 1)
-        self.token.update((expires, confirmed, told))
+                made.setdefault(r.token, []).append(r.expires_at)
+        dues = []
+        for token in made.keys() | attempts.keys():
+            fresh = token not in held
+            exists = not fresh or token in made
+            expires, confirmed, told, due = (None, False, False, None) if fresh else held[token]
+            for ends in made.get(token, ()):
+                expires = expires if not fresh and expires is not None else ends
+            for at, attempt in sorted(attempts.get(token, ())):
+                if not exists or confirmed:
+                    outcome = "invalid"
+                elif expires is None or expires < at:
+                    outcome = "expired"
+                else:
+                    outcome, confirmed = "ok", True
+                yield Row(token=token, attempt_id=attempt, at=at, outcome=outcome)
+            if not exists:
+                continue
+            if expires is None and not told:
+                told = True
+                yield Row(token=token, attempt_id=None, at=None, outcome="expired")
+            if fresh and expires is not None:
+                due = expires // 1000 + 1
+                dues.append(due)
+            held[token] = (expires, confirmed, told, due)
+        self._keep(held, dues)
+
+    def _keep(self, held: dict[int, tuple], dues: list[int]) -> None:
+        """Writes the list; some timer is never later than what is due first."""
+        if held:
+            self.tokens.put([(token, *state) for token, state in held.items()])
+        else:
+            self.tokens.clear()
+        if dues:
+            self.handle.registerTimer(min(dues))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.token.exists():
-            return
-        expires, confirmed, told = self.token.get()
-        if confirmed or told:
-            self.token.clear()
-            return
-        self.token.update((expires, confirmed, True))
-        self.handle.registerTimer(expires // 1000 + 1 + self.keep_ms)
-        yield Row(token=key[0], attempt_id=None, at=expires, outcome="expired")
+        now = timerValues.getCurrentWatermarkInMs()
+        held, before = {}, 0
+        for token, expires, confirmed, told, due in self.tokens.get():
+            before += 1
+            if due is None or due > now:
+                held[token] = (expires, confirmed, told, due)
+            elif not confirmed and not told:
+                held[token] = (expires, confirmed, True, max(due + self.keep_ms, now + 1))  # not within this batch
+                yield Row(token=token, attempt_id=None, at=expires, outcome="expired")
+        if before:
+            self._keep(held, [s[3] for s in held.values() if s[3] is not None])
 
     def close(self) -> None:
         pass

@@ -136,3 +136,78 @@ def test_confirmations_by_the_clock(spark, tmp_path, cuts):
     want = {(r.token, r.attempt_id): r.s for r in judged.select("token", "attempt_id", confirmation_state(F.col("ends"), F.col("used"), F.col("there"), F.col("now")).alias("s")).collect()}
     assert got == want | {(2, None): "expired", (3, None): "expired", (6, None): "expired"}
     assert want == {(1, 10): "ok", (1, 11): "invalid", (2, 20): "expired", (4, 40): "ok", (5, 50): "invalid", (6, 60): "expired"}
+
+
+class Store:
+    """The calls of a stateful processor on its handle, counted, in memory."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def getValueState(self, name, *schema):
+        return Kept(self, name)
+
+    getMapState = getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+class Kept:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.values.get(self.name, [] if self.name == "tokens" else None)
+
+    def put(self, value):
+        self.store.calls += 1
+        self.store.values[self.name] = value
+
+    update = put
+
+    def updateValue(self, key, value):
+        self.store.calls += 1
+        self.store.values.setdefault("map", {})[key] = value
+
+    def containsKey(self, key):
+        self.store.calls += 1
+        return key in self.store.values.get("map", {})
+
+    def clear(self):
+        self.store.values.pop(self.name, None)
+
+
+def test_calls_do_not_grow_with_events():
+    """A batch costs an intent, or a group of tokens, a few calls of the store, whatever its rows; ids count once beyond `few` too."""
+    from pyspark.sql import Row
+
+    from quillwork.streaming import states
+
+    event = lambda n: Row(at=n * 1000, event_id=n, status="succeeded", known=True, failure_code=None, failure_message=None)
+    for few, most in ((1024, 3), (10, 1000)):
+        store = Store()
+        fold = states.PaymentFold(1000, "long", True, few)
+        fold.init(store)
+        for batch in (range(50), range(20, 100)):
+            store.calls = 0
+            (out,) = fold.handleInputRows(("pi",), iter([event(n) for n in batch]), store)
+            assert store.calls <= most
+        assert out.events == 100
+        store.now = 1050  # an old timer fires: the intent ends later
+        assert list(fold.handleExpiredTimer(("pi",), store, None)) == [] and "fold" in store.values and 99 + 1000 in store.timers
+        store.now = 1099
+        list(fold.handleExpiredTimer(("pi",), store, None))
+        assert "fold" not in store.values
+    store, clock = Store(), states.ConfirmationClock(10)
+    clock.init(store)
+    rows = [Row(token=n, kind="created", attempt_id=None, at=0, expires_at=n * 1000) for n in range(1, 101)] + [Row(token=5, kind="confirm", attempt_id=1, at=1, expires_at=None)]
+    assert [(r.token, r.outcome) for r in clock.handleInputRows((0,), iter(rows), store)] == [(5, "ok")] and store.calls == 3 and store.timers == {2}
+    store.now = 60
+    assert [r.token for r in clock.handleExpiredTimer((0,), store, None)] == [n for n in range(1, 60) if n != 5] and min(t for t in store.timers if t > 2) == 61
+    assert 5 not in {t[0] for t in store.values["tokens"]} and len(store.values["tokens"]) == 99

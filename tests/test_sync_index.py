@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillwork.streaming import jobs
 from quillwork.streaming.index import BucketedTable
@@ -94,3 +95,30 @@ def test_stream_stamps_and_counts(spark, tmp_path):
     articles = spark.createDataFrame([(i, None) for i in "abce"], "id string, synced boolean")
     stamped = {r.id: (r.synced, r.synced_at and r.synced_at.day) for r in jobs.stamped_articles(articles, index).collect()}
     assert stamped == {"a": (True, 2), "b": (True, 1), "c": (None, None), "e": (None, None)}
+
+
+def test_a_large_bucket_is_several_files(spark, table):
+    """A bucket above the advisory size of a partition is dealt over tasks, and reads back whole."""
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(20_000).selectExpr("concat('k', id) AS id", "sha2(string(id), 256) AS text").repartition(8)
+        table.merge(rows, "job", 0, NOW)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert all(len(files) > 1 for files in table.files().values())
+    assert table.live().count() == 20_000 == table.live().select("id").distinct().count()
+
+
+def test_batches_of_many_rows_are_several_files(spark, tmp_path, monkeypatch):
+    """Batches stay as many; no file has more rows than about FILE_ROWS."""
+    monkeypatch.setattr(jobs, "FILE_ROWS", 100)
+    stream = jobs._streamed(spark.range(2000), str(tmp_path))
+    jobs.run_now(stream, f"{tmp_path}/out", "append", f"{tmp_path}/state")
+    saved = spark.read.parquet(f"{tmp_path}/out")
+    assert saved.select("batch").distinct().count() == 2 and saved.count() == 2000
+    counts = spark.read.parquet(f"{tmp_path}/in").groupBy(F.input_file_name()).count().collect()
+    assert len(counts) == 20 and max(r["count"] for r in counts) <= 110
