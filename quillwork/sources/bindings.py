@@ -84,13 +84,25 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def request_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """request_id, service_id, completed_at: one a pair, however often it is listed."""
-    return (
-        read(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("request_id"), F.col("l_partkey").alias("service_id"))
-        .agg(F.min(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))).alias("completed_at"))
+#: Rows of lineitem that a task groups, about.
+ROWS = 250_000
+
+
+def request_services(spark: SparkSession, sf_dir: str, rows: int = ROWS) -> DataFrame:
+    """request_id, service_id, completed_at: one a pair, however often it is listed.
+
+    More than `rows` rows are dealt by request over so many tasks that each
+    gets about as many at most; joins by request go on in these tasks.
+    """
+    lines = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("request_id"),
+        F.col("l_partkey").alias("service_id"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("completed_at"),
     )
+    tasks = -(-lines.count() // rows)
+    if tasks > 1:  # fewer than Spark's own number would be dealt once more by a join
+        lines = lines.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "request_id")
+    return lines.groupBy("request_id", "service_id").agg(F.min("completed_at").alias("completed_at"))
 
 
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,15 @@ def test_fanout_is_dealt_over_tasks(spark):
     found = cases.notification_fanout(requests, users, pairs=100)
     assert len({r.p for r in found.selectExpr("spark_partition_id() AS p").collect()}) > 1
     assert sorted((r.ticket_number, r.email) for r in found.collect()) == sorted((f"T{k}", f"a{e}") for k in range(60) for e in range(10))
+
+
+def test_pairs_are_dealt_over_tasks_by_rows(spark):
+    """A large table's pairs lie in tasks of a bounded number of rows, each request in one, and are the same pairs."""
+    from quillwork.sources import bindings
+
+    folder = "/root/testdata/sf0.01"
+    whole, dealt = bindings.request_services(spark, folder, rows=10**9), bindings.request_services(spark, folder, rows=5000)
+    assert dealt.exceptAll(whole).count() == whole.exceptAll(dealt).count() == 0
+    tasks = dealt.withColumn("task", F.spark_partition_id())
+    assert tasks.groupBy("task").count().agg(F.max("count")).first()[0] < 2 * 5000
+    assert tasks.groupBy("request_id").agg(F.count_distinct("task").alias("n")).where("n > 1").count() == 0
