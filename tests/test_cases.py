@@ -194,3 +194,28 @@ def test_pairs_are_dealt_over_tasks_by_rows(spark):
     tasks = dealt.withColumn("task", F.spark_partition_id())
     assert tasks.groupBy("task").count().agg(F.max("count")).first()[0] < 2 * 5000
     assert tasks.groupBy("request_id").agg(F.count_distinct("task").alias("n")).where("n > 1").count() == 0
+
+
+def test_report_on_dealt_pairs(spark, tmp_path):
+    """Pairs dealt by request reach the report without being dealt anew by pair, and lost references count as in SQL."""
+    import os
+
+    from oracle import TABLES, compare, connect
+
+    from quillwork.plans import payments
+    from quillwork.sources import bindings as B
+
+    folder = str(tmp_path)
+    for t in TABLES:
+        if t != "lineitem":
+            os.symlink(f"/root/testdata/sf0.001/{t}.parquet", f"{folder}/{t}.parquet")
+    lines = B.read(spark, "/root/testdata/sf0.001", "lineitem")
+    broken = lines.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_orderkey") * 2)).withColumn("l_partkey", F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey") + 50))
+    broken.unionByName(broken.limit(100)).write.parquet(f"{folder}/lineitem.parquet")
+    report = lambda s, d: M.constraint_report(B.requests(s, d), B.request_services(s, d, rows=500), B.services(s, d), B.users(s, d).where("role = 'advisor'"))
+    compare(spark, connect(folder), report, payments.SQL["constraint_report"], folder)
+    found = report(spark, folder)
+    assert {x.rule for x in found.where("violations > 0").collect()} >= {"request_services.request_id", "request_services.service_id"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(request_id" in x]
+    assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)
