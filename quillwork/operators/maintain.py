@@ -46,8 +46,29 @@ def _row(rule: str, count: Column) -> list[Column]:
     return [F.lit(rule).alias("rule"), count.alias("violations")]
 
 
-def unique_violations(table: DataFrame, rule: str, *keys: str) -> DataFrame:
-    repeated = table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+#: Rows whose keys a task groups, about.
+ROWS = 250_000
+
+
+def key_counts(table: DataFrame, *keys: str, rows: int | None = ROWS) -> DataFrame:
+    """Each key and its number n of rows.
+
+    More than `rows` rows are dealt by key over so many tasks that each gets
+    about as many at most. The task that read a row is at first part of its
+    key, so that a key that is often repeated is not one task's. Without `rows`
+    the table is grouped as it is dealt.
+    """
+    table = table.select(*keys)
+    tasks = -(-table.count() // rows) if rows else 1
+    if tasks > 1:
+        parts = table.withColumn("reader", F.spark_partition_id()).repartition(tasks, *keys, "reader")
+        parts = parts.groupBy(*keys, "reader").agg(F.count("*").alias("n"))
+        return parts.repartition(tasks, *keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return table.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def unique_violations(table: DataFrame, rule: str, *keys: str, rows: int | None = ROWS) -> DataFrame:
+    repeated = key_counts(table, *keys, rows=rows).where("n > 1")
     return repeated.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v")).select(*_row(rule, F.col("v")))
 
 
@@ -87,7 +108,7 @@ def constraint_report(requests: DataFrame, pairs: DataFrame, services: DataFrame
         rows,
         unique_violations(requests, "requests.id unique", "id"),
         unique_violations(requests, "requests.ticket_number unique", "ticket_number"),
-        unique_violations(pairs, "request_services unique", "request_id", "service_id"),
+        unique_violations(pairs, "request_services unique", "request_id", "service_id", rows=None),  # dealt by request
         reference_violations(pairs, "request_services.request_id", "request_id", requests),
         reference_violations(pairs, "request_services.service_id", "service_id", services),
         reference_violations(requests, "requests.advisor_id", "advisor_id", users),

@@ -219,3 +219,38 @@ def test_report_on_dealt_pairs(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(request_id" in x]
     assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)
+
+
+def test_keys_are_dealt_over_tasks_by_rows(spark):
+    """Keys of a large table are grouped in tasks of a bounded number of rows and not where they are read; one that fills half the table is dealt too."""
+    ids = spark.range(0, 20000, 1, 8).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("id"))
+    dealt = M.key_counts(ids, "id", rows=500)
+    assert {(x.id, x.n) for x in dealt.collect()} == {(0, 10000)} | {(k, 1) for k in range(1, 20000, 2)}
+    assert dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2 * 500
+    assert M.unique_violations(ids, "r", "id", rows=500).collect() == M.unique_violations(ids, "r", "id", rows=None).collect() == [("r", 9999)]
+    lowest = M.unique_violations(ids, "r", "id", rows=500)._jdf.queryExecution().executedPlan().toString().splitlines()
+    first = max(k for k, x in enumerate(lowest) if "Exchange hashpartitioning(" in x)
+    assert "reader" in lowest[first] and ", 40)" in lowest[first]
+    assert not any("Aggregate" in x for x in lowest[first:])
+
+
+def test_report_on_dealt_keys(spark, tmp_path, monkeypatch):
+    """Requests that are listed again count as in SQL where their keys are dealt over tasks."""
+    import os
+
+    from oracle import TABLES, compare, connect
+
+    from quillwork.plans import payments
+    from quillwork.sources import bindings as B
+
+    folder = str(tmp_path)
+    for t in TABLES:
+        if t != "orders":
+            os.symlink(f"/root/testdata/sf0.001/{t}.parquet", f"{folder}/{t}.parquet")
+    orders = B.read(spark, "/root/testdata/sf0.001", "orders")
+    orders.unionByName(orders.where("o_orderkey % 3 = 0")).unionByName(orders.where("o_orderkey = 7")).write.parquet(f"{folder}/orders.parquet")
+    counts = M.key_counts
+    monkeypatch.setattr(M, "key_counts", lambda t, *keys, rows: counts(t, *keys, rows=rows and 100))
+    compare(spark, connect(folder), payments.QUERIES["constraint_report"], payments.SQL["constraint_report"], folder)
+    found = {x.rule: x.violations for x in payments.QUERIES["constraint_report"](spark, folder).collect()}
+    assert found["requests.id unique"] == found["requests.ticket_number unique"] == 501
