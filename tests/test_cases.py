@@ -184,6 +184,18 @@ def test_fanout_is_dealt_over_tasks(spark):
     assert sorted((r.ticket_number, r.email) for r in found.collect()) == sorted((f"T{k}", f"a{e}") for k in range(60) for e in range(10))
 
 
+def test_fanout_copies_no_cases(spark):
+    """With more addresses than a block holds a case is still written to the shuffle once, no side is broadcast, and a task holds a block of each."""
+    r = requests(spark, *[{"id": n, "status": "paid"} for n in range(40)])
+    many = spark.range(23).select("id", F.lit("advisor").alias("role"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("email"))
+    found = C.notification_fanout(r, many, most=5, pairs=50)
+    assert sorted((x.ticket_number, x.email) for x in found.collect()) == sorted((f"T{n}", f"a{k}") for n in range(40) for k in range(23))
+    tasks = found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("email").alias("emails"))
+    assert tasks.agg(F.max("n"), F.max("emails")).first()[1] < 2 * 5 and tasks.count() > 5
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "Broadcast" not in plan
+
+
 def test_pairs_are_dealt_over_tasks_by_rows(spark):
     """A large table's pairs lie in tasks of a bounded number of rows, each request in one, and are the same pairs."""
     from quillwork.sources import bindings
