@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5, name2codepoint
 
@@ -14,8 +15,14 @@ from pyspark.sql.window import Window
 MIN_SCORE, CANDIDATES, RESULTS = 0.55, 2000, 12
 #: Vectors a block (64 components of 8 bytes: 2 MB), and queries multiplied at once.
 BLOCK, SLAB = 4096, 128
-#: Words of 64 bits of the filter in front of a join with a dictionary: 2 MB of bits.
-FILTER = 1 << 18
+#: Words of 64 bits, at most, of the filter in front of a join with a dictionary: 8 MB of bits.
+FILTER = 1 << 20
+#: Terms of a dictionary that are broadcast, about 130 bytes each, so that their runs are counted where they are found.
+HELD = 500_000
+#: Phrases of one number of words that a pattern names, rather than all runs of so many words being tried.
+FEW = 100
+#: What no run of words has: other characters than letters, digits and single spaces between them.
+NO_RUN = r"[^\p{L}\p{N} ]|^ |  | \z|^\z"
 ARTICLE = r"(?i)\b(?:article|artikel|artículo|art\.)\s+(\d+)"
 LAW = r"(?i)\b(?:law|loi|gesetz|ley)\s+(?:no\.?\s*)?(\d+[-/.]\d+)"
 DATE = r"\b(\d{1,2}/\d{1,2}/\d{4})\b"
@@ -185,46 +192,96 @@ def categorize(documents: DataFrame, keywords: dict[str, tuple[str, ...]] = KEYW
     return counts.groupBy("doc_id").agg(first.alias("m")).select("doc_id", "m.category", "m.score")
 
 
-def phrases_of(text: Column, longest: int) -> Column:
-    """All runs of 1 to `longest` words of a text, in lower case, joined by spaces; each length is one pass over the text."""
+def phrases_of(text: Column, longest: int, few: dict[int, list[str]] | None = None) -> Column:
+    """All runs of 1 to `longest` words of a text, in lower case, joined by spaces; each length is one pass over the text.
+
+    few: by number of words, the only runs that are asked for.
+    """
     plain = F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    run = r"(?<![^ ])(?=([^ ]+(?: [^ ]+){%d})(?![^ ]))"
-    return F.concat(*[F.regexp_extract_all(plain, F.lit(run % (n - 1)), F.lit(1)) for n in range(1, longest + 1)])
+    named = {n: "|".join(runs) for n, runs in (few or {}).items()}
+    asked = [n for n in range(1, longest + 1) if named.get(n) != ""]
+    patterns = [r"(?<![^ ])(?=(%s)(?![^ ]))" % named.get(n, "[^ ]+(?: [^ ]+){%d}" % (n - 1)) for n in asked]
+    return F.concat(*[F.regexp_extract_all(plain, F.lit(p), F.lit(1)) for p in patterns]) if asked else F.array().cast("array<string>")
 
 
 def perhaps_in(rows: DataFrame, others: DataFrame, column: str, words: int = FILTER) -> DataFrame:
-    """The rows whose value is among the others' values, and a few more: those that share a bit of a filter of 64 * `words` bits.
+    """The rows whose value is among the others' values, and a few more: those whose three bits of a word of 64 are set in a filter of `words` words.
 
     The filter has a fixed greatest size, so it can be broadcast; a join for the
     exact rows has to follow, and finds less to shuffle.
     """
-    bit = F.pmod(F.xxhash64(column), F.lit(64 * words))
-    held = others.select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask"))
+    hashed = F.xxhash64(column)
+    word = F.pmod(hashed, F.lit(words))
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, at).bitwiseAND(F.lit(63)).cast("int"))
+    bits = one(40).bitwiseOR(one(48)).bitwiseOR(one(56))
+    held = others.select(word.alias("word"), bits.alias("mask"))
     filled = F.broadcast(held.groupBy("word").agg(F.bit_or("mask").alias("mask")))  # at most `words` rows
-    return rows.join(filled, (F.floor(bit / 64) == F.col("word")) & (F.getbit("mask", (bit % 64).cast("int")) == 1), "left_semi")
+    return rows.join(filled, (word == F.col("word")) & (F.col("mask").bitwiseAND(bits) == bits), "left_semi")
 
 
-def categorize_by(documents: DataFrame, dictionary: DataFrame, most: int = 1) -> DataFrame:
+def near_and_far(terms: DataFrame, held: int) -> tuple[DataFrame, DataFrame | None, dict[int, int]]:
+    """The terms that are broadcast, at most `held`; the others, if any; the number of terms by their words.
+
+    Phrases with more terms go first, as texts hold them more often; phrases
+    with equally many go by hash.
+    """
+    most, parts = 64, 1024
+    entries = F.least(F.count("*").over(Window.partitionBy("phrase")), F.lit(most))
+    ranked = terms.withColumn("place", (entries * parts + F.pmod(F.xxhash64("phrase"), F.lit(parts))).cast("int"))
+    sizes = ranked.groupBy("place", _words("phrase").alias("words")).agg(F.count("*").alias("n")).collect()  # at most 65 * 1024 rows for each number of words
+    by_words, by_place = Counter(), Counter()
+    for r in sizes:
+        by_words[r.words] += r.n
+        by_place[r.place] += r.n
+    total, cut = 0, (most + 1) * parts
+    for place in sorted(by_place, reverse=True):
+        total += by_place[place]
+        if total > held:
+            return ranked.where(F.col("place") >= cut).drop("place"), ranked.where(F.col("place") < cut).drop("place"), by_words
+        cut = place
+    return terms, None, by_words
+
+
+def _words(phrase: str) -> Column:
+    return F.size(F.split(phrase, " "))
+
+
+def categorize_by(documents: DataFrame, dictionary: DataFrame, most: int = 1, held: int = HELD) -> DataFrame:
     """doc_id, rank, category, score: the categories whose phrases weigh most in a text.
 
     dictionary: phrase (words in lower case, by single spaces), category,
     weight, and perhaps language, which then has to be the document's lang; a
     null language holds for all. A phrase counts as often as it occurs. Runs of
-    words that the dictionary can't hold go where they are found; what is left
-    is counted a document before the join, which Spark broadcasts only where
-    the dictionary is small. Ties go by name; categories below zero or at zero
+    words that the dictionary can't hold go where they are found. Up to `held`
+    terms are broadcast, and their runs are summed by category where they are
+    found; only the runs that may be of further terms are counted a document
+    and shuffled to be joined. Where few phrases have so many words, only their
+    own runs are taken from a text. Ties go by name; categories below zero or at zero
     are left out; nulls of phrase, category or weight say nothing.
     """
-    terms = dictionary.where("phrase IS NOT NULL AND category IS NOT NULL AND weight IS NOT NULL")
-    longest = terms.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     by_language = "language" in dictionary.columns
     own = ["doc_id", *(["lang"] if by_language else [])]
-    runs = documents.select(*own, F.explode(phrases_of(F.col("text"), longest)).alias("phrase"))
-    counts = perhaps_in(runs, terms, "phrase").groupBy(*own, "phrase").agg(F.count("*").alias("times"))
-    spoken = counts.join(terms.select("phrase", "category", "weight", *(["language"] if by_language else [])), "phrase")
-    if by_language:
-        spoken = spoken.where(F.col("language").isNull() | (F.col("language") == F.col("lang")))
-    scores = spoken.groupBy("doc_id", "category").agg(F.sum(F.col("times") * F.col("weight")).alias("score")).where("score > 0")
+    entry = ["category", "weight", *(["language"] if by_language else [])]
+    terms = dictionary.where("phrase IS NOT NULL AND category IS NOT NULL AND weight IS NOT NULL").where(~F.rlike("phrase", F.lit(NO_RUN))).select("phrase", *entry)
+    near, far, by_words = near_and_far(terms, held)
+    longest = max(by_words, default=0)
+    few = {n: [] for n in range(1, longest + 1) if by_words[n] <= FEW}
+    for r in terms.where(_words("phrase").isin(*few)).select("phrase").distinct().collect() if few else []:
+        few[len(r.phrase.split(" "))].append(r.phrase)
+    runs = documents.select(*own, F.explode(phrases_of(F.col("text"), longest, few)).alias("phrase"))
+    found = perhaps_in(runs, terms, "phrase").join(F.broadcast(near), "phrase", "inner" if far is None else "left")
+    fits = F.col("language").isNull() | (F.col("language") == F.col("lang")) if by_language else F.lit(True)
+    weighed = F.sum(F.lit(1).cast("long") * F.col("weight")).alias("score")
+    if far is None:
+        scores = found.where(fits).groupBy("doc_id", "category").agg(weighed)
+    else:
+        open_run = F.col("category").isNull()
+        counts = found.where(open_run | fits).groupBy(*own, "category", F.when(open_run, F.col("phrase")).alias("run")).agg(F.count("*").alias("times"), weighed)
+        # What is summed has no run and is spread by its document, under a key that no phrase has.
+        summed = counts.withColumnRenamed("category", "known").withColumn("phrase", F.coalesce("run", F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+        spoken = summed.join(far, "phrase", "left").where(F.col("known").isNotNull() | (F.col("category").isNotNull() & fits))
+        spoken = spoken.select("doc_id", F.coalesce("known", "category").alias("category"), F.coalesce("score", F.col("times") * F.col("weight")).alias("score"))
+        scores = spoken.groupBy("doc_id", "category").agg(F.sum("score").alias("score"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "category", "score"))), 1, most)  # as many as there are categories
-    ranked = scores.groupBy("doc_id").agg(best.alias("best")).select("doc_id", F.posexplode("best").alias("at", "b"))
+    ranked = scores.where("score > 0").groupBy("doc_id").agg(best.alias("best")).select("doc_id", F.posexplode("best").alias("at", "b"))
     return ranked.select("doc_id", (F.col("at") + 1).alias("rank"), "b.category", "b.score")

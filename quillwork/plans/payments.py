@@ -76,9 +76,9 @@ def _gone(s, d):
 def category_terms(s, d):
     """The bundled dictionary, and as terms of the corpus itself the first two words of every document, with a category and weight by id."""
     docs = B.read(s, d, "documents")
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    first = F.regexp_extract(F.lower("text"), r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+)?)", 1)
     code = F.element_at(F.array(*[F.lit(c) for c in sorted(CATEGORIES)]), (F.col("doc_id") % len(CATEGORIES) + 1).cast("int"))
-    own = docs.select(F.array_join(F.slice(words, 1, 2), " ").alias("phrase"), code.alias("category"), (F.col("doc_id") % 5 + 1).cast("int").alias("weight"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"))
+    own = docs.select(F.regexp_replace(first, r"[^\p{L}\p{N}]+", " ").alias("phrase"), code.alias("category"), (F.col("doc_id") % 5 + 1).cast("int").alias("weight"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"))
     own = own.where("phrase <> ''").groupBy("phrase", "category", "language").agg(F.max("weight").alias("weight"))
     return bundled(s).unionByName(own)
 

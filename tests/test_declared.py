@@ -147,3 +147,40 @@ def test_filter_before_a_join(spark):
     scored = declared.categorize_by(docs, terms, most=2)
     assert sorted(tuple(r)[2:] for r in scored.collect()) == [("tax", 2), ("x", 1)]
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+
+
+def test_terms_beyond_those_held(spark, monkeypatch):
+    """Terms that are broadcast take no run to a shuffle; the others, and any mixture, give the same rows."""
+    words = " ".join(f"w{k % 13}" for k in range(300))
+    docs = spark.createDataFrame([(k, f"{words} w{k} w1", ("en", "fr", None)[k % 3]) for k in range(30)] + [(None, "w1 w2 w3", "en"), (31, None, "en"), (32, "w1", "fr")], "doc_id long, text string, lang string")
+    rows = [(f"w{k} w{k + 1}", f"c{k % 4}", k % 5 - 1, (None, "en", "fr")[k % 3]) for k in range(20)] + [("w1", f"c{k}", 1, None) for k in range(5)] + [("w1", "c1", 1, None), ("w3", "c9", 7, "fr"), ("w2 w3 w4", "c8", 2, None), (" w1", "c7", 9, None), (" 32", "c7", 9, None), ("w1.w2", "c7", 9, None), ("", "c7", 9, None)]
+    terms = spark.createDataFrame(rows, "phrase string, category string, weight int, language string")
+    known = terms.where("phrase <> '' AND phrase NOT LIKE ' %' AND phrase NOT LIKE '%.%'")
+    texts = {r.doc_id: (f" {r.text or ''} ", r.lang) for r in docs.collect()}
+    expected = {}
+    for i, (text, lang) in texts.items():
+        tokens, sums = text.split(), {}
+        for phrase, category, weight, language in rows:
+            p = phrase.split(" ")
+            if "" not in p and language in (None, lang):
+                n = sum(tokens[a : a + len(p)] == p for a in range(len(tokens)))
+                sums[category] = sums.get(category, 0) + n * weight
+        expected |= {(i, k + 1): (c, v) for k, (c, v) in enumerate(sorted(((c, v) for c, v in sums.items() if v > 0), key=lambda x: (-x[1], x[0]))[:3])}
+    for held in (0, 7, 20, 10**6):
+        scored = declared.categorize_by(docs, terms, most=3, held=held)
+        assert {(r.doc_id, r["rank"]): (r.category, r.score) for r in scored.collect()} == expected
+        near, far, by_words = declared.near_and_far(known, held)
+        assert near.count() <= held and by_words == {1: 7, 2: 20, 3: 1} and (near.count() + far.count() if far else near.count()) == len(rows) - 4
+        shuffled = [x for x in scored._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x and ("phrase" in x or "run" in x)]
+        assert bool(shuffled) == (held < len(rows) - 4)
+    monkeypatch.setattr(declared, "FEW", 0)  # all runs of so many words are tried
+    assert {(r.doc_id, r["rank"]): (r.category, r.score) for r in declared.categorize_by(docs, terms, most=3, held=7).collect()} == expected
+    firsts = [r.phrase for r in declared.near_and_far(terms, 7)[0].collect()]
+    assert firsts.count("w1") == 6  # with the most terms
+
+
+def test_filter_of_many_values(spark):
+    """A filter with a value for each two words lets about one in a thousand of the other rows pass."""
+    held = spark.range(32_768).selectExpr("concat('h', id) AS phrase")
+    rows = spark.range(100_000).selectExpr("concat('w', id) AS phrase")
+    assert declared.perhaps_in(rows, held, "phrase", words=65_536).count() < 500
