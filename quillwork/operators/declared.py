@@ -254,10 +254,10 @@ def categorize_by(documents: DataFrame, dictionary: DataFrame, most: int = 1, he
     null language holds for all. A phrase counts as often as it occurs. Runs of
     words that the dictionary can't hold go where they are found. Up to `held`
     terms are broadcast, and their runs are summed by category where they are
-    found; only the runs that may be of further terms are counted a document
-    and shuffled to be joined. Where few phrases have so many words, only their
-    own runs are taken from a text. Ties go by name; categories below zero or at zero
-    are left out; nulls of phrase, category or weight say nothing.
+    found; only the runs that may be of further terms are shuffled to be joined.
+    Where few phrases have so many words, only their own runs are taken from a
+    text. Ties go by name; categories below zero or at zero are left out; nulls
+    of phrase, category or weight say nothing.
     """
     by_language = "language" in dictionary.columns
     own = ["doc_id", *(["lang"] if by_language else [])]
@@ -269,19 +269,12 @@ def categorize_by(documents: DataFrame, dictionary: DataFrame, most: int = 1, he
     for r in terms.where(_words("phrase").isin(*few)).select("phrase").distinct().collect() if few else []:
         few[len(r.phrase.split(" "))].append(r.phrase)
     runs = documents.select(*own, F.explode(phrases_of(F.col("text"), longest, few)).alias("phrase"))
-    found = perhaps_in(runs, terms, "phrase").join(F.broadcast(near), "phrase", "inner" if far is None else "left")
-    fits = F.col("language").isNull() | (F.col("language") == F.col("lang")) if by_language else F.lit(True)
-    weighed = F.sum(F.lit(1).cast("long") * F.col("weight")).alias("score")
-    if far is None:
-        scores = found.where(fits).groupBy("doc_id", "category").agg(weighed)
-    else:
-        open_run = F.col("category").isNull()
-        counts = found.where(open_run | fits).groupBy(*own, "category", F.when(open_run, F.col("phrase")).alias("run")).agg(F.count("*").alias("times"), weighed)
-        # What is summed has no run and is spread by its document, under a key that no phrase has.
-        summed = counts.withColumnRenamed("category", "known").withColumn("phrase", F.coalesce("run", F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-        spoken = summed.join(far, "phrase", "left").where(F.col("known").isNotNull() | (F.col("category").isNotNull() & fits))
-        spoken = spoken.select("doc_id", F.coalesce("known", "category").alias("category"), F.coalesce("score", F.col("times") * F.col("weight")).alias("score"))
-        scores = spoken.groupBy("doc_id", "category").agg(F.sum("score").alias("score"))
+    found = perhaps_in(runs, near, "phrase").join(F.broadcast(near), "phrase")
+    if far is not None:  # texts are read once more: runs of both kinds in one pass would be shuffled twice
+        found = found.unionByName(perhaps_in(runs, far, "phrase").join(far, "phrase"))
+    if by_language:
+        found = found.where(F.col("language").isNull() | (F.col("language") == F.col("lang")))
+    scores = found.groupBy("doc_id", "category").agg(F.sum(F.lit(1).cast("long") * F.col("weight")).alias("score")).where("score > 0")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "category", "score"))), 1, most)  # as many as there are categories
-    ranked = scores.where("score > 0").groupBy("doc_id").agg(best.alias("best")).select("doc_id", F.posexplode("best").alias("at", "b"))
+    ranked = scores.groupBy("doc_id").agg(best.alias("best")).select("doc_id", F.posexplode("best").alias("at", "b"))
     return ranked.select("doc_id", (F.col("at") + 1).alias("rank"), "b.category", "b.score")
